@@ -92,21 +92,15 @@ def fixed_text(col: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", units / scale)
 
 
-def count_below(value: Column, bounds: Column) -> Column:
-    """How many elements of the ascending array ``bounds`` are below ``value``.
+def count_below(value: Column, limits: Column, most: int) -> Column:
+    """How many of fewer than ``most`` ascending limits are below the value (binary search)."""
+    widths = F.array(*[F.lit(1 << i) for i in range((most - 1).bit_length() - 1, -1, -1)])
 
-    A binary search written as a fold over halving steps (arrays up to 65,535 long).
-    The array travels in the fold's state, so that ``bounds`` is referred to once.
-    """
-    widths = F.array(*[F.lit(1 << i) for i in range(15, -1, -1)])
-
-    def step(state: Column, width: Column) -> Column:
-        reach = state["found"] + width
-        below = (reach <= F.size(state["bounds"])) & (F.get(state["bounds"], reach - 1) < value)
-        return F.struct(F.when(below, reach).otherwise(state["found"]).alias("found"), state["bounds"].alias("bounds"))
+    def step(found: Column, width: Column) -> Column:
+        reach = found + width
+        return F.when(F.get(limits, reach - 1) < value, reach).otherwise(found)
 
-    start = F.struct(F.lit(0).alias("found"), bounds.alias("bounds"))
-    return F.aggregate(widths, start, step, lambda state: state["found"])
+    return F.aggregate(widths, F.lit(0), step)
 
 
 def one_row_to_long(row: DataFrame, records: Sequence[dict[str, Column]]) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 # Largest sample for which the two-sample p-value is computed exactly.
@@ -96,17 +98,32 @@ def chi_square_tail(x: float, dof: int) -> float:
     return math.erfc(math.sqrt(x / 2.0)) if dof == 1 else gamma_tail(dof / 2.0, x / 2.0)
 
 
-@F.pandas_udf("double")
-def _ks_exact(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if max(b, c) > EXACT_KS_LIMIT else ks_exact_tail(a, int(b), int(c)) for a, b, c in zip(d, m, n)])
+def _exact_or_none(d: float, m: int, n: int) -> float | None:
+    return None if max(m, n) > EXACT_KS_LIMIT else ks_exact_tail(d, m, n)
 
 
-@F.pandas_udf("double")
-def chi_square_p(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(x, dof)])
+def _ship_by_value() -> None:
+    """Send this module along with its functions; executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def chi_square_p(x: Column | str, dof: Column | str) -> Column:
+    """P-value of a handful of statistics (one per feature)."""
+    _ship_by_value()
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(x, dof)], dtype="float64")
+
+    return tail(x, dof)
 
 
 def ks_p(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
     """Exact up to ``EXACT_KS_LIMIT`` rows a side, asymptotic above. One row per feature."""
-    return F.coalesce(_ks_exact(statistic, n_ref, n_cur), ks_asymptotic(statistic, n_ref, n_cur))
+    _ship_by_value()
+
+    @F.pandas_udf("double")
+    def exact(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_exact_or_none(a, int(b), int(c)) for a, b, c in zip(d, m, n)], dtype="float64")
+
+    return F.coalesce(exact(statistic, n_ref, n_cur), ks_asymptotic(statistic, n_ref, n_cur))

@@ -53,7 +53,7 @@ def ks_from_counts(counts: DataFrame, by: Sequence[str] = ("feature",)) -> DataF
     plus a local part, so each range only reports its largest and smallest local gap.
     """
     by = list(by)
-    bucketed = with_buckets(counts, "value", feature="feature")
+    bucketed = with_buckets(counts, "value", ["n_ref", "n_cur"], feature="feature")
     inside = Window.partitionBy(*by, "bucket").orderBy("value")
     totals = counts.groupBy(*by).agg(F.sum("n_ref").alias("size_ref"), F.sum("n_cur").alias("size_cur"))
     totals = totals.filter("size_ref > 0 AND size_cur > 0")

@@ -80,7 +80,7 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "label",
     below = F.sum("neg").over(inside) - F.col("neg")
     won = F.col("pos").cast("double") * (below + F.col("neg") / 2.0)
     ranges = (
-        with_buckets(counts, probability).withColumn("won", won)
+        with_buckets(counts, probability, ["pos", "neg"]).withColumn("won", won)
         .groupBy(*by, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won")))
     # At most one row per group and value range.
     earlier = F.sum("neg").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("neg")
@@ -153,7 +153,7 @@ def fairness_table(df: DataFrame, dimensions: Sequence[str], label: str = "label
     below = F.sum("neg").over(inside) - F.col("neg")
     rows = F.col("pos") + F.col("neg")
     ranges = (
-        with_buckets(counts, "probability")
+        with_buckets(counts, "probability", ["pos", "neg"])
         .withColumn("won", F.col("pos").cast("double") * (below + F.col("neg") / 2.0))
         .groupBy(*by, "bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"),

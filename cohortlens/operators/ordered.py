@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.columns import count_below, key_hash
 
-BUCKETS = 1024
-ACCURACY = 20000
+MIN_BUCKETS, MAX_BUCKETS = 64, 16384
 STRATA_BUCKETS = 1 << 16
 
 
@@ -31,27 +30,42 @@ def distinct_counts(df: DataFrame, by: Sequence[str], value: str, **measures: Co
     )
 
 
-def with_buckets(counts: DataFrame, value: str, feature: str | None = None,
-                 totals: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def with_buckets(counts: DataFrame, value: str, measures: Sequence[str], feature: str | None = None,
+                 buckets: int | None = None) -> DataFrame:
     """Add ``bucket``, an ascending value range per feature, and ``total_<m>`` per measure.
 
     ``feature`` must be a column of driver-known names (a bounded set), because the
     limits of all features travel together as one map. Any further grouping columns
     share the limits of their feature: equal values never straddle two buckets.
+    All measures take part in the subquery, so that it reads the very shuffle that the
+    outer query reads.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    facts = [F.array_distinct(F.percentile_approx(value, probs, ACCURACY)).alias("limits")]
-    facts += [F.sum(t).alias(f"total_{t}") for t in totals]
+    buckets = buckets or bucket_count(counts)
+    facts = [_limits(value, buckets).alias("limits")]
+    facts += [F.sum(m).alias(f"total_{m}") for m in measures]
     if feature is None:
         fact = counts.agg(F.struct(*facts)).scalar()
     else:
         per_feature = counts.groupBy(feature).agg(F.struct(*facts).alias("fact"))
         table = per_feature.agg(F.map_from_entries(F.collect_list(F.struct(feature, "fact")))).scalar()
         fact = F.element_at(table, F.col(feature))
-    # A step of its own, because a subquery may not be written inside a fold. The optimizer
-    # merges the two projections again, so the array is not copied into the rows.
-    out = counts.withColumns({"limits": fact["limits"], **{f"total_{t}": fact[f"total_{t}"] for t in totals}})
-    return out.withColumn("bucket", count_below(F.col(value), F.col("limits"))).drop("limits")
+    # Steps of their own, because a subquery may not be written inside a fold; the
+    # optimizer merges the projections again, so the array is not copied into the rows.
+    out = counts.withColumn("fact", fact).select(
+        "*", F.col("fact.limits").alias("limits"), *[F.col(f"fact.total_{m}").alias(f"total_{m}") for m in measures])
+    return out.withColumn("bucket", count_below(F.col(value), F.col("limits"), buckets)).drop("fact", "limits")
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Value ranges to cut: four per shuffle partition, so that it grows with the cluster."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * partitions))
+
+
+def _limits(value: str, buckets: int) -> Column:
+    """Distinct approximate quantiles; the probabilities are written as one constant."""
+    probs = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    return F.array_distinct(F.expr(f"percentile_approx(`{value}`, array({probs}), {max(10000, 10 * buckets)})"))
 
 
 def bucket_offsets(bucketed: DataFrame, by: Sequence[str], measures: Sequence[str],
@@ -65,9 +79,9 @@ def bucket_offsets(bucketed: DataFrame, by: Sequence[str], measures: Sequence[st
 
 
 def running_totals(counts: DataFrame, value: str, measures: Sequence[str],
-                   descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+                   descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Running totals ``cum_<m>`` of each measure over all distinct values in order."""
-    bucketed = with_buckets(counts, value, totals=measures, buckets=buckets)
+    bucketed = with_buckets(counts, value, measures, buckets=buckets)
     # At most ``buckets`` rows, whatever the input size.
     offsets = F.broadcast(bucket_offsets(bucketed, [], measures, descending))
     order = F.desc(value) if descending else F.asc(value)
@@ -79,7 +93,7 @@ def running_totals(counts: DataFrame, value: str, measures: Sequence[str],
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
-                    probs: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
+                    probs: Sequence[float], buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles: one row per ``by`` with columns q0, q1, ...
 
     ``by[0]`` is the feature name; the number of groups must be small, since the wanted
@@ -87,7 +101,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     hold a wanted rank are ordered.
     """
     counts = distinct_counts(df, by, value, n=F.count(F.lit(1)))
-    bucketed = with_buckets(counts, value, feature=by[0], buckets=buckets)
+    bucketed = with_buckets(counts, value, ["n"], feature=by[0], buckets=buckets)
     per_bucket = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     spans = per_bucket.select(
         *by, "bucket", "n",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -45,3 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative trainers somewhere durable to cut their lineage."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+
+
+def materialize(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For tables that are read many times: unlike a cache it survives the loss of
+    executors, and with ``partition_by`` a reader of one part skips the others.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
