@@ -54,21 +54,18 @@ def permutation_importance(df: DataFrame, features: Sequence[str], scorer: Calla
                            label: str, seed: int = 42) -> DataFrame:
     """Drop in AUC when one feature is shuffled, largest first.
 
-    ``scorer`` adds ``probability`` to a table. One shuffle of the rows serves every
-    feature, and one AUC computation every variant.
+    ``scorer`` turns a table into one with ``feature``, the label and ``probability``. Every
+    row is expanded in place to one variant per feature plus the unchanged row, so the
+    table is read, shuffled and scored once.
     """
     mixed = shuffled(df, features, df.count(), seed)
-
-    def variant(name: str | None) -> DataFrame:
-        base = mixed if name is None else mixed.withColumn(name, F.col(f"{name}__shuffled"))
-        scored = scorer(base.drop(*[f"{c}__shuffled" for c in features]))
-        return scored.select(F.lit(name or "").alias("feature"), F.col(label).alias("label"), "probability")
-
-    frames = variant(None)
-    for name in features:
-        frames = frames.unionByName(variant(name))
+    others = [c for c in df.columns if c not in features]
+    variants = [F.struct(
+        F.lit(name or "").alias("feature"),
+        *[F.col(f"{c}__shuffled" if c == name else c).alias(c) for c in features]) for name in [None, *features]]
+    scored = scorer(mixed.select(*others, F.inline(F.array(*variants))))
     # One row per feature.
-    areas = roc_auc(frames, ["feature"]).select("feature", "roc_auc")
-    baseline = areas.agg(F.max(F.when(F.col("feature") == "", F.col("roc_auc")))).scalar()
-    return areas.filter("feature != ''").select(
-        "feature", (baseline - F.col("roc_auc")).alias("importance")).orderBy(F.desc("importance"), "feature")
+    areas = roc_auc(scored, ["feature"], label).select("feature", "roc_auc")
+    baseline = F.max(F.when(F.col("feature") == "", F.col("roc_auc"))).over(Window.partitionBy())
+    drops = areas.select("feature", (baseline - F.col("roc_auc")).alias("importance"))
+    return drops.filter("feature != ''").orderBy(F.desc("importance"), "feature")

@@ -6,6 +6,7 @@ from cohortlens.operators import features, quality, split
 from cohortlens.plans.catalog import LEARNERS, LINES, query, r6, round_columns, sql_r6
 from cohortlens.plans.metric_queries import hash_sql
 from cohortlens.schema import CATEGORICAL_FEATURES, CLIP_RANGES, NUMERIC_FEATURES
+from cohortlens.session import materialize
 from cohortlens.sources.bindings import learners, scored_lineitem, table
 
 LEVELS = {
@@ -29,8 +30,13 @@ _scaled = ", ".join(f"{sql_r6(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELS
 _flags = ", ".join(f"CASE WHEN {c} = '{level}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {name}" for c, level, name in FLAGS)
 
 
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Learners as a stored table, since fitting reads it several times."""
+    return materialize(learners(spark, sf), "learners")
+
+
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, features.PreprocessorModel]:
-    df = learners(spark, sf)
+    df = prepared(spark, sf)
     return df, features.Preprocessor().fit(df)
 
 
@@ -54,7 +60,7 @@ def q_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("standardize", LEARNERS + FIT + f"SELECT k, {_scaled} FROM filled, stats")
 def q_scale(spark: SparkSession, sf: str) -> DataFrame:
-    df = learners(spark, sf)
+    df = prepared(spark, sf)
     model = features.Preprocessor(categorical=[]).fit(df)
     return round_columns(model.flat(df, ["k"]), *NUMERIC_FEATURES)
 
@@ -119,7 +125,7 @@ _new = [("attendance_study_interaction", _interaction), ("performance_consistenc
        + ", ".join(sql_r6(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER ()") + f" AS {n}" for n, _ in _new) + " FROM filled")
 def q_all(spark: SparkSession, sf: str) -> DataFrame:
     """Engineered columns joined to the numeric features, then preprocessed."""
-    df = features.FeatureEngineer().transform(learners(spark, sf))
+    df = features.FeatureEngineer().transform(prepared(spark, sf))
     model = features.Preprocessor(numeric=[*NUMERIC_FEATURES, *features.ENGINEERED]).fit(df)
     return round_columns(model.flat(df, ["k"]).select("k", *features.ENGINEERED), *features.ENGINEERED)
 

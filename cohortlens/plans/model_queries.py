@@ -9,6 +9,7 @@ from cohortlens.operators import attribution, calibrate, metrics, models, risk
 from cohortlens.operators.features import Preprocessor
 from cohortlens.operators.split import with_holdout
 from cohortlens.plans.catalog import LEARNERS, query, round_columns, sql_r6
+from cohortlens.plans.feature_queries import prepared
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
 from cohortlens.session import materialize
 from cohortlens.sources.bindings import learners
@@ -16,13 +17,9 @@ from cohortlens.sources.bindings import learners
 TREES, ROUNDS, DEPTH = 40, 15, 12
 
 
-def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(learners(spark, sf), "learners")
-
-
 def holdout_metrics(spark: SparkSession, sf: str, build: models.Builder) -> DataFrame:
     """Fit on the training rows, measure on the others."""
-    table = materialize(with_holdout(learners(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
+    table = materialize(with_holdout(prepared(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
     model = models.fit(table.filter("NOT is_test").drop("is_test"), build)
     scored = materialize(models.score(model, table.filter("is_test"), [LABEL]), "scored")
     area = metrics.roc_auc(scored, label=LABEL).select("roc_auc").scalar()
@@ -132,15 +129,14 @@ def q_one(spark: SparkSession, sf: str) -> DataFrame:
 def q_permutation(spark: SparkSession, sf: str) -> DataFrame:
     df = prepared(spark, sf)
     model = models.fit(df, models.logistic)
-    names = NUMERIC_FEATURES
-    scorer = lambda frame: models.score(model, frame, [LABEL])
-    return attribution.permutation_importance(df, names, scorer, LABEL)
+    scorer = lambda frame: models.score(model, frame, ["feature", LABEL])
+    return attribution.permutation_importance(df, NUMERIC_FEATURES, scorer, LABEL)
 
 
 @query("feature_names")
 def q_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names behind the feature vector, with the mean of each over the table."""
-    df = learners(spark, sf)
+    df = prepared(spark, sf)
     model = Preprocessor().fit(df)
     flat = model.flat(df)
     row = flat.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(flat.columns)])

@@ -160,12 +160,12 @@ def q_issues(spark: SparkSession, sf: str) -> DataFrame:
     return quality.issue_messages(learners(spark, sf))
 
 
-_error_rows = " UNION ALL ".join(
+ERROR_ROWS = " UNION ALL ".join(
     [f"SELECT k, '{c}: missing' AS reason FROM learners WHERE {c} IS NULL" for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES]
     + [f"SELECT k, '{c}: outside {lo:g}-{hi:g}' FROM learners WHERE {c} < {lo} OR {c} > {hi}" for c, (lo, hi) in CLIP_RANGES.items()])
 
 
-@query("strict_validate", LEARNERS + f""", errors AS ({_error_rows})
+@query("strict_validate", LEARNERS + f""", errors AS ({ERROR_ROWS})
 SELECT learners.k AS k, count(reason) AS n_errors, count(reason) = 0 AS accepted
 FROM learners LEFT JOIN errors ON errors.k = learners.k GROUP BY learners.k""")
 def q_strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +173,7 @@ def q_strict(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select("k", F.size("errors").cast("bigint").alias("n_errors"), (F.size("errors") == 0).alias("accepted"))
 
 
-@query("quarantine_reasons", LEARNERS + f""", errors AS ({_error_rows})
+@query("quarantine_reasons", LEARNERS + f""", errors AS ({ERROR_ROWS})
 SELECT reason, count(*) AS n FROM errors GROUP BY reason""")
 def q_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quarantine_reasons(quality.validate_records(learners(spark, sf)))

@@ -87,7 +87,7 @@ def scored_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items tagged by side: shipped before 1998 is the reference population."""
-    current = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")
+    current = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_quantity", "l_extendedprice",
         (F.col("l_discount") + 0.0).alias("l_discount"), (F.col("l_tax") + 0.0).alias("l_tax"),
