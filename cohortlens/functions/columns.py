@@ -103,6 +103,21 @@ def count_below(value: Column, limits: Column, most: int) -> Column:
     return F.aggregate(widths, F.lit(0), step)
 
 
+def count_where(condition: Column) -> Column:
+    return F.count(F.when(condition, F.lit(1)))
+
+
+def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str], kind: str, name: str = "feature",
+            value: str = "value") -> DataFrame:
+    """(keep..., name, value) with nulls dropped; one row per cell.
+
+    Written as a generator: plans that read the same long table twice, once in a
+    subquery, then share one shuffle, which they do not with ``unpivot``.
+    """
+    cells = [F.struct(F.lit(c).alias(name), F.col(c).cast(kind).alias(value)) for c in columns]
+    return df.select(*keep, F.inline(F.array(*cells))).filter(F.col(value).isNotNull())
+
+
 def one_row_to_long(row: DataFrame, records: Sequence[dict[str, Column]]) -> DataFrame:
     """Turn a one-row aggregate into one output row per record."""
     structs = [F.struct(*[c.alias(n) for n, c in rec.items()]) for rec in records]

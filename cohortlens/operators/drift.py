@@ -10,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cohortlens.functions.columns import one_row_to_long
+from cohortlens.functions.columns import count_where, one_row_to_long
 from cohortlens.functions.distributions import chi_square_p, ks_p
-from cohortlens.operators.metrics import binary_metrics, roc_auc
+from cohortlens.operators.metrics import binary_metrics, predicted, roc_auc
 from cohortlens.operators.ordered import with_buckets
 from cohortlens.operators.profile import histogram, long_numbers, long_texts
 from cohortlens.schema import DRIFT_ALPHA, DRIFT_SHARE, F1_DEGRADATION, KEY, TARGETS
@@ -38,36 +38,30 @@ def feature_kinds(df: DataFrame, exclude: Sequence[str] = (KEY, *TARGETS, "side"
 def side_counts(long: DataFrame) -> DataFrame:
     """(feature, value) with how often each side has it."""
     return long.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == REF).alias("n_ref"), F.count_if(F.col("side") == CUR).alias("n_cur"))
+        count_where(F.col("side") == REF).alias("n_ref"), count_where(F.col("side") == CUR).alias("n_cur"))
 
 
-def _small(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Broadcast totals per feature (a driver-known set); leave finer groups to Spark."""
-    return F.broadcast(totals) if list(by) == ["feature"] else totals
-
-
-def ks_from_counts(counts: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """Two-sample KS statistic per group from counts per (by, value).
+def ks_from_counts(counts: DataFrame) -> DataFrame:
+    """Two-sample KS statistic per feature from counts per (feature, value).
 
     Inside a value range the gap between the two distribution functions is a constant
-    plus a local part, so each range only reports its largest and smallest local gap.
+    plus a local part, so each range only reports its largest and smallest local gap. A
+    feature with an empty side is left out.
     """
-    by = list(by)
     bucketed = with_buckets(counts, "value", ["n_ref", "n_cur"], feature="feature")
-    inside = Window.partitionBy(*by, "bucket").orderBy("value")
-    totals = counts.groupBy(*by).agg(F.sum("n_ref").alias("size_ref"), F.sum("n_cur").alias("size_cur"))
-    totals = totals.filter("size_ref > 0 AND size_cur > 0")
-    sized = bucketed.join(_small(totals, by), by)
-    gap = F.sum("n_ref").over(inside) / F.col("size_ref") - F.sum("n_cur").over(inside) / F.col("size_cur")
-    ranges = sized.withColumn("gap", gap).groupBy(*by, "bucket", "size_ref", "size_cur").agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
-        F.max("gap").alias("gap_max"), F.min("gap").alias("gap_min"))
-    order = Window.partitionBy(*by).orderBy("bucket")
-    before = ((F.sum("n_ref").over(order) - F.col("n_ref")) / F.col("size_ref")
-              - (F.sum("n_cur").over(order) - F.col("n_cur")) / F.col("size_cur"))
+    inside = Window.partitionBy("feature", "bucket").orderBy("value")
+    share = lambda n, total: F.try_divide(n, F.col(total))
+    gap = (share(F.sum("n_ref").over(inside), "total_n_ref") - share(F.sum("n_cur").over(inside), "total_n_cur"))
+    ranges = bucketed.withColumn("gap", gap).groupBy("feature", "bucket").agg(
+        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"), F.max("gap").alias("gap_max"),
+        F.min("gap").alias("gap_min"), F.max("total_n_ref").alias("size_ref"), F.max("total_n_cur").alias("size_cur"))
+    order = Window.partitionBy("feature").orderBy("bucket")
+    before = (share(F.sum("n_ref").over(order) - F.col("n_ref"), "size_ref")
+              - share(F.sum("n_cur").over(order) - F.col("n_cur"), "size_cur"))
     widest = F.greatest(F.abs(F.col("before") + F.col("gap_max")), F.abs(F.col("before") + F.col("gap_min")))
-    return ranges.withColumn("before", before).groupBy(*by, "size_ref", "size_cur").agg(
-        F.max(widest).alias("ks_statistic"))
+    out = ranges.withColumn("before", before).groupBy("feature").agg(
+        F.max("size_ref").alias("size_ref"), F.max("size_cur").alias("size_cur"), F.max(widest).alias("ks_statistic"))
+    return out.filter("size_ref > 0 AND size_cur > 0")
 
 
 def side_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,13 +98,12 @@ def align_categories(reference: DataFrame, current: DataFrame, columns: Sequence
     return joined.na.fill(0, ["n_ref", "n_cur"])
 
 
-def chi_square_from_counts(counts: DataFrame, by: Sequence[str] = ("feature",), yates: bool = True) -> DataFrame:
-    """Chi-square of the 2 x k table per group; Yates' correction when k = 2."""
-    by = list(by)
-    totals = counts.groupBy(*by).agg(
+def chi_square_from_counts(counts: DataFrame, yates: bool = True) -> DataFrame:
+    """Chi-square of the 2 x k table per feature; Yates' correction when k = 2."""
+    totals = counts.groupBy("feature").agg(
         F.sum("n_ref").alias("size_ref"), F.sum("n_cur").alias("size_cur"), F.count(F.lit(1)).alias("levels"))
-    totals = totals.filter("size_ref > 0 AND size_cur > 0")
-    sized = counts.join(_small(totals, by), by)
+    # One row per feature, a driver-known set.
+    sized = counts.join(F.broadcast(totals.filter("size_ref > 0 AND size_cur > 0")), "feature")
     size = F.col("size_ref") + F.col("size_cur")
 
     def part(observed: Column, side_size: Column) -> Column:
@@ -121,8 +114,8 @@ def chi_square_from_counts(counts: DataFrame, by: Sequence[str] = ("feature",),
         return off * off / expected
 
     both = part(F.col("n_ref"), F.col("size_ref")) + part(F.col("n_cur"), F.col("size_cur"))
-    return sized.groupBy(*by, "size_ref", "size_cur", "levels").agg(F.sum(both).alias("chi2_statistic")).select(
-        *by, "chi2_statistic", (F.col("levels") - 1).alias("dof"), "size_ref", "size_cur")
+    return sized.groupBy("feature", "size_ref", "size_cur", "levels").agg(F.sum(both).alias("chi2_statistic")).select(
+        "feature", "chi2_statistic", (F.col("levels") - 1).alias("dof"), "size_ref", "size_cur")
 
 
 def chi_square_drift(df: DataFrame, columns: Sequence[str], alpha: float = DRIFT_ALPHA, yates: bool = True) -> DataFrame:
@@ -167,9 +160,8 @@ def performance_drift(scored: DataFrame, label: str = "label", probability: str
     """
     if label not in scored.columns:
         return scored.limit(1).select(F.lit("No labels available").alias("error"))
-    prediction = (F.col(probability) >= 0.5).cast("bigint")
     # Undefined ratios score 0. Two rows, one per side.
-    rates = binary_metrics(scored, ["side"], label, prediction).na.fill(0.0, METRICS[:4])
+    rates = binary_metrics(scored, ["side"], label, predicted(probability)).na.fill(0.0, METRICS[:4])
     both = rates.join(F.broadcast(roc_auc(scored, ["side"], label, probability).select("side", "roc_auc")), "side")
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     row = both.agg(*[pick(side, c).alias(f"{side}_{c}") for side in (REF, CUR) for c in ["n", *METRICS]])
@@ -180,7 +172,7 @@ def performance_drift(scored: DataFrame, label: str = "label", probability: str
 def drift_summary(table: DataFrame, performance: DataFrame | None = None) -> DataFrame:
     """Counts and share of drifted features and the flags that call for attention."""
     row = table.agg(
-        F.count(F.lit(1)).alias("total_features"), F.count_if("drift_detected").alias("features_with_drift"))
+        F.count(F.lit(1)).alias("total_features"), count_where(F.col("drift_detected")).alias("features_with_drift"))
     drop = F.lit(0.0) if performance is None else F.coalesce(performance.select("f1_degradation").scalar(), F.lit(0.0))
     significant = F.col("features_with_drift") > F.col("total_features") * DRIFT_SHARE
     return row.select(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.columns import one_row_to_long
+from cohortlens.functions.columns import count_where, one_row_to_long, to_long
 from cohortlens.operators.ordered import distinct_counts, running_totals, with_buckets
 from cohortlens.schema import CALIBRATION_BINS, DECISION_THRESHOLD, MIN_GROUP_SIZE, SWEEP_THRESHOLDS
 
@@ -18,7 +18,7 @@ def predicted(probability: str = "probability", threshold: float = DECISION_THRE
 def confusion_counts(df: DataFrame, by: Sequence[str] = (), label: str = "label",
                      prediction: Column | None = None) -> DataFrame:
     pred = predicted() if prediction is None else prediction
-    hit = lambda y, p: F.count_if((F.col(label) == y) & (pred == p))
+    hit = lambda y, p: count_where((F.col(label) == y) & (pred == p))
     return df.groupBy(*by).agg(
         hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
 
@@ -117,9 +117,9 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = tuple(SWEEP_THR
     """F1 at each threshold: conditional counts in one pass, no join with the thresholds."""
     p, y = F.col(probability), F.col(label) == 1
     row = df.agg(
-        F.count_if(y).alias("pos"),
-        *[F.count_if(p >= t).alias(f"pp{i}") for i, t in enumerate(thresholds)],
-        *[F.count_if(y & (p >= t)).alias(f"tp{i}") for i, t in enumerate(thresholds)])
+        count_where(y).alias("pos"),
+        *[count_where(p >= t).alias(f"pp{i}") for i, t in enumerate(thresholds)],
+        *[count_where(y & (p >= t)).alias(f"tp{i}") for i, t in enumerate(thresholds)])
     return one_row_to_long(row, [
         {"threshold": F.lit(t), "f1": F.try_divide(2 * F.col(f"tp{i}"), F.col(f"pp{i}") + F.col("pos"))}
         for i, t in enumerate(thresholds)])
@@ -141,9 +141,8 @@ def fairness_table(df: DataFrame, dimensions: Sequence[str], label: str = "label
     Null levels and groups below ``min_size`` are left out; a group with one class gets
     an AUC of 0.
     """
-    narrow = df.select(F.col(label).alias("label"), F.col(probability).alias("probability"),
-                       *[F.col(d).cast("string").alias(d) for d in dimensions])
-    long = narrow.unpivot(["label", "probability"], list(dimensions), "dimension", "level").filter("level IS NOT NULL")
+    narrow = df.select(F.col(label).cast("bigint").alias("label"), F.col(probability).alias("probability"), *dimensions)
+    long = to_long(narrow, dimensions, ["label", "probability"], "string", "dimension", "level")
     by = ["dimension", "level"]
     # Rows with equal dimension, level, score and label fold into one before anything else.
     counts = long.groupBy(*by, "probability").agg(

@@ -53,7 +53,9 @@ def with_buckets(counts: DataFrame, value: str, measures: Sequence[str], feature
     # optimizer merges the projections again, so the array is not copied into the rows.
     out = counts.withColumn("fact", fact).select(
         "*", F.col("fact.limits").alias("limits"), *[F.col(f"fact.total_{m}").alias(f"total_{m}") for m in measures])
-    return out.withColumn("bucket", count_below(F.col(value), F.col("limits"), buckets)).drop("fact", "limits")
+    # Never null, so that joins on it push no null test (and with it the search) to the raw rows.
+    bucket = F.coalesce(count_below(F.col(value), F.col("limits"), buckets), F.lit(0))
+    return out.withColumn("bucket", bucket).drop("fact", "limits")
 
 
 def bucket_count(df: DataFrame) -> int:

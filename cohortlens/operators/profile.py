@@ -7,20 +7,18 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions.columns import add_all, one_row_to_long
+from cohortlens.functions.columns import add_all, count_where, one_row_to_long, to_long
 from cohortlens.operators.ordered import exact_quantiles
 from cohortlens.schema import (BOX_FEATURES, HIGH_CORRELATION, HISTOGRAM_BINS, LABEL, LEAKAGE_CORRELATION)
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, value) with nulls dropped; one row per cell."""
-    doubles = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot(list(keep), list(columns), "feature", "value").filter("value IS NOT NULL")
+    """(keep..., feature, value) of the numeric cells that hold a value."""
+    return to_long(df, columns, keep, "double")
 
 
 def long_texts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    texts = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
-    return texts.unpivot(list(keep), list(columns), "feature", "value").filter("value IS NOT NULL")
+    return to_long(df, columns, keep, "string")
 
 
 def overview(df: DataFrame, label: str = LABEL, score: str = "final_score") -> DataFrame:
@@ -107,7 +105,7 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bin
 
 def box_stats(df: DataFrame, columns: Sequence[str] = tuple(BOX_FEATURES), label: str = LABEL) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per feature and class."""
-    long = long_numbers(df, columns, [label])
+    long = long_numbers(df.filter(F.col(label).isNotNull()), columns, [label])
     quartiles = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75])
     spread = F.col("q2") - F.col("q0")
     fences = quartiles.select(
@@ -119,7 +117,7 @@ def box_stats(df: DataFrame, columns: Sequence[str] = tuple(BOX_FEATURES), label
     return joined.groupBy("feature", label).agg(
         F.count(F.lit(1)).alias("n"), F.max("q0").alias("q1"), F.max("q1").alias("median"),
         F.max("q2").alias("q3"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"), count_where(~inside).alias("n_outliers"))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortlens.functions.columns import add_all, one_row_to_long
+from cohortlens.functions.columns import add_all, count_where, one_row_to_long
 from cohortlens.schema import (CATEGORICAL_FEATURES, CLIP_RANGES, ENTITY_SCHEMA, KEY, MAX_MISSING_RATE,
                                NON_NEGATIVE_RULES, NUMERIC_FEATURES, RANGE_RULES)
 
@@ -29,7 +29,7 @@ def cast_failures(df: DataFrame, schema: T.StructType = ENTITY_SCHEMA) -> DataFr
     fields = [f for f in schema.fields if f.name in df.columns]
     row = df.agg(
         *[F.count(f.name).alias(f"n_{f.name}") for f in fields],
-        *[F.count_if(F.col(f.name).isNotNull() & _converted(f).isNull()).alias(f"bad_{f.name}") for f in fields])
+        *[count_where(F.col(f.name).isNotNull() & _converted(f).isNull()).alias(f"bad_{f.name}") for f in fields])
     return one_row_to_long(row, [
         {"column_name": F.lit(f.name), "target_type": F.lit(f.dataType.simpleString()),
          "n_values": F.col(f"n_{f.name}"), "n_failed": F.col(f"bad_{f.name}")} for f in fields])
@@ -86,7 +86,7 @@ def _breaks(rule: Rule) -> Column:
 
 def rule_violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows breaking each rule, all rules in one aggregate."""
-    row = df.agg(*[F.count_if(_breaks(r)).alias(f"r{i}") for i, r in enumerate(rules)])
+    row = df.agg(*[count_where(_breaks(r)).alias(f"r{i}") for i, r in enumerate(rules)])
     return one_row_to_long(row, [
         {"column_name": F.lit(r[0]), "issue": F.lit(r[3]), "n_bad": F.col(f"r{i}")} for i, r in enumerate(rules)])
 
@@ -136,7 +136,7 @@ def ingest_summary(df: DataFrame) -> DataFrame:
     bands = ["A", "B", "C", "D", "F"]
     row = df.agg(
         F.count(F.lit(1)).alias("total_students"), F.avg(F.col("passed").cast("double")).alias("pass_rate"),
-        *[F.count_if(F.col("final_grade_band") == b).alias(f"grade_{b.lower()}") for b in bands],
+        *[count_where(F.col("final_grade_band") == b).alias(f"grade_{b.lower()}") for b in bands],
         F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values"))
     return row
 
@@ -148,8 +148,8 @@ def vector_sanity(df: DataFrame, vector: str = "features") -> DataFrame:
     values = vector_to_array(F.col(vector))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size(values)).alias("n_features"),
-        F.count_if(F.exists(values, F.isnan)).alias("rows_with_nan"),
-        F.count_if(F.exists(values, lambda x: F.abs(x) == float("inf"))).alias("rows_with_inf"))
+        count_where(F.exists(values, F.isnan)).alias("rows_with_nan"),
+        count_where(F.exists(values, lambda x: F.abs(x) == float("inf"))).alias("rows_with_inf"))
 
 
 def clean(df: DataFrame, key: str = KEY, order: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:

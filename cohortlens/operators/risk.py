@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.functions.columns import add_all, band, fixed_text
+from cohortlens.functions.columns import add_all, band, count_where, fixed_text
 from cohortlens.schema import (DECISION_THRESHOLD, DRIVER_RULES, FACTOR_RULES, LEVEL_RECOMMENDATIONS,
                                RECENT_PREDICTIONS, RECOMMENDATION_RULES, RETAINED_PREDICTIONS, RISK_FLOOR,
                                RISK_LEVELS, TOP_FACTORS, TOP_RECOMMENDATIONS)
@@ -81,11 +81,11 @@ def batch_summary(df: DataFrame, probability: str = "probability") -> DataFrame:
     level = risk_level(p)
     return df.agg(
         F.count(F.lit(1)).alias("total_students"), F.avg(p).alias("avg_risk_probability"),
-        F.count_if(level == "High Risk").alias("high_risk_count"),
-        F.count_if(level == "Medium Risk").alias("medium_risk_count"),
-        F.count_if(level == "Low Risk").alias("low_risk_count"),
-        F.count_if(p >= DECISION_THRESHOLD).alias("predicted_pass_count"),
-        F.count_if(~(p >= DECISION_THRESHOLD)).alias("predicted_fail_count"))
+        count_where(level == "High Risk").alias("high_risk_count"),
+        count_where(level == "Medium Risk").alias("medium_risk_count"),
+        count_where(level == "Low Risk").alias("low_risk_count"),
+        count_where(p >= DECISION_THRESHOLD).alias("predicted_pass_count"),
+        count_where(~(p >= DECISION_THRESHOLD)).alias("predicted_fail_count"))
 
 
 def retain_latest(df: DataFrame, time: str, key: str, n: int = RETAINED_PREDICTIONS) -> DataFrame:
@@ -109,6 +109,6 @@ def hourly_counts(df: DataFrame, time: str = "ts", probability: str = "probabili
     hour = F.window(time, "1 hour")
     return df.groupBy(hour).agg(
         F.count(F.lit(1)).alias("n"), F.avg(probability).alias("avg_probability"),
-        F.count_if(risk_level(F.col(probability)) == RISK_FLOOR).alias("high_risk"),
+        count_where(risk_level(F.col(probability)) == RISK_FLOOR).alias("high_risk"),
     ).select(F.col("window.start").alias("hour_start"), "n", "avg_probability", "high_risk")
 
