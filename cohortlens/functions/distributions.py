@@ -22,10 +22,12 @@ def ks_asymptotic(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
     """
     n = F.rint(n_ref * n_cur / (n_ref + n_cur).cast("double"))
     x = F.sqrt(n) * (statistic + F.lit(1.0) / (n * 6.0) + (statistic - 1.0) / (n * 4.0))
-    ks = F.transform(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), lambda k: k.cast("double"))
-    term = lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1.0) * F.exp(F.lit(-2.0) * k * k * x * x)
+    # The value rides in the array, because a column named inside a lambda would resolve to
+    # an alias of the same name next to it.
+    sign = lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0)
+    terms = F.transform(F.array_repeat(x, SERIES_TERMS), lambda v, i: sign(i) * F.exp(F.lit(-2.0) * (i + 1) * (i + 1) * v * v))
     # Below 0.2 the series needs more terms than it has, and the tail is 1 to 12 places.
-    series = F.lit(2.0) * F.aggregate(ks, F.lit(0.0), term)
+    series = F.lit(2.0) * F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 

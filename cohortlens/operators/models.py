@@ -7,6 +7,7 @@ import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -131,17 +132,38 @@ def baselines(label: str = LABEL, trees: int = FOREST_TREES, rounds: int = BOOST
     }
 
 
-def fit(df: DataFrame, build: Builder, label: str = LABEL, engineered: bool = False) -> PipelineModel:
-    """Fit preprocessing and classifier together on the rows that have a label.
+@dataclass
+class Prepared:
+    """Fitted preprocessing and the training rows it gives: label, class weight and features."""
+
+    stages: list
+    rows: DataFrame
+    n: int
+
+    def fit(self, build: Builder) -> PipelineModel:
+        """Fit one classifier; the result scores raw rows."""
+        return PipelineModel([*self.stages, *Pipeline(stages=build(self.n)).fit(self.rows).stages])
+
+
+def prepare(df: DataFrame, label: str = LABEL, engineered: bool = False, store: bool = False) -> Prepared:
+    """Fit the preprocessing on the labelled rows, once for however many classifiers.
 
     The table is read a few times; pass one that is cheap to read (see ``materialize``).
+    With ``store`` the prepared rows are written, for when several classifiers read them.
     """
     ensure_checkpoint_dir(df.sparkSession)
     counts = class_counts(df, label)
     if len(counts) < 2:
         raise ValueError(f"{label} needs two classes to learn from, found {sorted(counts)}")
-    labelled = with_class_weight(df.filter(F.col(label).isNotNull()), counts, label)
-    return Pipeline(stages=[*preprocessing(engineered), *build(sum(counts.values()))]).fit(labelled)
+    labelled = df.filter(F.col(label).isNotNull())
+    prep = Pipeline(stages=preprocessing(engineered)).fit(labelled)
+    rows = with_class_weight(prep.transform(labelled), counts, label).select(label, WEIGHT, "features")
+    return Prepared(prep.stages, materialize(rows, "prepared") if store else rows, sum(counts.values()))
+
+
+def fit(df: DataFrame, build: Builder, label: str = LABEL, engineered: bool = False) -> PipelineModel:
+    """Fit preprocessing and one classifier."""
+    return prepare(df, label, engineered).fit(build)
 
 
 def pass_probability() -> Column:
@@ -172,16 +194,25 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
                    parallelism: int = 4) -> DataFrame:
     """Long table (model, fold, metric, score).
 
-    Each model is fitted once per fold and its held-out rows are scored once; all five
-    metrics come from those predictions. A fit that fails scores 0 on its fold.
+    Preprocessing is fitted once per fold and each model once per fold; all five metrics
+    come from one scoring of the held-out rows. A fit that fails scores 0 on its fold.
     """
     table = materialize(with_folds(df, label, key, folds), "folds", partition_by="fold")
     jobs = [(name, build, fold) for name, build in builders.items() for fold in range(folds)]
 
+    def ready(fold: int) -> Prepared | None:
+        try:
+            return prepare(table.filter(F.col("fold") != fold).drop("fold"), label, store=True)
+        except Exception as err:
+            log.warning("preprocessing failed on fold %d: %s", fold, err)
+            return None
+
     def run(job: tuple[str, Builder, int]) -> DataFrame | None:
         name, build, fold = job
+        if prepared[fold] is None:
+            return None
         try:
-            model = fit(table.filter(F.col("fold") != fold).drop("fold"), build, label)
+            model = prepared[fold].fit(build)
         except Exception as err:
             log.warning("%s failed on fold %d: %s", name, fold, err)
             return None
@@ -189,6 +220,7 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
         return held_out.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "probability")
 
     with ThreadPoolExecutor(parallelism) as pool:
+        prepared = list(pool.map(ready, range(folds)))
         results = list(pool.map(run, jobs))
     done = [r for r in results if r is not None]
     failed = [(name, fold, m, 0.0) for (name, _, fold), r in zip(jobs, results) if r is None for m in SCORES]
@@ -205,10 +237,11 @@ def compare_on_holdout(df: DataFrame, key: str, builders: dict[str, Builder], la
     """F1, AUC, accuracy, precision, recall and the confusion counts of each model on held-out rows."""
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, test = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
+    prepared = prepare(train, label, store=True)
     frames = []
     for name, build in builders.items():
         try:
-            frames.append(score(fit(train, build, label), test, [label]).withColumn("model", F.lit(name)))
+            frames.append(score(prepared.fit(build), test, [label]).withColumn("model", F.lit(name)))
         except Exception as err:
             log.error("%s failed: %s", name, err)
     predictions = union_all(frames)
@@ -226,10 +259,11 @@ def fit_best(df: DataFrame, builders: dict[str, Builder], scores: DataFrame, lab
 
 
 def fit_all(df: DataFrame, builders: dict[str, Builder], label: str = LABEL) -> dict[str, PipelineModel]:
+    prepared = prepare(df, label, store=True)
     models = {}
     for name, build in builders.items():
         try:
-            models[name] = fit(df, build, label)
+            models[name] = prepared.fit(build)
         except Exception as err:
             log.error("%s failed: %s", name, err)
     return models
@@ -267,11 +301,12 @@ def sweep(df: DataFrame, key: str, trials: Sequence[dict], label: str = LABEL, t
     spark = df.sparkSession
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, valid = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
+    prepared = prepare(train, label, store=True)
 
     def run(job: tuple[int, dict]) -> DataFrame | None:
         trial, params = job
         try:
-            predictions = score(fit(train, build(params, label), label), valid, [label])
+            predictions = score(prepared.fit(build(params, label)), valid, [label])
         except Exception as err:
             log.warning("trial %d failed: %s", trial, err)
             return None

@@ -7,6 +7,7 @@ from cohortlens.operators import drift
 from cohortlens.plans.catalog import SIDES, query, r6, round_columns, sql_r6
 from cohortlens.plans.metric_queries import auc_sql, metrics_sql
 from cohortlens.plans.profile_queries import histogram_sql
+from cohortlens.session import shared_dir
 from cohortlens.sources import files
 from cohortlens.sources.bindings import drift_sides
 
@@ -86,12 +87,13 @@ def q_ks_p(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select("feature", "size_ref", "size_cur", r6(p).alias("p_value"))
 
 
-@query("drift_ks_auto")
+@query("drift_ks_auto", SIDES + KS + f" SELECT feature, nr AS size_ref, nc AS size_cur, {sql_r6('d')} AS ks_statistic, {sql_r6('p')} AS p_value FROM ksp")
 def q_ks_auto(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact p-values for small tables, asymptotic for large ones (no SQL twin)."""
+    """Exact p-values for small tables, asymptotic ones (as in the SQL) above 10,000 rows a side."""
     long = drift.long_numbers(drift_sides(spark, sf), NUMBERS, ["side"])
     stats = drift.ks_from_counts(drift.side_counts(long))
-    return stats.withColumn("p_value", ks_p(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur")))
+    p = ks_p(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur"))
+    return stats.select("feature", "size_ref", "size_cur", r6("ks_statistic").alias("ks_statistic"), r6(p).alias("p_value"))
 
 
 @query("drift_chi2", SIDES + CHI + f" SELECT feature, {sql_r6('x')} AS chi2_statistic, k - 1 AS dof FROM plain")
@@ -172,7 +174,11 @@ def q_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(drift.drift_histograms(drift_sides(spark, sf), NUMBERS), "bin_start", "bin_end", "density")
 
 
-@query("report_to_json")
+@query("report_to_json", SIDES + TABLE + f""" SELECT feature, feature_type, drift_detected,
+  {', '.join(f'{sql_r6(m)} AS {m}' for m in ('statistic', 'p_value', *MOMENTS))} FROM drift""")
 def q_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The drift table as JSON documents."""
-    return files.report_json(drift.drift_table(drift_sides(spark, sf), NUMBERS, CATEGORIES))
+    """The drift table written as JSON documents and read back."""
+    path = shared_dir(spark, "report")
+    table = drift.drift_table(drift_sides(spark, sf), NUMBERS, CATEGORIES)
+    files.write_report(table, path)
+    return round_columns(spark.read.schema(table.schema).json(path), "statistic", "p_value", *MOMENTS)

@@ -5,11 +5,12 @@ The reduced tree counts keep a local run short; the library defaults are the ful
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.functions.columns import one_row_to_long
 from cohortlens.operators import attribution, calibrate, metrics, models, risk
 from cohortlens.operators.features import Preprocessor
 from cohortlens.operators.split import with_holdout
-from cohortlens.plans.catalog import LEARNERS, query, round_columns, sql_r6
-from cohortlens.plans.feature_queries import prepared
+from cohortlens.plans.catalog import LEARNERS, query, r6, round_columns, sql_r6
+from cohortlens.plans.feature_queries import FIT, FLAGS, prepared
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
 from cohortlens.session import materialize
 from cohortlens.sources.bindings import learners
@@ -133,14 +134,18 @@ def q_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.permutation_importance(df, NUMERIC_FEATURES, scorer, LABEL)
 
 
-@query("feature_names")
+_names = [*NUMERIC_FEATURES, *[f"{c}_{level}" for c, level, _ in FLAGS]]
+_means = [f"({c} - m_{c}) / s_{c}" for c in NUMERIC_FEATURES] + [
+    f"CASE WHEN {c} = '{level}' THEN 1e0 ELSE 0e0 END" for c, level, _ in FLAGS]
+
+
+@query("feature_names", LEARNERS + FIT + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{n}' AS feature, {sql_r6(f'avg({e})')} AS mean FROM filled, stats"
+    for i, (n, e) in enumerate(zip(_names, _means))))
 def q_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names behind the feature vector, with the mean of each over the table."""
     df = prepared(spark, sf)
-    model = Preprocessor().fit(df)
-    flat = model.flat(df)
+    flat = Preprocessor().fit(df).flat(df)
     row = flat.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(flat.columns)])
-    from cohortlens.functions.columns import one_row_to_long
-
     return one_row_to_long(row, [
-        {"position": F.lit(i), "feature": F.lit(c), "mean": F.col(f"m{i}")} for i, c in enumerate(flat.columns)])
+        {"position": F.lit(i), "feature": F.lit(c), "mean": r6(f"m{i}")} for i, c in enumerate(flat.columns)])
