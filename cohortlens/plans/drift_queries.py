@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.functions.distributions import ks_asymptotic, ks_p
 from cohortlens.operators import drift
 from cohortlens.plans.catalog import SIDES, query, r6, round_columns, sql_r6
-from cohortlens.plans.metric_queries import auc_sql, metrics_sql
+from cohortlens.plans.metric_queries import auc_sql
 from cohortlens.plans.profile_queries import histogram_sql
 from cohortlens.session import shared_dir
 from cohortlens.sources import files

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions.columns import portable_hash
 from cohortlens.operators import metrics
-from cohortlens.plans.catalog import DOCUMENTS, LINES, query, r6, round_columns, sql_r6
+from cohortlens.plans.catalog import DOCUMENTS, LINES, query, round_columns, sql_r6
 from cohortlens.sources.bindings import scored_documents, scored_lineitem, table
 
 GROUPS = ["lang", "source", "toxic"]

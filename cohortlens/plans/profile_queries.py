@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.operators import profile
-from cohortlens.plans.catalog import LEARNERS, LINES, query, r6, round_columns, sql_r6
+from cohortlens.plans.catalog import LEARNERS, LINES, query, round_columns, sql_r6
 from cohortlens.schema import BOX_FEATURES, CATEGORICAL_FEATURES, ENTITY_SCHEMA, NUMERIC_FEATURES
 from cohortlens.sources.bindings import learners, scored_lineitem, students, table
 

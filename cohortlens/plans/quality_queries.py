@@ -11,7 +11,6 @@ from cohortlens.sources import files
 from cohortlens.sources.bindings import learners, students, table
 
 STUDENT_COLUMNS = ", ".join(ENTITY_SCHEMA.names)
-LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("students", LEARNERS + f"SELECT {STUDENT_COLUMNS} FROM students")

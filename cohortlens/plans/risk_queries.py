@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.operators import risk
 from cohortlens.plans.catalog import EVENTS, LEARNERS, query, r6, round_columns, sql_r6
 from cohortlens.schema import (FACTOR_RULES, LEVEL_RECOMMENDATIONS, RECOMMENDATION_RULES)
-from cohortlens.sources.bindings import learners, scored_events, table
+from cohortlens.sources.bindings import learners, scored_events
 
 # The pass probability of a learner is given: the final score on a 0-1 scale.
 SCORED = LEARNERS + """, scored AS (SELECT *, least(greatest(final_score / 100.0, 0.0), 1.0) AS probability FROM learners),
