@@ -20,10 +20,10 @@ from cohortlens.llm.common import fields, raw, with_result
 from cohortlens.llm.quality import label_sample
 
 #: The classifier reads at most this many labelled rows, those with the smallest hash of their id.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 SLOTS = 1 << 20
 MIN_DOCUMENTS = 4
-STEPS, RATE, PENALTY, START = 150, 0.3, 2e-4, -6.0
+STEPS, RATE, PENALTY, START = 200, 1.0, 1e-4, -6.0
 THRESHOLD = 0.7
 MAX_MEMO = 300_000
 SENTENCE = re.compile(rb"[^.!?\n]+")
