@@ -5,9 +5,10 @@
 2. Documents with the same words are one *class*, named by the smallest id.
 3. Classes that share a band key are candidates. The packed bits estimate their similarity
    by bit counts, corrected for chance agreement.
-4. First each class is tried with its most similar earlier one in each band, one link a class at
-   most. Then, among classes that these links left apart, all candidates are tried.
-5. Candidates are confirmed on full sets; the components of confirmed links are the groups.
+4. First each class is tried with its most similar earlier one in each band, so a band key gives
+   fewer pairs than it has members. Then classes that these links left apart meet with their
+   full sets where they share a band key; only confirmed links come out.
+5. Every link is confirmed on full sets; the components of the links are the groups.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BAND_ROWS, BITS, MISS = 5, 2, 2e-6
 #: Standard errors below the threshold at which an estimate rules a candidate out.
 ERRORS = 4.5
 #: Members of one band key that meet in one task; larger ones meet block by block.
-BLOCK = 2048
+BLOCK = 1024
 #: Bits of the filter that lets only candidates' texts be read a second time (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
 CHUNK = 1024
@@ -138,49 +139,66 @@ def crowded_bands(classes: DataFrame) -> DataFrame:
     return rows.join(classes.select("id", "bits"), "id")
 
 
-def group_pairs(band_rows: DataFrame, plan: Plan, every: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b): with ``every``, all whose estimate is high enough; else for each
-    member of a part the most similar earlier one. Members of one component (``root``) are not paired."""
-    words = -(-plan.hashes // (64 // BITS))
+def meetings(part: pa.Table, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of classes that meet in a part and have different roots, with their estimates.
 
-    def pairs(key: np.ndarray, ids: np.ndarray, side: np.ndarray, root: np.ndarray, bits: np.ndarray):
-        n = len(ids)
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        size = np.diff(np.append(new, n))
-        start = np.repeat(new, size)
-        best, partner = np.full(n, -1.0), np.zeros(n, np.int64)
-        row, step = np.arange(n), 0
-        while True:
-            step += 1
-            row = row[row - step >= start[row]]
-            if not len(row):
-                break
-            # Within a part of two blocks, members of the same block meet in the block's own part.
-            lo, hi = key[row, 1] >> 15, key[row, 1] & 0x7FFF
-            meet = (root[row] != root[row - step]) & ((lo == hi) | (side[row] != side[row - step]))
-            at = row[meet]
-            if not len(at):
-                continue
-            like = similarity(bits[at], bits[at - step], plan)
-            if every:
-                good = like >= plan.least
-                yield ids[at[good] - step], ids[at[good]]
-            else:
-                better = like > best[at]
-                best[at[better]], partner[at[better]] = like[better], at[better] - step
-        if not every:
-            at = np.flatnonzero(best >= plan.least)
-            yield ids[partner[at]], ids[at]
+    Rows are sorted by part, and each step pairs every row with the one ``step`` rows before it.
+    """
+    words = -(-plan.hashes // (64 // BITS))
+    band, number, side, root = (part[c].to_numpy() for c in ("band", "part", "side", "root"))
+    bits = np.frombuffer(b"".join(part["bits"].to_pylist()), "<u8").reshape(-1, words)
+    new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (number[1:] != number[:-1])]))
+    start = np.repeat(new, np.diff(np.append(new, len(band))))
+    row, step = np.arange(len(band)), 0
+    while True:
+        step += 1
+        row = row[row - step >= start[row]]
+        if not len(row):
+            return
+        # In a part of two blocks, members of one block do not meet: that block has a part of its own.
+        one_block = number[row] >> 15 == number[row] & 0x7FFF
+        at = row[(root[row] != root[row - step]) & (one_block | (side[row] != side[row - step]))]
+        if len(at):
+            yield at - step, at, similarity(bits[at - step], bits[at], plan)
+
+
+def best_partners(part: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Each member with the earlier one of its part that seems most similar, where that is similar enough."""
+    best, partner = np.full(part.num_rows, plan.least), np.full(part.num_rows, -1)
+    for before, at, like in meetings(part, plan):
+        better = like >= best[at]
+        best[at[better]], partner[at[better]] = like[better], before[better]
+    at = np.flatnonzero(partner >= 0)
+    return partner[at], at
+
+
+def confirmed_partners(part: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose estimates allow it and whose full sets are similar enough, each in the first band it shares."""
+    bands = np.array(part["bands"].to_pylist(), np.int64).reshape(-1, plan.bands)
+    own = (bands == part["band"].to_numpy()[:, None]).argmax(axis=1)
+    items = [np.frombuffer(x, "<u8") for x in part["items"].to_pylist()]
+    one, two = [], []
+    for before, at, like in meetings(part, plan):
+        good = like >= plan.least
+        before, at = before[good], at[good]
+        first = (bands[before] == bands[at]).argmax(axis=1) == own[at]
+        for i, j in zip(before[first].tolist(), at[first].tolist()):
+            if similar(items[i], items[j], plan):
+                one.append(i)
+                two.append(j)
+    return np.array(one, np.int64), np.array(two, np.int64)
+
+
+def group_pairs(band_rows: DataFrame, plan: Plan, choose) -> DataFrame:
+    """Distinct pairs (a, b) of ids that ``choose`` finds in the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        def out(part: pa.Table) -> pa.RecordBatch:
             part = part.combine_chunks()
-            key = np.column_stack([part["band"].to_numpy(), part["part"].to_numpy().astype(np.int64)])
-            bits = np.frombuffer(b"".join(part["bits"].to_pylist()), "<u8").reshape(-1, words)
-            columns = [part[c].to_numpy() for c in ("id", "side", "root")]
-            for a, b in pairs(key, *columns, bits):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            ids = part["id"].to_numpy()
+            one, two = choose(part, plan)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(ids[one], ids[two])), pa.array(np.maximum(ids[one], ids[two]))], ["a", "b"])
 
         # Rows come sorted by part; the last part of a batch may go on in the next one.
         held: pa.Table | None = None
@@ -191,13 +209,12 @@ def group_pairs(band_rows: DataFrame, plan: Plan, every: bool) -> DataFrame:
             same = (band == band[-1]) & (part == part[-1])
             done = len(band) - int(same.sum())
             if done:
-                yield from out(held.slice(0, done))
+                yield out(held.slice(0, done))
                 held = held.slice(done)
         if held is not None and held.num_rows:
-            yield from out(held)
+            yield out(held)
 
-    sort = ["band", "part", "id"]
-    dealt = band_rows.repartition("band", "part").sortWithinPartitions(*sort)
+    dealt = band_rows.repartition("band", "part").sortWithinPartitions("band", "part", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -228,18 +245,21 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width:
     return rows.withColumn("p", place).mapInArrow(arrow_rows(build, schema), "id long, items binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, plan: Plan) -> bool:
+    """The exact test on full sets."""
+    if plan.percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= plan.percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Pairs whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def build(columns: dict) -> dict:
-        good = []
-        for i, (one, two) in enumerate(zip(columns["x"], columns["y"])):
-            x, y = np.frombuffer(one.as_py(), "<u8"), np.frombuffer(two.as_py(), "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= plan.percent * (len(x) + len(y) - both):
-                good.append(i)
-        chosen = pa.array(good, pa.int64())
+        chosen = pa.array([i for i, (x, y) in enumerate(zip(columns["x"], columns["y"])) if similar(
+            np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), plan)], pa.int64())
         return {"a": columns["a"].take(chosen), "b": columns["b"].take(chosen)}
 
     first = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
@@ -269,9 +289,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = sets.dropDuplicates(["id"])
 
     alone = crowded.withColumn("root", F.col("id"))
-    links = materialize(confirmed(group_pairs(alone, plan, every=False), sets, plan), "confirmed")
-    apart = joined_apart(crowded, components(links))
-    more = materialize(confirmed(group_pairs(apart, plan, every=True), sets, plan), "confirmed")
+    links = materialize(confirmed(group_pairs(alone, plan, best_partners), sets, plan), "confirmed")
+    apart = joined_apart(crowded, components(links)).join(classes.select("id", "bands"), "id").join(sets, "id")
+    more = materialize(group_pairs(apart, plan, confirmed_partners), "confirmed")
     roots = components(links.union(more))
 
     names = classes.select("words_key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
