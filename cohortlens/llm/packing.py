@@ -13,6 +13,8 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import re
+import struct
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -30,14 +32,28 @@ CAPACITY = 4096
 PIECE = 512
 #: Pieces in a group, on average. Rounding up wastes half a window a group.
 GROUP_PIECES = 2048
-MAX_MEMO = 300_000
+MAX_MEMO = 600_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64())])
 PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+#: Latin letters that normalising leaves alone but for their case, then plain punctuation: two matches of the split.
+SIMPLE = re.compile("([a-zß-öø-ÿA-ZÀ-ÖØ-Þ]+)([!#$%&*,.:;?]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokenizer:
-    """Ids of a vocabulary that drops white space, so that each word can be looked up."""
+    """Ids of a vocabulary that drops white space, so that each word can be looked up.
+
+    Simple words go straight to the merges; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -46,6 +62,17 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[bytes, bytes] = {}
+        self.alphabet = byte_alphabet()
+
+    def simple_ids(self, word: str) -> list[int] | None:
+        found = SIMPLE.fullmatch(word)
+        if not found:
+            return None
+        merge, ids = self.tokenizer.model.tokenize, []
+        for piece in found.groups():
+            if piece:
+                ids += [t.id for t in merge(piece.lower().encode().decode("latin-1").translate(self.alphabet))]
+        return ids
 
     def packed_ids(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
@@ -56,8 +83,11 @@ class WordTokenizer:
             if len(memo) > MAX_MEMO:
                 memo.clear()
                 missing = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found))
+            found = {w: self.simple_ids(w.decode("utf-8", "replace")) for w in missing}
+            other = [w for w, ids in found.items() if ids is None]
+            encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+            found.update(zip(other, (e.ids for e in encoded)))
+            memo.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in found.items())
         return b"".join(map(memo.__getitem__, words))
 
 
