@@ -25,8 +25,8 @@ from cohortlens.llm.common import fields, frame_of, raw, with_result
 
 ROOT = 0
 ITEMS, FINAL = -1, -2
-MAX_STATES = 250_000
-MAX_MEMO = 250_000
+MAX_STATES = 400_000
+MAX_MEMO = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
