@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-# Largest sample for which the two-sample p-value is computed exactly.
-EXACT_KS_LIMIT = 10000
 SERIES_TERMS = 100
 
 
@@ -100,10 +98,6 @@ def chi_square_tail(x: float, dof: int) -> float:
     return math.erfc(math.sqrt(x / 2.0)) if dof == 1 else gamma_tail(dof / 2.0, x / 2.0)
 
 
-def _exact_or_none(d: float, m: int, n: int) -> float | None:
-    return None if max(m, n) > EXACT_KS_LIMIT else ks_exact_tail(d, m, n)
-
-
 def _ship_by_value() -> None:
     """Send this module along with its functions; executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -120,12 +114,19 @@ def chi_square_p(x: Column | str, dof: Column | str) -> Column:
     return tail(x, dof)
 
 
-def ks_p(statistic: Column, n_ref: Column, n_cur: Column) -> Column:
-    """Exact up to ``EXACT_KS_LIMIT`` rows a side, asymptotic above. One row per feature."""
+def ks_p(statistic: Column, n_ref: Column, n_cur: Column, method: str = "asymptotic") -> Column:
+    """Two-sample p-value by the method asked for, whatever the number of rows.
+
+    ``exact`` counts paths on one row per feature, in time that grows with the product of the sizes.
+    """
+    if method == "asymptotic":
+        return ks_asymptotic(statistic, n_ref, n_cur)
+    if method != "exact":
+        raise ValueError(f"unknown method {method}")
     _ship_by_value()
 
     @F.pandas_udf("double")
     def exact(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_exact_or_none(a, int(b), int(c)) for a, b, c in zip(d, m, n)], dtype="float64")
+        return pd.Series([ks_exact_tail(a, int(b), int(c)) for a, b, c in zip(d, m, n)], dtype="float64")
 
-    return F.coalesce(exact(statistic, n_ref, n_cur), ks_asymptotic(statistic, n_ref, n_cur))
+    return exact(statistic, n_ref, n_cur)

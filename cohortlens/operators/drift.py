@@ -29,10 +29,17 @@ def tag_sides(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def feature_kinds(df: DataFrame, exclude: Sequence[str] = (KEY, *TARGETS, "side")) -> tuple[list[str], list[str]]:
-    """(numeric, categorical) feature columns; keys and targets are not features."""
+    """(numeric, categorical) feature columns; keys and targets are not features.
+
+    Dates and timestamps are compared as categories, and nested types cannot be compared.
+    """
     fields = [f for f in df.schema.fields if f.name not in exclude]
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-    return numeric, [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    texts = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    other = [f.name for f in fields if not isinstance(f.dataType, (T.NumericType, *texts))]
+    if other:
+        raise ValueError(f"no drift test for the types of {', '.join(other)}: leave these columns out")
+    return numeric, [f.name for f in fields if isinstance(f.dataType, texts)]
 
 
 def side_counts(long: DataFrame) -> DataFrame:

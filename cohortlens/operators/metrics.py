@@ -127,7 +127,11 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = tuple(SWEEP_THR
 
 def calibration_curve(df: DataFrame, bins: int = CALIBRATION_BINS, label: str = "label",
                       probability: str = "probability") -> DataFrame:
-    """Observed rate and mean score per equal-width bin (lo, hi]; empty bins are absent."""
+    """Observed rate and mean score per equal-width bin (lo, hi]; empty bins are absent.
+
+    Rows without a label or a score are left out.
+    """
+    df = df.filter(F.col(label).isNotNull() & F.col(probability).isNotNull())
     spot = F.greatest(F.ceil(F.col(probability) * bins) - 1, F.lit(0)).alias("bin")
     return df.groupBy(spot).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("fraction_positive"),
@@ -138,9 +142,10 @@ def fairness_table(df: DataFrame, dimensions: Sequence[str], label: str = "label
                    min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """Size, pass rate, mean score, AUC and Brier score per level of each dimension.
 
-    Null levels and groups below ``min_size`` are left out; a group with one class gets
-    an AUC of 0.
+    Null levels, rows without a label or a score, and groups below ``min_size`` are left
+    out; a group with one class gets an AUC of 0.
     """
+    df = df.filter(F.col(label).isNotNull() & F.col(probability).isNotNull())
     narrow = df.select(F.col(label).cast("bigint").alias("label"), F.col(probability).alias("probability"), *dimensions)
     long = to_long(narrow, dimensions, ["label", "probability"], "string", "dimension", "level")
     by = ["dimension", "level"]

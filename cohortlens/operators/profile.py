@@ -13,8 +13,8 @@ from cohortlens.schema import (BOX_FEATURES, HIGH_CORRELATION, HISTOGRAM_BINS, L
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., feature, value) of the numeric cells that hold a value."""
-    return to_long(df, columns, keep, "double")
+    """(keep..., feature, value) of the numeric cells that hold a number; NaN counts as missing."""
+    return to_long(df, columns, keep, "double").filter(~F.isnan("value"))
 
 
 def long_texts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

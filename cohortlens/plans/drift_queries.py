@@ -89,7 +89,7 @@ def q_ks_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("drift_ks_auto", SIDES + KS + f" SELECT feature, nr AS size_ref, nc AS size_cur, {sql_r6('d')} AS ks_statistic, {sql_r6('p')} AS p_value FROM ksp")
 def q_ks_auto(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact p-values for small tables, asymptotic ones (as in the SQL) above 10,000 rows a side."""
+    """The default method: asymptotic at every size."""
     long = drift.long_numbers(drift_sides(spark, sf), NUMBERS, ["side"])
     stats = drift.ks_from_counts(drift.side_counts(long))
     p = ks_p(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur"))

@@ -137,14 +137,20 @@ def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @query("calibration_curve", DOCUMENTS + f"""
 SELECT greatest(CAST(ceil(probability * 10) AS BIGINT) - 1, 0) AS bin, count(*) AS n,
   {sql_r6('avg(CAST(label AS DOUBLE))')} AS fraction_positive, {sql_r6('avg(probability)')} AS mean_probability
-FROM scored GROUP BY 1""")
+FROM scored WHERE doc_id % 17 <> 0 GROUP BY 1""")
 def q_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return round_columns(metrics.calibration_curve(scored_documents(spark, sf)), "fraction_positive", "mean_probability")
+    """Some scores are blanked; those rows are in no bin."""
+    return round_columns(metrics.calibration_curve(blanked(scored_documents(spark, sf))), "fraction_positive", "mean_probability")
 
 
-def _fairness_sql(dimensions) -> str:
+def blanked(df: DataFrame) -> DataFrame:
+    return df.withColumn("probability", F.when(F.col("doc_id") % 17 != 0, F.col("probability")))
+
+
+def _fairness_sql(dimensions, having: str = "TRUE") -> str:
     long = " UNION ALL ".join(
-        f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS level, label, probability FROM scored WHERE {d} IS NOT NULL" for d in dimensions)
+        f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS level, label, probability FROM scored WHERE {d} IS NOT NULL AND {having}"
+        for d in dimensions)
     return f""",
 long AS ({long}),
 areas AS ({auc_sql('long', 'dimension, level, ')})
@@ -159,9 +165,10 @@ JOIN areas ON areas.dimension = g.dimension AND areas.level = g.level"""
 FAIR = ("pass_rate", "mean_probability", "roc_auc", "brier_score")
 
 
-@query("fairness_table", DOCUMENTS + _fairness_sql(GROUPS))
+@query("fairness_table", DOCUMENTS + _fairness_sql(GROUPS, "doc_id % 17 <> 0"))
 def q_fairness(spark: SparkSession, sf: str) -> DataFrame:
-    return round_columns(metrics.fairness_table(scored_documents(spark, sf), GROUPS), *FAIR)
+    """Some scores are blanked; those rows are in no group."""
+    return round_columns(metrics.fairness_table(blanked(scored_documents(spark, sf)), GROUPS), *FAIR)
 
 
 @query("fairness_table_lineitem", LINES + _fairness_sql(["l_linestatus", "l_returnflag", "l_linenumber"]))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def build_session(app: str = "cohortlens", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with adaptive execution and UTC timestamps."""
@@ -27,17 +24,15 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, which must name one that all executors share.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors would not see one another's files there.
+    Only a local master may leave it unset: its files then go to the session's warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        app_id = spark.sparkContext.applicationId
-        base = _LOCAL_DIRS.setdefault(app_id, tempfile.mkdtemp(prefix="cohortlens-"))
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

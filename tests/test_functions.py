@@ -82,7 +82,23 @@ def test_exact_ks(m, n):
 def test_exact_and_asymptotic_agree_for_large_samples(spark):
     df = spark.createDataFrame([(0.02, 9000, 8000), (0.03, 9000, 8000)], "d double, m bigint, n bigint")
     rows = df.select("d", "m", "n", distributions.ks_asymptotic(F.col("d"), F.col("m"), F.col("n")).alias("p"),
-                     distributions.ks_p(F.col("d"), F.col("m"), F.col("n")).alias("exact")).collect()
+                     distributions.ks_p(F.col("d"), F.col("m"), F.col("n"), "exact").alias("exact")).collect()
     for row in rows:
         assert row.exact == pytest.approx(distributions.ks_exact_tail(row.d, row.m, row.n))
         assert row.p == pytest.approx(row.exact, rel=0.05)
+
+
+def test_dates_are_drift_categories(spark):
+    from cohortlens.operators import drift
+
+    df = spark.sql("SELECT 1 AS n, 'a' AS t, DATE '2024-01-01' AS d, TIMESTAMP '2024-01-01 00:00:00' AS s, true AS b")
+    assert drift.feature_kinds(df) == (["n"], ["t", "d", "s", "b"])
+    with pytest.raises(ValueError):
+        drift.feature_kinds(spark.sql("SELECT array(1) AS a"))
+
+
+def test_histogram_leaves_nan_out(spark):
+    from cohortlens.operators.profile import histogram
+
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,)], "x double")
+    assert sorted((r.bin, r.n) for r in histogram(df, ["x"], bins=2).collect()) == [(0, 1), (1, 1)]
