@@ -99,8 +99,20 @@ def count_words(docs: DataFrame, key: str, text: str, training: Column) -> DataF
 
 
 def gather(counts: DataFrame) -> Counts:
-    """What every task needs of the counts: sums, and the ``HEAD`` most frequent words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    """What every task needs of the counts: sums, and the most frequent words, at most ``HEAD`` of them.
+
+    Words are taken by classes of equal magnitude of their count, as many classes as fit, so
+    no task sends more than its share; a class that does not fit is joined like all below it.
+    """
+    size = F.floor(F.log2("n") * 8).cast("int")
+    room, least = HEAD, None
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # some hundred rows
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["size"]
+    top = counts.filter(size >= least if least is not None else F.lit(False)).toPandas().sort_values(
+        ["n", "word"], ascending=[False, True])
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     rank = np.full(len(top), -1, np.int64)
     words = np.flatnonzero(hashes != END)[: OWN - 1]
