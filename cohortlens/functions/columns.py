@@ -118,7 +118,7 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str], kind: st
     return df.select(*keep, F.inline(F.array(*cells))).filter(F.col(value).isNotNull())
 
 
-def one_row_to_long(row: DataFrame, records: Sequence[dict[str, Column]]) -> DataFrame:
-    """Turn a one-row aggregate into one output row per record."""
+def one_row_to_long(row: DataFrame, records: Sequence[dict[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
+    """Turn each row of an aggregate (mostly one) into one output row per record."""
     structs = [F.struct(*[c.alias(n) for n, c in rec.items()]) for rec in records]
-    return row.select(F.inline(F.array(*structs)))
+    return row.select(*keep, F.inline(F.array(*structs)))

@@ -6,10 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.columns import one_row_to_long
+from cohortlens.functions.columns import key_hash, one_row_to_long
 from cohortlens.operators.metrics import roc_auc
-
-ROWS_PER_BLOCK = 100_000
+from cohortlens.operators.ordered import bucket_count
 
 
 def linear_contributions(df: DataFrame, coefficients: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
@@ -33,32 +32,40 @@ def waterfall(contributions: DataFrame, row: Column, features: Sequence[str]) ->
     return long.orderBy(F.desc(F.abs("contribution")), "feature")
 
 
-def shuffled(df: DataFrame, columns: Sequence[str], n_rows: int, seed: int = 42) -> DataFrame:
+def shuffled(df: DataFrame, columns: Sequence[str], key: str, seed: int = 42) -> DataFrame:
     """Add ``<c>__shuffled``: another random row's value for each column.
 
-    Rows fall into random blocks of about ``ROWS_PER_BLOCK`` and each takes the next
-    row's values in the block's random order, the last one the first's: a permutation of
-    each block, without a join or a global order.
+    Rows stand in the order of a hash of their key and each takes the next row's values, the
+    last one the first's. Hash ranges are ordered one by one; the last row of a range takes
+    the values of the next range's first row. The permutation covers the whole table and
+    depends neither on the number of ranges nor on how the rows are spread.
     """
-    blocks = max(1, n_rows // ROWS_PER_BLOCK)
-    placed = df.withColumns({"__block": F.floor(F.rand(seed) * blocks), "__order": F.rand(seed + 1)})
-    window = Window.partitionBy("__block").orderBy("__order")
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.row_number().over(window) == F.count(F.lit(1)).over(Window.partitionBy("__block"))
-    return placed.withColumns({
-        f"{c}__shuffled": F.when(last, F.first(c).over(whole)).otherwise(F.lead(c).over(window)) for c in columns
-    }).drop("__block", "__order")
+    ranges = bucket_count(df)
+    width = (1 << 31) // ranges + 1
+    placed = df.withColumn("__order", F.coalesce(key_hash(df, key, seed), F.lit(0))).withColumn(
+        "__range", F.expr(f"__order div {width}"))
+    firsts = placed.groupBy("__range").agg(
+        F.min(F.struct("__order", F.col(key).alias("__key"), *columns)).alias("first"))
+    # One row per range.
+    steps = Window.partitionBy().orderBy("__range")
+    following = firsts.select(
+        "__range", F.coalesce(F.lead("first").over(steps), F.first("first").over(steps)).alias("__next"))
+    window = Window.partitionBy("__range").orderBy("__order", key, *columns)
+    joined = placed.join(F.broadcast(following), "__range").withColumn("__last", F.lead("__order").over(window).isNull())
+    return joined.withColumns({
+        f"{c}__shuffled": F.when(F.col("__last"), F.col(f"__next.{c}")).otherwise(F.lead(c).over(window)) for c in columns
+    }).select(*df.columns, *[f"{c}__shuffled" for c in columns])
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], scorer: Callable[[DataFrame], DataFrame],
-                           label: str, seed: int = 42) -> DataFrame:
+                           label: str, key: str, seed: int = 42) -> DataFrame:
     """Drop in AUC when one feature is shuffled, largest first.
 
     ``scorer`` turns a table into one with ``feature``, the label and ``probability``. Every
     row is expanded in place to one variant per feature plus the unchanged row, so the
-    table is read, shuffled and scored once.
+    table is shuffled and scored once.
     """
-    mixed = shuffled(df, features, df.count(), seed)
+    mixed = shuffled(df, features, key, seed)
     others = [c for c in df.columns if c not in features]
     variants = [F.struct(
         F.lit(name or "").alias("feature"),

@@ -13,8 +13,6 @@ from cohortlens.operators.split import with_folds
 from cohortlens.schema import LABEL
 from cohortlens.session import materialize
 
-SCORE_STEPS = 1_000_000
-
 
 @dataclass
 class CalibratedModel:
@@ -45,14 +43,11 @@ class CalibratedModel:
 def fit_curve(scored: DataFrame, label: str = LABEL, probability: str = "probability") -> IsotonicRegressionModel:
     """Isotonic curve of label on score.
 
-    Spark finishes the pooling on the driver, so rows first fold into weighted points at a
-    resolution of ``1 / SCORE_STEPS``: never more than ``SCORE_STEPS`` points, however many
-    rows, and the very scores as long as they lie further apart than that.
+    Rows of one score fold into a weighted point. Spark pools the points of each score range
+    in its own task; the driver gets the pools, and merges those at the seams.
     """
-    step = F.floor(F.col(probability) * SCORE_STEPS)
-    points = scored.groupBy(step.alias("step")).agg(
-        F.avg(probability).alias(probability), F.avg(F.col(label).cast("double")).alias("label"),
-        F.count(F.lit(1)).cast("double").alias("weight")).drop("step")
+    points = scored.filter(F.col(probability).isNotNull() & F.col(label).isNotNull()).groupBy(probability).agg(
+        F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     return IsotonicRegression(featuresCol=probability, labelCol="label", weightCol="weight").fit(points)
 
 

@@ -189,6 +189,23 @@ def drift_summary(table: DataFrame, performance: DataFrame | None = None) -> Dat
         (significant | (drop > F1_DEGRADATION)).alias("needs_attention"))
 
 
+def category_bars(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count and share of each level on both sides; a level that one side lacks has a share of 0 there."""
+    side = lambda name, n: F.struct(F.lit(name).alias("side"), F.col(n).alias("n"))
+    long = category_counts(df, columns).select("feature", "value", F.inline(F.array(side(REF, "n_ref"), side(CUR, "n_cur"))))
+    sizes = long.groupBy("feature", "side").agg(F.sum("n").alias("size"))
+    return long.join(sizes, ["feature", "side"]).select(
+        "side", "feature", "value", "n", F.coalesce(F.try_divide("n", "size"), F.lit(0.0)).alias("share"))
+
+
+def drift_visuals(df: DataFrame, table: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Histograms and category bars of the ``n`` most drifted features of a drift table."""
+    numeric, texts = feature_kinds(df)
+    top = top_drifted(table, n).select("feature")
+    return (drift_histograms(df, numeric).join(top, "feature", "left_semi"),
+            category_bars(df, texts).join(top, "feature", "left_semi"))
+
+
 def drift_histograms(df: DataFrame, columns: Sequence[str], shared_range: bool = False) -> DataFrame:
     """Density histograms of each numeric feature on both sides."""
     return histogram(df, columns, ["side"], shared_range=shared_range)

@@ -38,12 +38,12 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label",
     return _rates(confusion_counts(df, by, label, prediction), by)
 
 
-def classification_report(df: DataFrame, label: str = "label") -> DataFrame:
-    """Precision, recall, F1 and support per class, then macro and weighted averages.
+def classification_report(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class, then macro and weighted averages, for each group.
 
     Undefined ratios count as zero in the averages.
     """
-    counts = confusion_counts(df, label=label)
+    counts = confusion_counts(df, by, label)
     per_class = []
     for name, hit, missed, wrong in (("0", "tn", "fp", "fn"), ("1", "tp", "fn", "fp")):
         h, m, w = F.col(hit), F.col(missed), F.col(wrong)
@@ -57,7 +57,7 @@ def classification_report(df: DataFrame, label: str = "label") -> DataFrame:
     rows = [*per_class, ("macro avg", *macro, total), ("weighted avg", *weighted, total)]
     names = ("class", "precision", "recall", "f1", "support")
     return one_row_to_long(counts, [
-        dict(zip(names, (F.lit(name), *cols), strict=True)) for name, *cols in rows])
+        dict(zip(names, (F.lit(name), *cols), strict=True)) for name, *cols in rows], by)
 
 
 def brier_score(df: DataFrame, by: Sequence[str] = (), label: str = "label",

@@ -40,7 +40,6 @@ BOOST_ROUNDS = 300
 BOOST_RATE = 0.1
 BOOST_DEPTH = 4
 SEED = 42
-MAX_CLASSES = 100
 # Parameter space of the sweep: low, high, kind.
 SEARCH_SPACE = {
     "n_estimators": (200, 1000, "int"),
@@ -61,22 +60,6 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return counts.withColumn("weight", total / (classes * F.col("n")))
 
 
-def class_counts(df: DataFrame, label: str = LABEL) -> dict:
-    rows = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
-    return {r[label]: r["n"] for r in rows}
-
-
-def with_class_weight(df: DataFrame, counts: dict, label: str = LABEL) -> DataFrame:
-    """Add the balanced weight as a projection over the few class counts."""
-    total = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for value, n in counts.items():
-        weight = F.when(F.col(label) == value, F.lit(total / (len(counts) * n))).otherwise(weight)
-    return df.withColumn(WEIGHT, weight)
-
-
 def preprocessing(engineered: bool = False) -> list:
     """Stages before a classifier; engineered columns join the numeric features on request."""
     if engineered:
@@ -153,13 +136,15 @@ def prepare(df: DataFrame, label: str = LABEL, engineered: bool = False, store:
     With ``store`` the prepared rows are written, for when several classifiers read them.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    counts = class_counts(df, label)
-    if len(counts) < 2:
-        raise ValueError(f"{label} needs two classes to learn from, found {sorted(counts)}")
+    weights = class_weights(df, label)
+    facts = weights.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).first()
+    if facts["classes"] < 2:
+        raise ValueError(f"{label} needs two classes to learn from, found {facts['classes']}")
     labelled = df.filter(F.col(label).isNotNull())
     prep = Pipeline(stages=preprocessing(engineered)).fit(labelled)
-    rows = with_class_weight(prep.transform(labelled), counts, label).select(label, WEIGHT, "features")
-    return Prepared(prep.stages, materialize(rows, "prepared") if store else rows, sum(counts.values()))
+    rows = prep.transform(labelled).join(weights.select(label, F.col("weight").alias(WEIGHT)), label).select(
+        label, WEIGHT, "features")
+    return Prepared(prep.stages, materialize(rows, "prepared") if store else rows, facts["n"])
 
 
 def fit(df: DataFrame, build: Builder, label: str = LABEL, engineered: bool = False) -> PipelineModel:
@@ -227,15 +212,16 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
     failed = [(name, fold, m, 0.0) for (name, _, fold), r in zip(jobs, results) if r is None for m in SCORES]
     parts = []
     if done:
-        parts.append(score_table(union_all(done), ["model", "fold"], label))
+        # Stored, as rates and AUC both read the predictions.
+        parts.append(score_table(materialize(union_all(done), "predictions"), ["model", "fold"], label))
     if failed:
         parts.append(df.sparkSession.createDataFrame(failed, "model string, fold int, metric string, score double"))
     return union_all(parts)
 
 
-def compare_on_holdout(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL,
-                       test_share: float = 0.2) -> DataFrame:
-    """F1, AUC, accuracy, precision, recall and the confusion counts of each model on held-out rows."""
+def holdout_predictions(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL,
+                        test_share: float = 0.2) -> DataFrame:
+    """(label, probability, model) of each model on held-out rows, stored: each model scores once."""
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, test = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
     prepared = prepare(train, label, store=True)
@@ -245,7 +231,16 @@ def compare_on_holdout(df: DataFrame, key: str, builders: dict[str, Builder], la
             frames.append(score(prepared.fit(build), test, [label]).withColumn("model", F.lit(name)))
         except Exception as err:
             log.error("%s failed: %s", name, err)
-    predictions = union_all(frames)
+    return materialize(union_all(frames), "predictions")
+
+
+def compare_on_holdout(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL,
+                       test_share: float = 0.2) -> DataFrame:
+    """F1, AUC, accuracy, precision, recall and the confusion counts of each model on held-out rows.
+
+    ``metrics.classification_report(holdout_predictions(...), label, ["model"])`` has the report by class.
+    """
+    predictions = holdout_predictions(df, key, builders, label, test_share)
     # One row per model.
     areas = F.broadcast(metrics.roc_auc(predictions, ["model"], label).select("model", "roc_auc"))
     hits = F.broadcast(metrics.confusion_counts(predictions, ["model"], label))
@@ -321,7 +316,7 @@ def sweep(df: DataFrame, key: str, trials: Sequence[dict], label: str = LABEL, t
     table = spark.createDataFrame([(i, *[float(t[n]) for n in names]) for i, t in enumerate(trials)], columns)
     if not frames:
         return table.withColumns({"f1": F.lit(0.0), "roc_auc": F.lit(0.0)})
-    predictions = union_all(frames)
+    predictions = materialize(union_all(frames), "predictions")
     rates = metrics.binary_metrics(predictions, ["trial"], label).select("trial", "f1")
     areas = metrics.roc_auc(predictions, ["trial"], label).select("trial", "roc_auc")
     return table.join(rates, "trial", "left").join(areas, "trial", "left").na.fill(0.0, ["f1", "roc_auc"])

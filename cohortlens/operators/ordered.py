@@ -98,9 +98,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
                     probs: Sequence[float], buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles: one row per ``by`` with columns q0, q1, ...
 
-    ``by[0]`` is the feature name; the number of groups must be small, since the wanted
-    ranks (two per group and probability) are broadcast. Only the value ranges that
-    hold a wanted rank are ordered.
+    ``by[0]`` is the feature name. Only the value ranges that hold a wanted rank are ordered.
     """
     counts = distinct_counts(df, by, value, n=F.count(F.lit(1)))
     bucketed = with_buckets(counts, value, ["n"], feature=by[0], buckets=buckets)
@@ -123,7 +121,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
     )
     window = Window.partitionBy(*by, "bucket").orderBy(value)
     ranked = (
-        bucketed.join(F.broadcast(targets), [*by, "bucket"])
+        bucketed.join(targets, [*by, "bucket"])
         .withColumn("end", F.col("start") + F.sum("n").over(window))
         .select(*by, value, "n", "end", F.inline("wanted"))
         .filter((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
@@ -163,9 +161,8 @@ def rank_cutoffs(df: DataFrame, stratum: str, key: str, seed: int, wanted: Seque
         .agg(F.collect_list("rank").alias("ranks"))
     )
     window = Window.partitionBy("stratum", "bucket").orderBy("hash", "key")
-    # One target row per stratum and wanted rank at most.
     cuts = (
-        hashed.join(F.broadcast(targets), ["stratum", "bucket"])
+        hashed.join(targets, ["stratum", "bucket"])
         .groupBy("stratum", "bucket", "start", "ranks", "hash", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("end", F.col("start") + F.sum("n").over(window))

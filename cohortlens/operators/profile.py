@@ -82,7 +82,7 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bin
     """Equal-width bins over min..max per feature (and group); the last bin is closed.
 
     Returns every non-empty bin with its edges, count and density. A constant feature
-    gets the range value +- 0.5. ``by`` must be a small set of groups (sides, classes).
+    gets the range value +- 0.5. The planner joins the edges by the size they turn out to have.
     """
     long = long_numbers(df, columns, by)
     over = ["feature"] if shared_range else [*by, "feature"]
@@ -90,14 +90,13 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bin
     same = F.col("low") == F.col("high")
     ends = ends.select(*over, F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
                        F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
-    # One row per driver-known feature and group.
-    placed = long.join(F.broadcast(ends), over)
+    placed = long.join(ends, over)
     spot = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     counts = placed.groupBy(*by, "feature", "low", "high", F.least(spot, F.lit(bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(*by, "feature").agg(F.sum("n").alias("size"))
     width = (F.col("high") - F.col("low")) / bins
-    return counts.join(F.broadcast(sizes), [*by, "feature"]).select(
+    return counts.join(sizes, [*by, "feature"]).select(
         *by, "feature", "bin", (F.col("low") + width * F.col("bin")).alias("bin_start"),
         (F.col("low") + width * (F.col("bin") + 1)).alias("bin_end"), "n",
         (F.col("n") / (F.col("size") * width)).alias("density"))
@@ -112,8 +111,7 @@ def box_stats(df: DataFrame, columns: Sequence[str] = tuple(BOX_FEATURES), label
         "feature", label, "q0", "q1", "q2", (F.col("q0") - 1.5 * spread).alias("fence_low"),
         (F.col("q2") + 1.5 * spread).alias("fence_high"))
     inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
-    # One row per feature and class.
-    joined = long.join(F.broadcast(fences), ["feature", label])
+    joined = long.join(fences, ["feature", label])
     return joined.groupBy("feature", label).agg(
         F.count(F.lit(1)).alias("n"), F.max("q0").alias("q1"), F.max("q1").alias("median"),
         F.max("q2").alias("q3"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

@@ -174,6 +174,18 @@ def q_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(drift.drift_histograms(drift_sides(spark, sf), NUMBERS), "bin_start", "bin_end", "density")
 
 
+@query("drift_category_bars", SIDES + f""",
+texts AS ({number_rows(CATEGORIES)}),
+levels AS (SELECT DISTINCT feature, value FROM texts),
+sizes AS (SELECT feature, side, count(*) AS size FROM texts GROUP BY feature, side),
+found AS (SELECT feature, side, value, count(*) AS n FROM texts GROUP BY feature, side, value)
+SELECT s.side AS side, l.feature AS feature, l.value AS value, coalesce(n, 0) AS n, {sql_r6('coalesce(n, 0) / CAST(size AS DOUBLE)')} AS share
+FROM levels l JOIN sizes s ON s.feature = l.feature
+LEFT JOIN found f ON f.feature = l.feature AND f.value = l.value AND f.side = s.side""")
+def q_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return round_columns(drift.category_bars(drift_sides(spark, sf), CATEGORIES), "share")
+
+
 @query("report_to_json", SIDES + TABLE + f""" SELECT feature, feature_type, drift_detected,
   {', '.join(f'{sql_r6(m)} AS {m}' for m in ('statistic', 'p_value', *MOMENTS))} FROM drift""")
 def q_json(spark: SparkSession, sf: str) -> DataFrame:

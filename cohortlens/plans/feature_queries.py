@@ -77,7 +77,8 @@ def q_preprocess(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(plain_names(model.flat(df, ["k"])), *NUMERIC_FEATURES)
 
 
-@query("feature_sanity", LEARNERS + "SELECT count(*) AS n_rows, 20 AS n_features, 0 AS rows_with_nan, 0 AS rows_with_inf FROM learners")
+@query("feature_sanity", LEARNERS + f"""SELECT count(*) AS n_rows, CAST({len(NUMERIC_FEATURES)} + count(DISTINCT gender)
+  + count(DISTINCT school_type) + count(DISTINCT parent_edu) AS INTEGER) AS n_features, 0 AS rows_with_nan, 0 AS rows_with_inf FROM learners""")
 def q_sanity(spark: SparkSession, sf: str) -> DataFrame:
     df, model = fitted(spark, sf)
     return quality.vector_sanity(model.transform(df))

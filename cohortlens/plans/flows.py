@@ -121,7 +121,7 @@ def evaluate(scored: DataFrame, dimensions: Sequence[str] = tuple(CATEGORICAL_FE
 def importance(df: DataFrame, scorer, key: str = KEY, sample: int | None = None) -> DataFrame:
     """Permutation importance, over the whole table or over a sample of ``sample`` rows."""
     rows = df if sample is None else sample_n(df, key, sample)
-    return attribution.permutation_importance(rows, NUMERIC_FEATURES, scorer, LABEL)
+    return attribution.permutation_importance(rows, NUMERIC_FEATURES, scorer, LABEL, key)
 
 
 def score(df: DataFrame, model, key: str = KEY, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +158,8 @@ def drift_report(reference: DataFrame, current: DataFrame, model=None, out_path:
         if scored.schema["probability"].dataType.typeName() != "double":
             scored = scored.withColumn("probability", models.pass_probability())
         keep = [c for c in ("side", LABEL, "probability") if c in scored.columns]
-        performance = drift.performance_drift(scored.select(*keep), LABEL)
+        # Stored, as rates and AUC both read it.
+        performance = drift.performance_drift(materialize(scored.select(*keep), "scored"), LABEL)
         if "error" not in performance.columns:
             performance = materialize(performance, "performance")
     known = performance if performance is not None and "error" not in performance.columns else None

@@ -68,6 +68,23 @@ def q_report(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(metrics.classification_report(scored_lineitem(spark, sf)), "precision", "recall", "f1")
 
 
+@query("classification_report_by_group", LINES + f""",
+c AS (SELECT l_linestatus, {_hits} FROM scored GROUP BY l_linestatus),
+per AS (
+  SELECT l_linestatus, '0' AS class, {_zero('tn', 'tn + fn')} AS p, {_zero('tn', 'tn + fp')} AS r, {_zero('2 * tn', '2 * tn + fn + fp')} AS f,
+    tn + fp AS s FROM c
+  UNION ALL
+  SELECT l_linestatus, '1', {_zero('tp', 'tp + fp')}, {_zero('tp', 'tp + fn')}, {_zero('2 * tp', '2 * tp + fp + fn')}, tp + fn FROM c)
+SELECT l_linestatus, class, {sql_r6('p')} AS precision, {sql_r6('r')} AS recall, {sql_r6('f')} AS f1, s AS support FROM per
+UNION ALL SELECT l_linestatus, 'macro avg', {sql_r6('avg(p)')}, {sql_r6('avg(r)')}, {sql_r6('avg(f)')}, CAST(sum(s) AS BIGINT)
+  FROM per GROUP BY l_linestatus
+UNION ALL SELECT l_linestatus, 'weighted avg', {sql_r6('sum(p * s) / sum(s)')}, {sql_r6('sum(r * s) / sum(s)')},
+  {sql_r6('sum(f * s) / sum(s)')}, CAST(sum(s) AS BIGINT) FROM per GROUP BY l_linestatus""")
+def q_report_groups(spark: SparkSession, sf: str) -> DataFrame:
+    out = metrics.classification_report(scored_lineitem(spark, sf), by=["l_linestatus"])
+    return round_columns(out, "precision", "recall", "f1")
+
+
 @query("brier_score", LINES + f"SELECT {sql_r6('avg((probability - label) * (probability - label))')} AS brier_score FROM scored")
 def q_brier(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(metrics.brier_score(scored_lineitem(spark, sf)), "brier_score")

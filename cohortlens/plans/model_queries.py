@@ -6,12 +6,13 @@ README states; the flows use the full ones.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.functions.columns import one_row_to_long
+from cohortlens.functions.columns import add_all, one_row_to_long
 from cohortlens.operators import attribution, calibrate, metrics, models, risk
 from cohortlens.operators.features import Preprocessor
 from cohortlens.operators.split import with_holdout
 from cohortlens.plans.catalog import LEARNERS, query, r6, round_columns, sql_r6
 from cohortlens.plans.feature_queries import FIT, FLAGS, prepared
+from cohortlens.plans.metric_queries import auc_sql, hash_sql
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
 from cohortlens.session import materialize
 from cohortlens.sources.bindings import learners
@@ -132,7 +133,30 @@ def q_permutation(spark: SparkSession, sf: str) -> DataFrame:
     df = prepared(spark, sf)
     model = models.fit(df, models.logistic)
     scorer = lambda frame: models.score(model, frame, ["feature", LABEL])
-    return attribution.permutation_importance(df, NUMERIC_FEATURES, scorer, LABEL)
+    return attribution.permutation_importance(df, NUMERIC_FEATURES, scorer, LABEL, "k")
+
+
+_margin = lambda mixed="": sql_r6(" + ".join(
+    f"{b}::DOUBLE * coalesce({'s_' if c == mixed else ''}{c}, 0.0)" for c, b in COEFFICIENTS.items()))
+_mixed = ", ".join(
+    f"""CASE WHEN row_number() OVER w = count(*) OVER () THEN first_value({c}) OVER (ORDER BY h, k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lead({c}) OVER w END AS s_{c}""" for c in COEFFICIENTS)
+_variants = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, passed AS label, {_margin(c)} AS probability FROM mixed" for c in ["", *COEFFICIENTS])
+
+
+@query("permutation_linear", LEARNERS + f""",
+mixed AS (SELECT *, {_mixed} FROM {hash_sql('learners', 'k', 42)} WINDOW w AS (ORDER BY h, k)),
+variants AS ({_variants}),
+areas AS ({auc_sql('variants', 'feature, ')})
+SELECT a.feature AS feature, {sql_r6('b.roc_auc - a.roc_auc')} AS importance FROM areas a, areas b
+WHERE a.feature <> '' AND b.feature = ''""")
+def q_permutation_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Permutation importance of a fixed linear score."""
+    margin = r6(add_all(F.lit(b) * F.coalesce(F.col(c), F.lit(0.0)) for c, b in COEFFICIENTS.items()))
+    scorer = lambda frame: frame.select("feature", LABEL, margin.alias("probability"))
+    rows = learners(spark, sf).select("k", LABEL, *COEFFICIENTS)
+    return round_columns(attribution.permutation_importance(rows, list(COEFFICIENTS), scorer, LABEL, "k"), "importance")
 
 
 _names = [*NUMERIC_FEATURES, *[f"{c}_{level}" for c, level, _ in FLAGS]]

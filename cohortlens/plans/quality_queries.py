@@ -52,7 +52,16 @@ def q_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", "student_id", "prior_gpa", "midterm", "gender", "parent_edu")
 
 
-@query("preview", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+@query("json_records", LEARNERS + "SELECT k, prior_gpa, midterm, gender, parent_edu FROM learners")
+def q_json_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Students written as newline-delimited JSON and read back."""
+    path = shared_dir(spark, "records")
+    files.write_report(learners(spark, sf).select("k", *REQUEST_SCHEMA.names), path)
+    rows = files.read_json_records(spark, path, T.StructType([T.StructField("k", T.LongType()), *REQUEST_SCHEMA.fields]))
+    return rows.select("k", "prior_gpa", "midterm", "gender", "parent_edu")
+
+
+@query("preview","SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def q_preview(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").withColumn("negated", -F.col("o_totalprice"))
     return files.preview(orders, ["negated", "o_orderkey"]).drop("negated")

@@ -113,18 +113,23 @@ def test_evaluation_tables(rows):
 
 def test_permutation_finds_the_feature_that_matters(spark):
     df = spark.range(3000).select(
-        (F.rand(1)).alias("a"), F.rand(2).alias("b")).withColumn("y", (F.col("a") > 0.5).cast("bigint"))
+        "id", (F.rand(1)).alias("a"), F.rand(2).alias("b")).withColumn("y", (F.col("a") > 0.5).cast("bigint"))
     df = materialize(df, "perm")
-    rank = attribution.permutation_importance(df, ["a", "b"], lambda d: d.withColumn("probability", F.col("a")), "y").collect()
+    scorer = lambda d: d.withColumn("probability", F.col("a"))
+    rank = attribution.permutation_importance(df, ["a", "b"], scorer, "y", "id").collect()
+    assert rank == attribution.permutation_importance(df.repartition(5, "a"), ["a", "b"], scorer, "y", "id").collect()
     assert rank[0].feature == "a" and rank[0].importance == pytest.approx(0.5, abs=0.05)
     assert rank[1].importance == pytest.approx(0.0, abs=1e-9)
 
 
 def test_shuffling_is_a_permutation(spark):
     df = materialize(spark.range(500).select(F.col("id").alias("a")), "shuffle")
-    out = attribution.shuffled(df, ["a"], 500)
+    out = attribution.shuffled(df, ["a"], "a")
     assert sorted(r.a__shuffled for r in out.collect()) == list(range(500))
     assert out.filter("a = a__shuffled").count() == 0
+    odd = spark.createDataFrame([(1, 5.0), (1, None), (None, 7.0), (None, 7.0)], "id long, a double")
+    assert sorted(str(r.a__shuffled) for r in attribution.shuffled(odd, ["a"], "id").collect()) == ["5.0", "7.0", "7.0", "None"]
+    assert attribution.shuffled(odd.limit(0), ["a"], "id").count() == 0
 
 
 def test_drift_report(spark, rows, tmp_path):
@@ -138,6 +143,9 @@ def test_drift_report(spark, rows, tmp_path):
     assert (row.total_features, row.features_with_drift) == (13, 3)
     assert report.needs_attention == (row.significant_drift or row.performance_degradation)
     assert spark.read.json(f"{tmp_path}/features").count() == 13
+    numbers, bars = drift.drift_visuals(drift.tag_sides(rows, shifted), report.features, 2)
+    shown = {r.feature for part in (numbers, bars) for r in part.select("feature").distinct().collect()}
+    assert shown == {r.feature for r in drift.top_drifted(report.features, 2).collect()}
     assert drift.performance_drift(rows.select(F.lit("current").alias("side"))).first().error == "No labels available"
 
 
