@@ -21,6 +21,8 @@ BITS = 64
 K = 10
 BLOCK = 1 << 14
 QUERY_BLOCK = 1 << 14
+#: Partitions that the meetings of blocks are dealt over, at most; further meetings share them.
+MAX_TASKS = 20_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -118,6 +120,9 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         return pd.DataFrame({n: np.concatenate(v) if v else np.empty(0, np.int64) for n, v in out.items()})
 
     keys = ["block", "query_block"]
+    # A meeting of blocks takes long for its few bytes, so its partitions are not to be put together by size.
+    tasks = min(blocks * query_blocks * 2, MAX_TASKS)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         nearest, "query_id long, neighbour_id long, distance long")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
