@@ -5,9 +5,9 @@
 2. Documents with the same words are one *class*, named by the smallest id.
 3. Classes that share a band key are candidates. The packed bits estimate their similarity
    by bit counts, corrected for chance agreement.
-4. First each class is tried with its most similar earlier one in each band, so a band key gives
-   fewer pairs than it has members. Then classes that these links left apart meet with their
-   full sets where they share a band key; only confirmed links come out.
+4. First each class is tried with its most similar earlier one of its block of each band key, so
+   a key gives fewer pairs than it has members. Then classes that these links left apart meet
+   with their full sets where they share a band key; only confirmed links come out.
 5. Every link is confirmed on full sets; the components of the links are the groups.
 """
 
@@ -33,6 +33,8 @@ BAND_ROWS, BITS, MISS = 5, 2, 2e-6
 ERRORS = 4.5
 #: Members of one band key that meet in one task; larger ones meet block by block.
 BLOCK = 1024
+#: A pair of blocks is one number: the smaller above so many bits of the larger.
+SIDE_BITS = 24
 #: Bits of the filter that lets only candidates' texts be read a second time (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
 CHUNK = 1024
@@ -122,20 +124,24 @@ def fingerprints(docs: DataFrame, plan: Plan, key: str, text: str, width: int) -
         arrow_rows(build, PRINTS), "doc_id long, n_shingles long, words_key binary, bands array<long>, bits binary")
 
 
+def block_of(blocks: Column) -> Column:
+    """A block of a band key's members; each key deals its members anew."""
+    return F.pmod(F.xxhash64("band", "id"), blocks)
+
+
+def part_of(one: Column, two: Column) -> Column:
+    return F.least(one, two) * F.lit(1 << SIDE_BITS) + F.greatest(one, two)
+
+
 def crowded_bands(classes: DataFrame) -> DataFrame:
     """(band, part, side, id, bits) of band keys that two classes or more share.
 
-    Members of a key meet within a part. A key of more than ``BLOCK`` members is dealt into
-    blocks, and each pair of blocks is a part, so all members still meet.
+    Members of a key of more than ``BLOCK`` are dealt into blocks, and meet within their own.
     """
     member = classes.select(F.explode("bands").alias("band"), "id")
     counts = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = member.join(counts, "band").withColumn("side", own).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(blocks - 1))))
-    part = F.least("side", "with") * (1 << 15) + F.greatest("side", "with")
-    rows = rows.select("band", part.alias("part"), "side", "id")
+    rows = member.join(counts, "band").withColumn("side", block_of(F.ceil(F.col("n") / BLOCK)))
+    rows = rows.select("band", part_of(F.col("side"), F.col("side")).alias("part"), "side", "id")
     return rows.join(classes.select("id", "bits"), "id")
 
 
@@ -156,7 +162,7 @@ def meetings(part: pa.Table, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarra
         if not len(row):
             return
         # In a part of two blocks, members of one block do not meet: that block has a part of its own.
-        one_block = number[row] >> 15 == number[row] & 0x7FFF
+        one_block = number[row] >> SIDE_BITS == number[row] & ((1 << SIDE_BITS) - 1)
         at = row[(root[row] != root[row - step]) & (one_block | (side[row] != side[row - step]))]
         if len(at):
             yield at - step, at, similarity(bits[at - step], bits[at], plan)
@@ -306,11 +312,29 @@ def kept(doc: Column, root: Column) -> Column:
 
 
 def joined_apart(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the parts in which more than one component is left, with their component."""
-    rows = crowded.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
-    mixed = rows.groupBy("band", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return rows.join(mixed.select("band", "part"), ["band", "part"])
+    """(band, part, side, id, bits, root) of band keys in which more than one component is left.
+
+    All pairs of members of different components meet. In a key of more than ``BLOCK`` members,
+    those of its largest component are one another's already: their blocks meet only the
+    blocks of the others. So rows grow with the members times the blocks of these others.
+    """
+    rows = crowded.select("band", "side", "id", "bits").join(
+        roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).filter("roots > 1")
+    # Keys and sides as in ``crowded``, so that the rows of a large key stay apart in this join.
+    sides = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1))
+    rows = rows.join(mixed.select("band", "n", "most", sides.alias("side")), ["band", "side"])
+    large = F.col("n") > BLOCK
+    major = large & (F.col("root") == F.col("most.root"))
+    others = F.when(large, F.ceil((F.col("n") - F.col("most.n")) / BLOCK)).otherwise(F.lit(1))
+    majors = F.when(large, F.ceil(F.col("most.n") / BLOCK)).otherwise(F.lit(0))
+    side = F.when(major, others + block_of(F.greatest(majors, F.lit(1)))).otherwise(block_of(others))
+    rows = rows.select(
+        "band", "id", "bits", "root", side.alias("side"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(major, others).otherwise(others + majors) - 1)).alias("with"))
+    return rows.select("band", part_of(F.col("side"), F.col("with")).alias("part"), "side", "id", "bits", "root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
