@@ -131,8 +131,13 @@ def q_all(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(model.flat(df, ["k"]).select("k", *features.ENGINEERED), *features.ENGINEERED)
 
 
-_ranked = f"""SELECT *, row_number() OVER (PARTITION BY passed ORDER BY h, k) AS rk, count(*) OVER (PARTITION BY passed) AS n
-FROM {hash_sql('learners', 'k', 42)}"""
+def ranked_sql(source: str) -> str:
+    """Rows of ``source`` with their rank by key hash within their class, and the size of the class."""
+    return f"""SELECT *, row_number() OVER (PARTITION BY passed ORDER BY h, k) AS rk, count(*) OVER (PARTITION BY passed) AS n
+FROM {hash_sql(source, 'k', 42)}"""
+
+
+_ranked = ranked_sql("learners")
 
 
 @query("stratified_split", LEARNERS + f"SELECT k, passed, rk <= floor(0.2 * n + 0.5) AS is_test FROM ({_ranked})")

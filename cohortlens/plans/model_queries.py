@@ -11,9 +11,9 @@ from cohortlens.operators import attribution, calibrate, metrics, models, risk
 from cohortlens.operators.features import Preprocessor
 from cohortlens.operators.split import with_holdout
 from cohortlens.plans.catalog import LEARNERS, query, r6, round_columns, sql_r6
-from cohortlens.plans.feature_queries import FIT, FLAGS, prepared
+from cohortlens.plans.feature_queries import FIT, FLAGS, prepared, ranked_sql
 from cohortlens.plans.metric_queries import auc_sql, hash_sql
-from cohortlens.schema import LABEL, NUMERIC_FEATURES
+from cohortlens.schema import CLIP_RANGES, LABEL, NUMERIC_FEATURES
 from cohortlens.session import materialize
 from cohortlens.sources.bindings import learners
 
@@ -54,6 +54,32 @@ def q_nb(spark: SparkSession, sf: str) -> DataFrame:
     return holdout_metrics(spark, sf, lambda n: models.naive_bayes())
 
 
+# Gaussian naive Bayes in closed form: preprocessing, means, variances and shares of the training rows, scores of the others.
+_inputs = ", ".join(f"""(coalesce(CASE WHEN split.{c} IS NULL THEN NULL ELSE least(greatest(split.{c}, {lo}), {hi}) END, med.{c}) - m_{c})
+  / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END""" for c, (lo, hi) in CLIP_RANGES.items() if c in NUMERIC_FEATURES)
+_flag_inputs = ", ".join(f"CASE WHEN coalesce(split.{c}, modes.{c}) = '{level}' THEN 1e0 ELSE 0e0 END" for c, level, _ in FLAGS)
+
+
+@query("naive_bayes_scores", LEARNERS + f""",
+split AS (SELECT *, rk <= floor(0.2 * n + 0.5) AS is_test FROM ({ranked_sql('learners')})),
+train AS (SELECT * FROM split WHERE NOT is_test)""" + FIT.replace("FROM learners", "FROM train") + f""",
+inputs AS (SELECT split.k AS k, passed, is_test, [{_inputs}, {_flag_inputs}] AS x FROM split, med, modes, stats),
+cells AS (SELECT k, passed, is_test, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM inputs),
+floor AS (SELECT 1e-9 * max(v) AS least FROM (SELECT var_pop(x) AS v FROM cells WHERE NOT is_test GROUP BY i)),
+shape AS (SELECT passed AS class, i, avg(x) AS mean, var_pop(x) + any_value(least) AS var FROM cells, floor
+  WHERE NOT is_test GROUP BY passed, i),
+share AS (SELECT passed AS class, ln(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS share FROM train GROUP BY passed),
+logs AS (SELECT k, class, any_value(share) - sum((x - mean) * (x - mean) / var + ln(var)) / 2 AS l
+  FROM cells JOIN shape USING (i) JOIN share USING (class) WHERE is_test GROUP BY k, class),
+apart AS (SELECT k, sum(CASE class WHEN 1 THEN l ELSE -l END) AS d FROM logs GROUP BY k)
+SELECT k, {sql_r6('1 / (1 + exp(-greatest(least(d, 700.0), -700.0)))')} AS probability FROM apart""")
+def q_nb_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the held-out learners."""
+    table = materialize(with_holdout(prepared(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
+    model = models.fit(table.filter("NOT is_test").drop("is_test"), lambda n: models.naive_bayes())
+    return round_columns(models.score(model, table.filter("is_test"), ["k"]), "probability")
+
+
 # A short sweep: the published space with fewer rounds.
 SHORT_SPACE = {**models.SEARCH_SPACE, "n_estimators": (5, 15, "int"), "max_depth": (3, 5, "int")}
 
@@ -82,11 +108,24 @@ def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return models.sweep(prepared(spark, sf), "k", models.draw_params(3, space=SHORT_SPACE))
 
 
+def calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out learners with the calibrated score of a model that did not see them."""
+    table = materialize(with_holdout(prepared(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
+    model = calibrate.fit_calibrated(table.filter("NOT is_test").drop("is_test"), "k", models.logistic)
+    return model.transform(table.filter("is_test").drop("is_test")).select("k", LABEL, "probability")
+
+
 @query("calibrated_scores")
 def q_calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    df = prepared(spark, sf)
-    model = calibrate.fit_calibrated(df, "k", models.logistic)
-    return model.transform(df).select("k", "passed", "probability")
+    return calibrated(spark, sf)
+
+
+@query("calibrated_rows", LEARNERS + f"""
+SELECT k, passed, true AS in_range FROM (SELECT *, rk <= floor(0.2 * n + 0.5) AS is_test FROM ({ranked_sql('learners')})) WHERE is_test""")
+def q_calibrated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every held-out learner has one calibrated score, from 0 to 1."""
+    inside = F.coalesce(F.col("probability").between(0, 1), F.lit(False))
+    return calibrated(spark, sf).select("k", LABEL, inside.alias("in_range"))
 
 
 @query("score_table")
