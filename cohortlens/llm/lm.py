@@ -1,32 +1,45 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
-Frequent words are classes of their own; any other word belongs to a class by its form (its
-length, first two bytes and last one). The score of a class after another is the product of
-their vectors plus a bias, normalised over all classes by one matrix product. Within a class
-of many words, a word has its add-one share, one count standing for all unseen words; so
-probabilities over known words and one unknown word per form sum to 1.
-
-With one word of context, class pairs are sufficient statistics: all training text is counted
-in Spark and the estimation runs over the exact pair counts, the noise in expectation.
+Words from a count on are classes of their own, so the vocabulary grows with the corpus; any
+other word belongs to a class by its form (its length, first two bytes and last one). Two
+words of context: the word before and the one before that each give a distribution over all
+classes, the product of two vectors plus a bias, normalised exactly; the score is a mixture of
+the two. Within a class of many words, a word has its add-one share, one count standing for
+all unseen words; so probabilities over known words and one unknown word per form sum to 1.
+
+All training text is learned from, in a bounded number of tasks that start alike and whose
+vectors are averaged by how often each class was seen. Normalisers are sums over all classes
+for each context word; as the vocabulary grows with the root of the corpus, their cost grows
+with the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import arrow_rows, raw, scramble, word_hashes
 from cohortlens.session import materialize
 
-OWN, FORMS = 384, 128
-CLASSES = OWN + FORMS
-#: Words whose counts every task holds; counts of the others are joined.
+FORMS = 128
+#: A word is a class of its own from this count on, and from the root of all tokens by ``RISE``.
+LEAST, RISE = 8, 64
+#: Words whose counts every task holds, besides those with a class; counts of the others are joined.
 HEAD = 1 << 17
 VECTOR, NOISE, STEPS, RATE = 32, 25.0, 300, 0.05
+#: Sampled training: tasks, tokens of a step and of a group that shares its noise words, and those words.
+TRAINERS, BATCH, GROUP, DRAWN, PACE = 24, 8192, 64, 16, 0.5
+MANY = np.float32(math.log(DRAWN))
+BUFFER = 1 << 16
+FEW_STEPS, PASSES = 200, 20
+#: Classes whose vectors travel as one row, and contexts that are normalised at a time.
+SLICE = 2048
 #: Stands for the end of a text; class 0 belongs to it.
 END = np.uint64(0x5EED_0E4D_5EED_0E4D)
 COUNT_ROWS = 1 << 21
@@ -58,17 +71,28 @@ class Counts(NamedTuple):
     head: np.ndarray
     head_count: np.ndarray
     head_class: np.ndarray
+    own: int
+    own_count: np.ndarray
     form_total: np.ndarray
     form_distinct: np.ndarray
 
+    @property
+    def size(self) -> int:
+        return self.own + FORMS
+
+    def noise(self) -> np.ndarray:
+        """Smoothed share of each class in the training tokens."""
+        n = np.concatenate([self.own_count, self.form_total]) + 1.0
+        return n / n.sum()
+
     def classes(self, hashes: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each token; its count where it is in the head, else 0; and whether it is."""
         if not len(self.head):
-            return np.where(hashes == END, 0, OWN + forms), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+            return np.where(hashes == END, 0, self.own + forms), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         known = self.head[at] == hashes
         own = np.where(known, self.head_class[at], -1)
-        classes = np.where(hashes == END, 0, np.where(own >= 0, own, OWN + forms))
+        classes = np.where(hashes == END, 0, np.where(own >= 0, own, self.own + forms))
         return classes, np.where(known, self.head_count[at], 0), known
 
 
@@ -98,62 +122,240 @@ def count_words(docs: DataFrame, key: str, text: str, training: Column) -> DataF
         "word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
+def least_count(total: int) -> int:
+    """Count from which a word has a class of its own."""
+    return max(LEAST, math.ceil(math.sqrt(total) / RISE))
+
+
 def gather(counts: DataFrame) -> Counts:
-    """What every task needs of the counts: sums, and the most frequent words, at most ``HEAD`` of them.
+    """What every task needs of the counts: sums, the words with classes of their own, and others, up to ``HEAD``.
 
     Words are taken by classes of equal magnitude of their count, as many classes as fit, so
     no task sends more than its share; a class that does not fit is joined like all below it.
     """
     size = F.floor(F.log2("n") * 8).cast("int")
+    sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()  # some hundred rows
+    own_least = least_count(sum(r["n"] for r in sizes))
     room, least = HEAD, None
-    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # some hundred rows
-        room -= row["count"]
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        room -= row["v"]
         if room < 0:
             break
         least = row["size"]
-    top = counts.filter(size >= least if least is not None else F.lit(False)).toPandas().sort_values(
+    end = int(np.array([END]).view(np.int64)[0])
+    chosen = (F.col("n") >= own_least) | (F.col("word") == end)
+    top = counts.filter(chosen | (size >= least) if least is not None else chosen).toPandas().sort_values(
         ["n", "word"], ascending=[False, True])
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     rank = np.full(len(top), -1, np.int64)
-    words = np.flatnonzero(hashes != END)[: OWN - 1]
+    words = np.flatnonzero((hashes != END) & (n >= own_least))
     rank[words] = np.arange(1, len(words) + 1)
-    own = [int(w) for w in hashes[words].view(np.int64)] + [int(np.array([END]).view(np.int64)[0])]
-    rest = F.when(F.col("word").isin(own), F.lit(-1)).otherwise(F.col("form")) if own else F.col("form")
-    sums = counts.groupBy(rest.alias("form")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    sums = counts.groupBy(F.when(chosen, F.lit(-1)).otherwise(F.col("form")).alias("form")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     form_total, form_distinct = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
     for row in sums:
         if row["form"] >= 0:
             form_total[row["form"]], form_distinct[row["form"]] = row["n"], row["v"]
     order = np.argsort(hashes)
-    return Counts(sum(r["n"] for r in sums), sum(r["v"] for r in sums), hashes[order],
-                  top["n"].to_numpy(np.int64)[order], rank[order], form_total, form_distinct)
+    return Counts(sum(r["n"] for r in sums), sum(r["v"] for r in sums), hashes[order], n[order], rank[order],
+                  len(words) + 1, np.append(n[hashes == END].sum(), n[words]), form_total, form_distinct)
+
+
+def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each token and the one before that; a text starts after ends."""
+    first = np.concatenate([[0], classes[:-1]])
+    return first, np.concatenate([[0], first[:-1]])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-def count_pairs(docs: DataFrame, text: str, training: Column, shared) -> np.ndarray:
-    """How often each class follows each other in all training text; a text starts after an end."""
+class Trainer:
+    """Noise-contrastive estimation on tokens, by steps scaled for each vector (AdaGrad).
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, held = shared.value, np.zeros(CLASSES * CLASSES, np.int64), []
+    Each class has a vector as the word before, one as the word before that and one as the word
+    itself, and a bias against the noise. All trainers start with the same vectors.
+    """
+
+    def __init__(self, noise: np.ndarray):
+        self.random = np.random.default_rng(7)
+        size = len(noise)
+        vectors = self.random.normal(0, 0.3, (size, 2 * VECTOR)).astype(np.float32)
+        self.first, self.second = vectors[:, :VECTOR].copy(), vectors[:, VECTOR:].copy()
+        self.target = np.zeros((size, VECTOR + 1), np.float32)  # the bias last
+        self.square = np.full((3, size), 1e-2, np.float32)
+        self.below, self.seen = np.cumsum(noise), np.zeros(size, np.int64)
+        self.held, self.waiting = [], 0
+        self.kept, self.steps = [], 0
+        self.share = 0.3
+
+    def add(self, classes: np.ndarray) -> None:
+        self.held.append(np.stack([classes, *contexts(classes)]))
+        self.waiting += len(classes)
+        if self.waiting >= BUFFER:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        rows = np.concatenate(self.held, axis=1)
+        self.seen += np.bincount(rows[0], minlength=len(self.seen))
+        self.held, self.waiting = [], 0
+        self.steps += self.go_over(rows)
+        self.kept = [*self.kept, rows] if self.steps < FEW_STEPS else []
+
+    def go_over(self, rows: np.ndarray) -> int:
+        rows = rows[:, self.random.permutation(rows.shape[1])]
+        for at in range(0, rows.shape[1], BATCH):
+            part = rows[:, at : at + BATCH]
+            live = part.shape[1]
+            self.step(*np.pad(part, ((0, 0), (0, -live % GROUP))), live)
+        return math.ceil(rows.shape[1] / BATCH)
+
+    def finish(self) -> None:
+        """A few tokens are gone over again, up to ``PASSES`` times, until there were ``FEW_STEPS``."""
+        self.flush()
+        rows = np.concatenate(self.kept, axis=1) if self.kept else None
+        for _ in range(PASSES - 1):
+            if rows is not None and self.steps < FEW_STEPS:
+                self.steps += self.go_over(rows)
+
+    def step(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray, live: int) -> None:
+        """One step over a batch; rows from ``live`` on only fill the last group."""
+        groups = len(word) // GROUP
+        drawn = np.minimum(np.searchsorted(self.below, self.random.random(groups * DRAWN)), len(self.below) - 1)
+        real = (np.arange(len(word)) < live).astype(np.float32)
+        grouped = lambda x: x.reshape(groups, -1, VECTOR)
+        y, noise = self.target[word], self.target[drawn]
+        y, bias = np.ascontiguousarray(y[:, :VECTOR]), y[:, VECTOR]
+        noise, noise_bias = grouped(np.ascontiguousarray(noise[:, :VECTOR])), noise[:, VECTOR].reshape(groups, 1, DRAWN) - MANY
+        grad = np.zeros((len(word) + len(drawn), VECTOR + 1), np.float32)
+        fits = []
+        for table, square, at in ((self.first, self.square[0], before), (self.second, self.square[1], earlier)):
+            x = table[at]
+            fit = np.einsum("ij,ij->i", x, y) + bias
+            pull = (sigmoid(fit - MANY) - 1) * real
+            push = np.matmul(grouped(x), noise.transpose(0, 2, 1))
+            push += noise_bias
+            push = sigmoid(push) * real.reshape(groups, GROUP, 1)
+            grad[: len(word), :VECTOR] += pull[:, None] * x
+            grad[: len(word), VECTOR] += pull
+            grad[len(word) :, :VECTOR] += np.matmul(push.transpose(0, 2, 1), grouped(x)).reshape(-1, VECTOR)
+            grad[len(word) :, VECTOR] += push.sum(axis=1).ravel()
+            own = np.matmul(push, noise).reshape(-1, VECTOR)
+            own += pull[:, None] * y
+            move(table, square, at, own)
+            fits.append(fit[:live])
+        move(self.target, self.square[2], np.concatenate([word, drawn]), grad)
+        odds = math.log(self.share / (1 - self.share))
+        self.share += 0.02 * (float(sigmoid(fits[1] - fits[0] + odds).mean()) - self.share)
+
+    def all(self) -> np.ndarray:
+        return np.concatenate([self.first, self.second, self.target], axis=1)
+
+
+def move(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+    """Add up the gradients of each row, and step."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    at, total = rows[start], np.add.reduceat(grad[order], start, axis=0)
+    square[at] += np.einsum("ij,ij->i", total, total)
+    total *= (PACE / np.sqrt(square[at]))[:, None]
+    table[at] -= total
+
+
+class Model(NamedTuple):
+    """``first`` and ``second`` are vectors of contexts; ``norm`` has the log of each one's sum over all classes."""
+
+    first: np.ndarray
+    second: np.ndarray
+    target: np.ndarray
+    bias: np.ndarray
+    norm: np.ndarray
+    share: float
+
+    def logs(self, classes: np.ndarray) -> np.ndarray:
+        """Natural log of each token's probability after the two before it."""
+        before, earlier = contexts(classes)
+        y, bias = self.target[classes], self.bias[classes]
+        one = np.einsum("ij,ij->i", self.first[before], y) + bias - self.norm[0, before]
+        two = np.einsum("ij,ij->i", self.second[earlier], y) + bias - self.norm[1, earlier]
+        return np.logaddexp(one + math.log(1 - self.share), two + math.log(self.share))
+
+    def norms(self, start: int) -> np.ndarray:
+        """``norm`` of the ``SLICE`` contexts from ``start`` on."""
+        vectors = np.stack([self.first[start : start + SLICE], self.second[start : start + SLICE]])
+        total = np.zeros(vectors.shape[:2])
+        for at in range(0, len(self.target), SLICE):
+            scores = vectors @ self.target[at : at + SLICE].T
+            scores += self.bias[at : at + SLICE]
+            total += np.exp(np.minimum(scores, 80, out=scores), out=scores).sum(axis=2)
+        return np.log(total)
+
+
+def learn(docs: DataFrame, text: str, training: Column, shared: Broadcast) -> Model:
+    """Train on all tokens of the training rows; ``norm`` is still empty."""
+    own = shared.value
+    width = 3 * VECTOR + 1
+    schema = "start int, tokens long, share double, seen binary, tables binary"
+    names = ["start", "tokens", "share", "seen", "tables"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Trainer(shared.value.noise())
         for batch in batches:
             for value in batch.column(0):
-                classes = own.classes(*tokens(value.as_py()))[0]
-                held.append(np.concatenate([[0], classes[:-1]]) * CLASSES + classes)
-            total += np.bincount(np.concatenate(held), minlength=len(total)) if held else 0
-            held = []
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
+                trainer.add(shared.value.classes(*tokens(value.as_py()))[0])
+        trainer.finish()
+        n = int(trainer.seen.sum())
+        if not n:
+            return
+        tables = trainer.all().astype("<f2")
+        for at in range(0, len(tables), SLICE):
+            row = [[at], [n], [trainer.share], [trainer.seen[at : at + SLICE].astype("<i8").tobytes()], [tables[at : at + SLICE].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names)
+
+    def mean(parts: pa.Table) -> pa.Table:
+        """Each class by how often a task saw it."""
+        weights = [np.frombuffer(x.as_py(), "<i8") + 1e-3 for x in parts["seen"]]
+        tables = sum(w[:, None] * np.frombuffer(x.as_py(), "<f2").reshape(-1, width).astype(np.float32)
+                     for w, x in zip(weights, parts["tables"])) / sum(weights)[:, None]
+        n = parts["tokens"].to_numpy()
+        return pa.table([pa.array([parts["start"][0].as_py()], pa.int32()), pa.array([int(n.sum())]),
+                         pa.array([float((n * parts["share"].to_numpy()).sum() / n.sum())]), pa.array([b""]),
+                         pa.array([tables.astype("<f2").tobytes()])], names=names)
+
+    rows = docs.filter(training).select(F.col(text).alias("t")).coalesce(TRAINERS).mapInArrow(run, schema).groupBy(
+        "start").applyInArrow(mean, schema).collect()  # vectors of all classes, which grow with the root of the corpus
+    rows.sort(key=lambda r: r["start"])
+    noise = own.noise()
+    tables = np.frombuffer(b"".join(bytes(r["tables"]) for r in rows), "<f2").reshape(-1, width).astype(
+        np.float32) if rows else Trainer(noise).all()
+    cut = lambda i: np.ascontiguousarray(tables[:, i * VECTOR : (i + 1) * VECTOR])
+    return Model(cut(0), cut(1), cut(2), (tables[:, -1] + np.log(noise)).astype(np.float32), np.zeros((2, len(tables))),
+                 rows[0]["share"] if rows else 0.3)
+
+
+def normalised(spark: SparkSession, model: Model) -> Model:
+    """Sums over all classes for each context, shared out among tasks."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([shared.value.norms(start).tobytes()])], ["start", "norm"])
 
-    rows = docs.filter(training).select(F.col(text).alias("t")).mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(
-        F.sum("n").alias("n")).toPandas()  # at most CLASSES * CLASSES rows
-    out = np.zeros(CLASSES * CLASSES)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"]
-    return out.reshape(CLASSES, CLASSES)
+    size = len(model.target)
+    rows = spark.range(0, size, SLICE, math.ceil(size / SLICE)).mapInArrow(run, "start long, norm binary").collect()
+    rows.sort(key=lambda r: r["start"])
+    return model._replace(norm=np.concatenate([np.frombuffer(r["norm"]).reshape(2, -1) for r in rows], axis=1))
 
 
 def estimate(pairs: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """log P(class | class before) of the log-bilinear model.
+    """log P(class | class before) from a small table of all pair counts, with the noise in expectation.
 
-    Noise-contrastive estimation: tell the pairs seen from pairs whose second class is drawn
+    The estimation that ``Trainer`` samples, as tests compare them: tell the pairs seen from pairs whose second class is drawn
     from the smoothed class frequencies, ``NOISE`` of them for each pair seen. Adam on all
     pairs at once; the result is normalised over the classes.
     """
@@ -197,24 +399,23 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     counts = materialize(count_words(docs, key, text, training), "word-counts")
     own = gather(counts)
-    shared = spark.sparkContext.broadcast(own)  # HEAD words and two arrays of CLASSES
-    model = spark.sparkContext.broadcast(estimate(count_pairs(docs, text, training, shared)) / np.log(10))
+    shared = spark.sparkContext.broadcast(own)  # HEAD words, those with classes, and sums of forms
+    model = spark.sparkContext.broadcast(normalised(spark, learn(docs, text, training, shared)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()),
                         ("head_base", pa.float64()), ("head_score", pa.float64()), ("words", pa.list_(pa.int64())),
                         ("times", pa.list_(pa.int32()))])
 
     def build(columns: dict) -> dict:
-        own, table = shared.value, model.value
+        own, net = shared.value, model.value
         out: dict[str, list] = {n: [] for n in schema.names}
         shares = np.log10(own.form_total + own.form_distinct + 1.0)
         for doc, held, value in zip(columns["k"].to_pylist(), columns["h"].to_pylist(), columns["t"]):
             hashes, forms = tokens(value.as_py())
             classes, n, known = own.classes(hashes, forms)
-            before = np.concatenate([[0], classes[:-1]])
             logs = np.log10(n + 1.0)
-            many = classes >= OWN
+            many = classes >= own.own
             words, times = np.unique(hashes[~known], return_counts=True)
-            total = table[before, classes].sum() + (logs[many] - shares[classes[many] - OWN]).sum()
+            total = net.logs(classes).sum() / math.log(10) + (logs[many] - shares[classes[many] - own.own]).sum()
             for name, cell in zip(schema.names, (doc, held, len(hashes), int(known.sum()), float(logs.sum()), float(total),
                                                  words.view(np.int64), times.astype(np.int32))):
                 out[name].append(cell)
