@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.llm.common import arrow_rows, raw, scramble, windows, word_hashes
+from cohortlens.llm.common import arrow_rows, raw, scramble, unused, windows, word_hashes
 from cohortlens.llm.graph import components
 from cohortlens.session import materialize
 
@@ -338,6 +338,16 @@ def joined_apart(crowded: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near-duplicates, with its own columns."""
-    drop = near_duplicates(docs, key, text, percent).filter("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop, F.col(key).cast("long") == F.col("dropped_id"), "left_anti")
+    """One row of each group of near-duplicates, with its own columns: that of the smallest id, rows without one last.
+
+    Rows are judged by their text, under numbers written once; so ids may repeat or be null.
+    """
+    number = unused(docs, "row_number")
+    docs = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = materialize(docs, "numbered")
+    found = near_duplicates(rows, number, text, percent).select(F.col("doc_id").alias(number), "component_id")
+    own = F.col(key).cast("long")
+    first = F.min(F.struct(own.isNull().alias("none"), own.alias("own"), F.col(f"`{number}`").alias("row")))
+    chosen = found.join(rows.select(key, number), number).groupBy("component_id").agg(first.alias("first")).select(
+        F.col("first.row").alias(number))
+    return rows.join(chosen, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns if c != number])
