@@ -2,8 +2,11 @@
 
 Each shard draws from a hash of the key: an exponential variate whose rate is its weight. A
 rack's draw is the least of its shards', a region's the least of its racks', so a node draws
-with the sum of the weights below it. The descent takes the region with the least draw, in it
-the rack, in it the shard. A changed weight changes draws only on the path to that shard, so
+with the sum of the weights below it. Taking the region with the least draw, in it the rack, in
+it the shard, then equals the least draw of all shards: the tree deals like a flat weighted
+rendezvous hash, and no level draws by itself. Draws of their own for regions and racks would
+break the law: a new shard raises the weight of its rack and region, whose own draws would then
+take keys that its siblings, not it, receive. A changed weight changes draws only on the path to that shard, so
 keys move only into or out of it; a new shard takes keys only into itself.
 """
 
