@@ -26,10 +26,12 @@ MAX_TASKS = 20_000
 
 
 def sign_code(vector: Column) -> Column:
-    """One bit for each of the first 64 numbers: 1 where it is above 0. Null numbers and NaN give 0."""
+    """One bit for each number, at most 64: 1 where it is above 0. Null numbers and NaN give 0. A longer vector raises."""
     bit = lambda x, i: F.when((x > 0) & ~F.isnan(x.cast("double")), F.call_function(
         "shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.slice(vector, 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(F.transform(vector, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    said = F.concat(F.lit(f"a vector is longer than the {BITS} numbers of a code: "), F.size(vector).cast("string"))
+    return F.when(F.size(vector) > BITS, F.raise_error(said).cast("long")).otherwise(code)
 
 
 class MultiIndex:
