@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import bpe, langid, lm, neardup, packing, quality, search, sharding, toxicity, urls
+from cohortlens.llm import (bpe, langid, lm, neardup, packing, phrases, quality, search, sharding, toxicity, urls)
 from cohortlens.llm.common import fields, id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_model")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), id_fold("doc_id", 7) != 2)
+
+
+_PAIRS_AND_MORE = " UNION ALL ".join(
+    f"SELECT lang, array_to_string(w[i:i+{k - 1}], ' ') AS phrase, {k} AS width FROM placed WHERE i + {k - 1} <= len(w)" for k in (1, 2, 3))
+_cut = lambda l, r: f"CAST(floor(1000000::HUGEINT * a * a // ({l}::HUGEINT * {r})) AS BIGINT)"
+
+
+@query("op12_phrases", f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
+    '{urls.UPPER}.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9), '{urls.LOWER}' || repeat(chr(10), 9) || ' '), chr(10))) AS piece
+  FROM documents),
+worded AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+runs AS ({_PAIRS_AND_MORE}),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(width) AS width, count(*) AS n FROM runs GROUP BY lang, phrase),
+totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+c AS (SELECT lang, phrase, width, n AS a, string_split(phrase, ' ') AS w FROM f WHERE width > 1 AND n >= {phrases.LEAST}),
+cuts AS (
+  SELECT *, 1 AS cut, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c
+  UNION ALL SELECT *, 2 AS cut, array_to_string(w[1:2], ' ') AS lp, w[3] AS rp FROM c WHERE width = 3),
+lefts AS MATERIALIZED (SELECT cuts.*, f.n AS l FROM cuts JOIN f ON f.lang = cuts.lang AND f.phrase = cuts.lp),
+one AS (SELECT lefts.*, f.n AS r FROM lefts JOIN f ON f.lang = lefts.lang AND f.phrase = lefts.rp),
+scores AS (SELECT *, {_cut('l', 'r')} AS score FROM one),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS above FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE width = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE width = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN around USING (lang, phrase)
+  WHERE s.width = 3 OR above IS NULL OR 100 * above < {phrases.COVERED} * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.LIMIT}""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
