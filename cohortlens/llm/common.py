@@ -98,3 +98,45 @@ def arrow_rows(build: Callable[[dict], dict], schema: pa.Schema) -> Callable[[It
                     schema=schema)
 
     return run
+
+
+def usable_vectors(df: DataFrame, key: str, vector: str, **others: Column) -> DataFrame:
+    """(id, v, ...) of rows with an id and a vector of finite numbers; of rows that repeat an id, the one with the least values."""
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"),
+                     *[c.alias(n) for n, c in others.items()])
+    rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(False)))
+    names = [*others, "v"]
+    return rows.groupBy("id").agg(F.min(F.struct(*names)).alias("w")).select("id", *[F.col(f"w.{n}").alias(n) for n in names])
+
+
+def joined_rows(column: pa.Array | pd.Series, width: int, kind: str) -> np.ndarray:
+    """A matrix from a column of packed rows."""
+    return np.frombuffer(b"".join(column), kind).reshape(-1, width)
+
+
+def matrix_of(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """A matrix from a column of lists; shorter ones are filled with zeros."""
+    out = np.zeros((len(column), width), kind)
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    if len(values) == out.size:
+        return values.astype(kind).reshape(out.shape)
+    at = np.repeat(np.arange(len(column)), sizes)
+    out[at, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
+
+
+def block_by(edges: list) -> Callable[[str], Column]:
+    """The number of edges at or below a value; edges ascend."""
+    limits = np.array(edges)
+
+    @F.pandas_udf("int")
+    def find(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(limits, values.to_numpy(), side="right").astype(np.int32))
+
+    return find
+
+
+def cut_points(blocks: int) -> list[float]:
+    return [i / blocks for i in range(1, blocks)]

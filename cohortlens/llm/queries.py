@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import (bpe, langid, lm, neardup, packing, phrases, quality, search, sharding, toxicity, urls)
+from cohortlens.llm import (bpe, curves, langid, lm, neardup, negatives, packing, phrases, quality, search, sharding, toxicity,
+                            urls)
 from cohortlens.llm.common import fields, id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,7 @@ RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/
          urls.Rule("allow", "org", "/fr/")]
 SHARDS = 8
 QUERY_EVERY = 50
+ASK_EVERY, ANCHOR_EVERY = 20, 100
 
 
 def find_package(spark: SparkSession) -> None:
@@ -127,6 +129,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), id_fold("doc_id", 7) != 2)
 
 
+_USABLE = "len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_FLOATS = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+# Exact; the curves find what it finds where their windows are as wide as the table, as on tables of this size.
+@query("op11_hilbert_neighbours", f"""
+WITH rows AS (
+  SELECT vec_id, {_FLOATS} AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND {_USABLE.format('embedding')} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.v, r.v) AS score
+  FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % {ASK_EVERY} = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM near)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {curves.K}""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return curves.search(rows, rows.filter(F.col("vec_id") % ASK_EVERY == 0))
+
+
 _PAIRS_AND_MORE = " UNION ALL ".join(
     f"SELECT lang, array_to_string(w[i:i+{k - 1}], ' ') AS phrase, {k} AS width FROM placed WHERE i + {k - 1} <= len(w)" for k in (1, 2, 3))
 _cut = lambda l, r: f"CAST(floor(1000000::HUGEINT * a * a // ({l}::HUGEINT * {r})) AS BIGINT)"
@@ -161,3 +182,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.LIMIT}""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_USABLE.format('embedding')}),
+near AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % {ANCHOR_EVERY} = 0),
+positives AS (
+  SELECT * FROM near WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+windows AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN near n ON n.anchor_id = p.anchor_id AND NOT n.same
+  WHERE {negatives.LOW} * p.score <= 100 * n.score AND 100 * n.score <= {negatives.HIGH} * p.score),
+ranked AS (SELECT *, CAST(row_number() OVER (
+  PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank FROM windows)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= {negatives.NEGATIVES}""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % ANCHOR_EVERY == 0)
