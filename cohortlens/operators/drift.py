@@ -10,15 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cohortlens.functions.columns import count_where, one_row_to_long
+from cohortlens.functions.columns import count_below, count_where
 from cohortlens.functions.distributions import chi_square_p, ks_p
 from cohortlens.operators.metrics import binary_metrics, predicted, roc_auc
-from cohortlens.operators.ordered import with_buckets
+from cohortlens.operators.ordered import by_group, number, with_buckets
 from cohortlens.operators.profile import histogram, long_numbers, long_texts
 from cohortlens.schema import DRIFT_ALPHA, DRIFT_SHARE, F1_DEGRADATION, KEY, TARGETS
 
 REF, CUR = "reference", "current"
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+#: Value ranges of a feature whose counts are compared first.
+RANGES = 512
 
 
 def tag_sides(reference: DataFrame, current: DataFrame) -> DataFrame:
@@ -71,26 +73,87 @@ def ks_from_counts(counts: DataFrame) -> DataFrame:
     return out.filter("size_ref > 0 AND size_cur > 0")
 
 
-def side_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and sample standard deviation of each column on both sides, one pass."""
-    aggs = []
-    for c in columns:
-        for side, tag in ((REF, "ref"), (CUR, "cur")):
-            value = F.when(F.col("side") == side, F.col(c))
-            aggs += [F.avg(value).alias(f"{c}__{tag}_mean"), F.stddev_samp(value).alias(f"{c}__{tag}_std")]
-    facts = ["ref_mean", "cur_mean", "ref_std", "cur_std"]
-    return one_row_to_long(df.agg(*aggs), [
-        {"feature": F.lit(c), **{f: F.col(f"{c}__{f}") for f in facts}} for c in columns])
+def range_counts(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """(feature, range, value, side) of all cells, and per (feature, range) both sides' counts and moments.
+
+    Ranges are cut at quantiles of a sketch of both sides together. The cells are only projected; the
+    exchange carries one row per range and task.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    wide = df.select("side", *[number(c).alias(n) for c, n in zip(columns, names)])
+    probs = [i / ranges for i in range(1, ranges)]
+    edges = wide.agg(*[F.array_distinct(F.percentile_approx(n, probs, 10 * ranges)).alias(n) for n in names])
+    facts = by_group(edges, [], names)
+    placed = wide.withColumn("facts", facts).select("side", *names, *[F.col(f"facts.{n}").alias(f"e_{n}") for n in names])
+    cells = placed.select("side", F.inline(F.array_compact(F.array(*[
+        F.when(F.col(n).isNotNull(), F.struct(F.lit(c).alias("feature"), F.col(n).alias("value"),
+                                              count_below(F.col(n), F.col(f"e_{n}"), ranges).alias("range")))
+        for c, n in zip(columns, names)]))))
+    own = lambda side: F.when(F.col("side") == side, F.col("value"))
+    counts = cells.groupBy("feature", "range").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        *[fn(own(side)).alias(f"{name}_{tag}") for side, tag in ((REF, "ref"), (CUR, "cur"))
+          for name, fn in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))])
+    return cells, counts
+
+
+def ks_statistics(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """Two-sample KS statistic, sizes and moments per feature; a feature with an empty side is left out.
+
+    Counts per range make the gap between the two distribution functions exact at the ends of each range
+    and bound it inside, where it cannot pass the share of either side that lies there. Only
+    ranges whose bound exceeds the widest gap at any end are ordered.
+    """
+    cells, counts = range_counts(df, columns, ranges)
+    every = Window.partitionBy("feature")
+    order = every.orderBy("range")
+    total = lambda tag: F.sum(f"n_{tag}").over(every)
+    share = lambda tag: F.try_divide(F.col(f"n_{tag}"), total(tag))
+    upto = lambda tag: F.try_divide(F.sum(f"n_{tag}").over(order), total(tag))
+    # At most ``ranges`` rows for each feature.
+    placed = counts.withColumns({
+        "size_ref": total("ref"), "size_cur": total("cur"), "share_ref": share("ref"), "share_cur": share("cur"),
+        "after": upto("ref") - upto("cur")}).filter("size_ref > 0 AND size_cur > 0")
+    placed = placed.withColumn("before", F.col("after") - F.col("share_ref") + F.col("share_cur"))
+    bound = F.greatest(F.col("before") + F.col("share_ref"), F.col("share_cur") - F.col("before"))
+    placed = placed.withColumn("widest", F.max(F.abs("after")).over(every)).withColumn(
+        "open", (F.col("low") < F.col("high")) & (bound > F.col("widest")))
+    # Of the open ranges: where the gap starts. Inside, only their cells are exchanged by value.
+    opened = placed.filter("open").select(F.struct("feature", "range").alias("key"), F.struct("before", "size_ref", "size_cur").alias("at"))
+    where = opened.agg(F.map_from_entries(F.collect_list(F.struct("key", "at")))).scalar()
+    inner = cells.withColumn("at", F.try_element_at(where, F.struct("feature", "range"))).filter("at IS NOT NULL")
+    inner = inner.groupBy("feature", "range", "at", "value").agg(
+        count_where(F.col("side") == REF).alias("n_ref"), count_where(F.col("side") == CUR).alias("n_cur"))
+    inside = Window.partitionBy("feature", "range").orderBy("value")
+    gap = (F.col("at.before") + F.sum("n_ref").over(inside) / F.col("at.size_ref") - F.sum("n_cur").over(inside) / F.col("at.size_cur"))
+    inner = inner.select("feature", F.abs(gap).alias("gap")).groupBy("feature").agg(F.max("gap").alias("inner_gap"))
+
+    ends = placed.groupBy("feature").agg(
+        F.max("size_ref").alias("size_ref"), F.max("size_cur").alias("size_cur"), F.max("widest").alias("end_gap"),
+        *[F.sum(F.col(f"n_{t}") * F.col(f"mean_{t}")).alias(f"sum_{t}") for t in ("ref", "cur")],
+        *[F.collect_list(F.struct(F.col(f"n_{t}").alias("n"), F.col(f"mean_{t}").alias("mean"), F.col(f"var_{t}").alias("var"))).alias(t)
+          for t in ("ref", "cur")])
+
+    def spread(tag: str) -> Column:
+        """Sample deviation from the moments of the ranges."""
+        mean = F.col(f"sum_{tag}") / F.col(f"size_{tag}")
+        off = lambda r: r["n"] * (r["var"] + (r["mean"] - mean) * (r["mean"] - mean))
+        squares = F.aggregate(F.filter(tag, lambda r: r["n"] > 0), F.lit(0.0), lambda a, r: a + off(r))
+        return F.when(F.col(f"size_{tag}") > 1, F.sqrt(squares / (F.col(f"size_{tag}") - 1)))
+
+    # Both sides hold one row per feature.
+    return ends.join(F.broadcast(inner), "feature", "left").select(
+        "feature", "size_ref", "size_cur", F.greatest("end_gap", F.coalesce("inner_gap", F.lit(0.0))).alias("ks_statistic"),
+        (F.col("sum_ref") / F.col("size_ref")).alias("ref_mean"), (F.col("sum_cur") / F.col("size_cur")).alias("cur_mean"),
+        spread("ref").alias("ref_std"), spread("cur").alias("cur_std"))
 
 
 def ks_drift(df: DataFrame, columns: Sequence[str], alpha: float = DRIFT_ALPHA) -> DataFrame:
     """KS statistic, p-value, flag and moments per numeric feature."""
-    stats = ks_from_counts(side_counts(long_numbers(df, columns, ["side"])))
+    stats = ks_statistics(df, columns)
     stats = stats.withColumn("p_value", ks_p(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur")))
-    # Both sides hold one row per feature.
-    return stats.join(F.broadcast(side_moments(df, columns)), "feature").select(
-        "feature", "ks_statistic", "p_value", (F.col("p_value") < alpha).alias("drift_detected"),
-        "ref_mean", "cur_mean", "ref_std", "cur_std")
+    return stats.select("feature", "ks_statistic", "p_value", (F.col("p_value") < alpha).alias("drift_detected"),
+                        "ref_mean", "cur_mean", "ref_std", "cur_std")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,13 +10,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortlens.operators import boosting as grow
 from cohortlens.operators import metrics
 from cohortlens.operators.features import FeatureEngineer, Preprocessor, ENGINEERED
 from cohortlens.operators.split import with_folds, with_holdout
@@ -40,16 +40,30 @@ BOOST_ROUNDS = 300
 BOOST_RATE = 0.1
 BOOST_DEPTH = 4
 SEED = 42
-# Parameter space of the sweep: low, high, kind.
+# Parameter space of the sweep: low, high, kind; and the parameters of the tuned booster where nothing was swept (fixed values).
 SEARCH_SPACE = {
     "n_estimators": (200, 1000, "int"),
     "max_depth": (3, 10, "int"),
     "learning_rate": (0.01, 0.3, "log"),
     "subsample": (0.6, 1.0, "float"),
     "colsample_bytree": (0.6, 1.0, "float"),
+    "reg_lambda": (0.0, 10.0, "float"),
+    "reg_alpha": (0.0, 5.0, "float"),
     "min_child_weight": (1, 10, "int"),
     "gamma": (0.0, 5.0, "float"),
 }
+TUNED_DEFAULTS = {
+    "n_estimators": 600,
+    "max_depth": 6,
+    "learning_rate": 0.05,
+    "subsample": 0.8,
+    "colsample_bytree": 0.9,
+    "reg_lambda": 1.5,
+    "reg_alpha": 0.5,
+    "min_child_weight": 1,
+    "gamma": 0.0,
+}
+MARGIN_FOLDS = 3
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -84,21 +98,44 @@ def forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, label: str = LA
 
 
 def boosting(rounds: int = BOOST_ROUNDS, rate: float = BOOST_RATE, depth: int = BOOST_DEPTH, label: str = LABEL) -> list:
-    return [GBTClassifier(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=SEED, checkpointInterval=10)]
+    """Trees on the squared error of the gradients, with Newton steps in the leaves."""
+    return [grow.Booster(grow.Settings(rounds, depth, rate, seed=SEED), labelCol=label)]
 
 
-def linear_svm(n_rows: int, label: str = LABEL, iterations: int = 100) -> list:
-    """Linear margin classifier with a logistic curve on its margin for probabilities.
+class MarginClassifier(Estimator):
+    """Linear margin classifier with a logistic curve from margin to probability.
 
-    Spark has no kernel machine; the boundary is linear here. A cost of C = 1 a row is a
-    penalty of 1 / n on Spark's mean loss.
+    The curve learns from margins of rows that their classifier did not see: the rows are dealt into
+    ``MARGIN_FOLDS`` folds, each scored by a classifier of the others. The final classifier learns from all.
     """
-    return [
-        LinearSVC(labelCol=label, weightCol=WEIGHT, maxIter=iterations, regParam=1.0 / max(n_rows, 1),
-                  rawPredictionCol="margins", predictionCol="svm_prediction"),
-        VectorSlicer(inputCol="margins", outputCol="margin", indices=[1]),
-        LogisticRegression(labelCol=label, featuresCol="margin", maxIter=100),
-    ]
+
+    def __init__(self, n_rows: int, label: str = LABEL, iterations: int = 100):
+        super().__init__()
+        self.label = label
+        # A cost of C = 1 a row is a penalty of 1 / n on the mean loss.
+        self.margin = LinearSVC(labelCol=label, weightCol=WEIGHT, maxIter=iterations, regParam=1.0 / max(n_rows, 1),
+                                rawPredictionCol="margins", predictionCol="svm_prediction")
+        self.slicer = VectorSlicer(inputCol="margins", outputCol="margin", indices=[1])
+
+    def held_out(self, rows: DataFrame) -> DataFrame:
+        """(label, margin) of every row, by a classifier of the other folds."""
+        keyed = rows.withColumn("row_key", F.xxhash64(vector_to_array("features")))
+        dealt = materialize(with_folds(keyed, self.label, "row_key", MARGIN_FOLDS, name="margin_fold"), "margin_folds")
+        parts = []
+        for fold in range(MARGIN_FOLDS):
+            classifier = self.margin.fit(dealt.filter(F.col("margin_fold") != fold))
+            scored = self.slicer.transform(classifier.transform(dealt.filter(F.col("margin_fold") == fold)))
+            parts.append(scored.select(self.label, "margin"))
+        return union_all(parts)
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        curve = LogisticRegression(labelCol=self.label, featuresCol="margin", maxIter=100).fit(self.held_out(dataset))
+        return PipelineModel([self.margin.fit(dataset), self.slicer, curve])
+
+
+def linear_svm(n_rows: int, label: str = LABEL, iterations: int = 100) -> list:
+    """Linear margins with probabilities. Spark has no kernel machine; the boundary is linear here."""
+    return [MarginClassifier(n_rows, label, iterations)]
 
 
 def naive_bayes(label: str = LABEL) -> list:
@@ -176,6 +213,43 @@ def score_table(predictions: DataFrame, by: Sequence[str], label: str = LABEL) -
     return wide.unpivot(list(by), SCORES, "metric", "score")
 
 
+def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int = 4) -> dict[tuple, PipelineModel]:
+    """(name, key) -> model of every builder on every prepared table; a fit that fails is left out.
+
+    All boosters grow together, whatever their table and settings; the other fits run ``parallelism`` at a time.
+    """
+    stages = {}
+    for key, table in prepared.items():
+        for name, build in builders.items():
+            try:
+                stages[name, key] = build(table.n)
+            except Exception as err:
+                log.warning("%s on %s failed: %s", name, key, err)
+    boosted = [job for job, own in stages.items() if len(own) == 1 and isinstance(own[0], grow.Booster)]
+    out = {}
+    if boosted:
+        keys = list(dict.fromkeys(key for _, key in boosted))
+        try:
+            fitted = grow.fit_all([prepared[key].rows for key in keys],
+                                    [grow.Job(keys.index(key), stages[name, key][0].settings) for name, key in boosted],
+                                    stages[boosted[0]][0].getLabelCol())
+            out = {job: PipelineModel([*prepared[job[1]].stages, model]) for job, model in zip(boosted, fitted)}
+        except Exception as err:
+            log.error("boosters failed: %s", err)
+
+    def run(job: tuple) -> PipelineModel | None:
+        try:
+            return PipelineModel([*prepared[job[1]].stages, *Pipeline(stages=stages[job]).fit(prepared[job[1]].rows).stages])
+        except Exception as err:
+            log.warning("%s on %s failed: %s", *job, err)
+            return None
+
+    others = [job for job in stages if job not in boosted]
+    with ThreadPoolExecutor(parallelism) as pool:
+        out |= {job: model for job, model in zip(others, pool.map(run, others)) if model is not None}
+    return out
+
+
 def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL, folds: int = 5,
                    parallelism: int = 4) -> DataFrame:
     """Long table (model, fold, metric, score).
@@ -184,7 +258,6 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
     come from one scoring of the held-out rows. A fit that fails scores 0 on its fold.
     """
     table = materialize(with_folds(df, label, key, folds), "folds", partition_by="fold")
-    jobs = [(name, build, fold) for name, build in builders.items() for fold in range(folds)]
 
     def ready(fold: int) -> Prepared | None:
         try:
@@ -193,23 +266,14 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
             log.warning("preprocessing failed on fold %d: %s", fold, err)
             return None
 
-    def run(job: tuple[str, Builder, int]) -> DataFrame | None:
-        name, build, fold = job
-        if prepared[fold] is None:
-            return None
-        try:
-            model = prepared[fold].fit(build)
-        except Exception as err:
-            log.warning("%s failed on fold %d: %s", name, fold, err)
-            return None
-        held_out = score(model, table.filter(F.col("fold") == fold), [label])
-        return held_out.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "probability")
-
     with ThreadPoolExecutor(parallelism) as pool:
-        prepared = list(pool.map(ready, range(folds)))
-        results = list(pool.map(run, jobs))
-    done = [r for r in results if r is not None]
-    failed = [(name, fold, m, 0.0) for (name, _, fold), r in zip(jobs, results) if r is None for m in SCORES]
+        prepared = {fold: p for fold, p in enumerate(pool.map(ready, range(folds))) if p is not None}
+    fitted = fit_together(prepared, builders, parallelism)
+    done = []
+    for (name, fold), model in fitted.items():
+        held_out = score(model, table.filter(F.col("fold") == fold), [label])
+        done.append(held_out.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "probability"))
+    failed = [(name, fold, m, 0.0) for name in builders for fold in range(folds) if (name, fold) not in fitted for m in SCORES]
     parts = []
     if done:
         # Stored, as rates and AUC both read the predictions.
@@ -224,13 +288,8 @@ def holdout_predictions(df: DataFrame, key: str, builders: dict[str, Builder], l
     """(label, probability, model) of each model on held-out rows, stored: each model scores once."""
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, test = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
-    prepared = prepare(train, label, store=True)
-    frames = []
-    for name, build in builders.items():
-        try:
-            frames.append(score(prepared.fit(build), test, [label]).withColumn("model", F.lit(name)))
-        except Exception as err:
-            log.error("%s failed: %s", name, err)
+    fitted = fit_together({"train": prepare(train, label, store=True)}, builders)
+    frames = [score(model, test, [label]).withColumn("model", F.lit(name)) for (name, _), model in fitted.items()]
     return materialize(union_all(frames), "predictions")
 
 
@@ -255,14 +314,7 @@ def fit_best(df: DataFrame, builders: dict[str, Builder], scores: DataFrame, lab
 
 
 def fit_all(df: DataFrame, builders: dict[str, Builder], label: str = LABEL) -> dict[str, PipelineModel]:
-    prepared = prepare(df, label, store=True)
-    models = {}
-    for name, build in builders.items():
-        try:
-            models[name] = prepared.fit(build)
-        except Exception as err:
-            log.error("%s failed: %s", name, err)
-    return models
+    return {name: model for (name, _), model in fit_together({"all": prepare(df, label, store=True)}, builders).items()}
 
 
 def draw_params(trials: int, seed: int = SEED, space: dict = SEARCH_SPACE) -> list[dict]:
@@ -283,12 +335,12 @@ def draw_params(trials: int, seed: int = SEED, space: dict = SEARCH_SPACE) -> li
 
 
 def tuned_booster(params: dict, label: str = LABEL) -> Builder:
-    """Booster with swept parameters. Spark's trees have no L1/L2 leaf penalty."""
-    return lambda n: [GBTClassifier(
-        labelCol=label, maxIter=params["n_estimators"], maxDepth=params["max_depth"], stepSize=params["learning_rate"],
-        subsamplingRate=params["subsample"], featureSubsetStrategy=str(round(params["colsample_bytree"], 4)),
-        minInstancesPerNode=params["min_child_weight"], minInfoGain=params["gamma"] / 100.0, seed=SEED,
-        checkpointInterval=10)]
+    """Second-order booster with swept parameters: L1 and L2 penalties of leaves, least hessian and least gain of splits."""
+    settings = grow.Settings(
+        rounds=params["n_estimators"], depth=params["max_depth"], rate=params["learning_rate"], subsample=params["subsample"],
+        colsample=params["colsample_bytree"], min_child_weight=params["min_child_weight"], gamma=params["gamma"],
+        reg_lambda=params["reg_lambda"], reg_alpha=params["reg_alpha"], newton=True, seed=SEED)
+    return lambda n: [grow.Booster(settings, labelCol=label)]
 
 
 def sweep(df: DataFrame, key: str, trials: Sequence[dict], label: str = LABEL, test_share: float = 0.2,
@@ -297,19 +349,10 @@ def sweep(df: DataFrame, key: str, trials: Sequence[dict], label: str = LABEL, t
     spark = df.sparkSession
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, valid = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
-    prepared = prepare(train, label, store=True)
-
-    def run(job: tuple[int, dict]) -> DataFrame | None:
-        trial, params = job
-        try:
-            predictions = score(prepared.fit(build(params, label)), valid, [label])
-        except Exception as err:
-            log.warning("trial %d failed: %s", trial, err)
-            return None
-        return predictions.withColumn("trial", F.lit(trial))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        frames = [f for f in pool.map(run, enumerate(trials)) if f is not None]
+    # A builder that fails does so as its trial.
+    builders = {trial: (lambda n, params=params: build(params, label)(n)) for trial, params in enumerate(trials)}
+    fitted = fit_together({"train": prepare(train, label, store=True)}, builders, parallelism)
+    frames = [score(model, valid, [label]).withColumn("trial", F.lit(trial)) for (trial, _), model in fitted.items()]
     # One row per trial: the list of trials is the caller's and short.
     names = list(trials[0])
     columns = ", ".join(["trial int", *[f"{n} double" for n in names]])

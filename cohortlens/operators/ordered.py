@@ -1,12 +1,14 @@
 """Ranks, running totals and exact quantiles without a single-task sort.
 
-A global ``Window.orderBy`` sends every row to one task. Here rows are first
+A global ``Window.orderBy`` sends every row to one task. For running totals, rows are first
 reduced to one row per distinct value, cut into value ranges of about equal
 size, and only then ordered inside each range. Totals per range are few, so the
-running total over them fits in one small window.
+running total over them fits in one small window. The range limits come from a scalar
+subquery over the same reduced rows, so the whole computation stays one lazy plan and the
+reduced shuffle is reused.
 
-The range limits come from a scalar subquery over the same reduced rows, so the
-whole computation stays one lazy plan and the reduced shuffle is reused.
+Quantiles need the order around a few ranks only. A sketch made on the scan brackets them; further
+scans count what lies below a bracket and keep what lies inside, so no exchange carries the cells.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from cohortlens.functions.columns import count_below, key_hash
 
 MIN_BUCKETS, MAX_BUCKETS = 64, 16384
 STRATA_BUCKETS = 1 << 16
+#: Ranks of a sketch are right to one part in so many; groups of no more rows are kept whole.
+SKETCH = 10_000
 
 
 def distinct_counts(df: DataFrame, by: Sequence[str], value: str, **measures: Column) -> DataFrame:
@@ -94,46 +98,73 @@ def running_totals(counts: DataFrame, value: str, measures: Sequence[str],
     return out.select(value, *measures, *cums, *[f"total_{m}" for m in measures])
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
-                    probs: Sequence[float], buckets: int | None = None) -> DataFrame:
-    """Exact interpolated quantiles: one row per ``by`` with columns q0, q1, ...
+def number(column: str) -> Column:
+    """A column as numbers; NaN counts as missing."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def by_group(row: DataFrame, by: Sequence[str], facts: Sequence[str]) -> Column:
+    """The facts of each row's group, as a scalar that needs no join; ``row`` has one row per group."""
+    if not by:
+        return row.select(F.struct(*facts)).scalar()
+    table = row.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by).alias("key"), F.struct(*facts).alias("value"))))).scalar()
+    return F.element_at(table, F.struct(*by))
+
 
-    ``by[0]`` is the feature name. Only the value ranges that hold a wanted rank are ordered.
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles: (by..., feature, q0, q1, ...), one row per group and column with a value.
+
+    Three scans. A sketch gives each wanted rank a bracket of values that surely holds it, two parts in
+    ``SKETCH`` to either side; counts below the brackets place them exactly; and only cells inside, four parts in
+    ``SKETCH``, folded by value, are exchanged and ordered. Groups are the caller's and few: their brackets travel
+    as one scalar. Nulls and NaN are left out.
     """
-    counts = distinct_counts(df, by, value, n=F.count(F.lit(1)))
-    bucketed = with_buckets(counts, value, ["n"], feature=by[0], buckets=buckets)
-    per_bucket = bucketed.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
-    spans = per_bucket.select(
-        *by, "bucket", "n",
-        (F.sum("n").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("n")).alias("start"),
-        F.sum("n").over(Window.partitionBy(*by)).alias("size"),
-    )
-    position = [(F.col("size") - 1) * F.lit(float(p)) for p in probs]
-    wanted = [F.struct(F.lit(i).alias("q"), F.floor(pos).alias("rank"), F.lit(0.0).alias("high"),
-                       (pos - F.floor(pos)).alias("part")) for i, pos in enumerate(position)]
-    wanted += [F.struct(F.lit(i).alias("q"), F.ceil(pos).alias("rank"), F.lit(1.0).alias("high"),
-                        (pos - F.floor(pos)).alias("part")) for i, pos in enumerate(position)]
-    targets = (
-        spans.select("*", F.inline(F.array(*wanted)))
-        .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .groupBy(*by, "bucket", "start")
-        .agg(F.collect_list(F.struct("q", "rank", "high", "part")).alias("wanted"))
-    )
-    window = Window.partitionBy(*by, "bucket").orderBy(value)
-    ranked = (
-        bucketed.join(targets, [*by, "bucket"])
-        .withColumn("end", F.col("start") + F.sum("n").over(window))
-        .select(*by, value, "n", "end", F.inline("wanted"))
-        .filter((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
-    )
-    ends = ranked.groupBy(*by, "q").agg(
-        F.max(F.when(F.col("high") == 0.0, F.col(value))).alias("low"),
-        F.max(F.when(F.col("high") == 1.0, F.col(value))).alias("top"),
-        F.max("part").alias("part"),
-    ).withColumn("value", F.col("low") + (F.col("top") - F.col("low")) * F.col("part"))
-    return ends.groupBy(*by).agg(
-        *[F.max(F.when(F.col("q") == i, F.col("value"))).alias(f"q{i}") for i in range(len(probs))]
-    )
+    by, names = list(by), [f"c{i}" for i in range(len(columns))]
+    wide = df.select(*by, *[number(c).alias(n) for c, n in zip(columns, names)])
+    reach = 2 / SKETCH
+    ends = [x for p in probs for x in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    sketch = wide.groupBy(*by).agg(*[F.count(n).alias(f"n_{n}") for n in names],
+                                   *[F.percentile_approx(n, ends, SKETCH).alias(f"e_{n}") for n in names])
+    bracketed = wide.withColumn("facts", by_group(sketch, by, sketch.columns[len(by):]))
+    infinite = F.lit(float("inf"))
+    # A small group is kept whole, as an error of a part of its rows is less than the one rank that rounding may take.
+    end = lambda name, i: F.when(F.col(f"facts.n_{name}") <= SKETCH, -infinite if i % 2 == 0 else infinite).otherwise(
+        F.get(f"facts.e_{name}", F.lit(i)))
+    wanted = range(len(probs))
+    low = bracketed.select(*by, *names, *[end(n, 2 * i).alias(f"lo_{n}_{i}") for n in names for i in wanted],
+                           *[end(n, 2 * i + 1).alias(f"hi_{n}_{i}") for n in names for i in wanted])
+    counts = low.groupBy(*by).agg(*[F.count(n).alias(f"n_{n}") for n in names],
+                                  *[F.count_if(F.col(n) < F.col(f"lo_{n}_{i}")).alias(f"b_{n}_{i}") for n in names for i in wanted])
+    cells = [F.when(F.col(n).between(F.col(f"lo_{n}_{i}"), F.col(f"hi_{n}_{i}")),
+                    F.struct(F.lit(k).alias("c"), F.lit(i).alias("q"), F.col(n).alias("value")))
+             for k, n in enumerate(names) for i in wanted]
+    inside = low.select(*by, F.inline(F.array_compact(F.array(*cells))))
+    order = Window.partitionBy(*by, "c", "q").orderBy("value")
+    ranked = inside.groupBy(*by, "c", "q", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
+    ranked = ranked.withColumn("facts", by_group(counts, by, counts.columns[len(by):]))
+    size = F.get(F.array(*[F.col(f"facts.n_{n}") for n in names]), F.col("c"))
+    before = F.get(F.array(*[F.col(f"facts.b_{n}_{i}") for n in names for i in wanted]), F.col("c") * len(probs) + F.col("q"))
+    position = (size - 1) * F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("q"))
+    ranked = ranked.select(*by, "c", "q", "value", position.alias("position"), (before + F.col("upto") - F.col("n")).alias("first"),
+                           (before + F.col("upto")).alias("end"))
+    holds = lambda rank: (rank >= F.col("first")) & (rank < F.col("end"))
+    lower, upper = F.floor("position"), F.ceil("position")
+    found = ranked.filter(holds(lower) | holds(upper)).groupBy(*by, "c", "q").agg(
+        F.max(F.when(holds(lower), F.col("value"))).alias("low"), F.max(F.when(holds(upper), F.col("value"))).alias("top"),
+        F.max(F.col("position") - lower).alias("part"))
+    value = F.coalesce(F.col("low") + (F.col("top") - F.col("low")) * F.col("part"),
+                       F.raise_error("a wanted rank lies outside its bracket").cast("double"))
+    out = found.groupBy(*by, "c").agg(*[F.max(F.when(F.col("q") == i, value)).alias(f"q{i}") for i in wanted])
+    # A long table names its features itself.
+    name = [] if "feature" in by else [F.get(F.array(*[F.lit(c) for c in columns]), F.col("c")).alias("feature")]
+    return out.select(*by, *name, *[f"q{i}" for i in wanted])
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
+                    probs: Sequence[float], buckets: int | None = None) -> DataFrame:
+    """``quantiles`` of a long table: one row per ``by`` with columns q0, q1, ...; ``by[0]`` is the feature name."""
+    return quantiles(df, [value], probs, by).select(*by, *[f"q{i}" for i in range(len(probs))])
 
 
 def rank_cutoffs(df: DataFrame, stratum: str, key: str, seed: int, wanted: Sequence[Column]) -> Column:

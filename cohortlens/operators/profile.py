@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.columns import add_all, count_where, one_row_to_long, to_long
-from cohortlens.operators.ordered import exact_quantiles
+from cohortlens.operators.ordered import by_group, number, quantiles
 from cohortlens.schema import (BOX_FEATURES, HIGH_CORRELATION, HISTOGRAM_BINS, LABEL, LEAKAGE_CORRELATION)
 
 
@@ -82,45 +82,65 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bin
     """Equal-width bins over min..max per feature (and group); the last bin is closed.
 
     Returns every non-empty bin with its edges, count and density. A constant feature
-    gets the range value +- 0.5. The planner joins the edges by the size they turn out to have.
+    gets the range value +- 0.5. The ends are a scalar, and rows find their bins by projection:
+    two scans, and the exchange carries counts per bin.
     """
-    long = long_numbers(df, columns, by)
-    over = ["feature"] if shared_range else [*by, "feature"]
-    ends = long.groupBy(*over).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    same = F.col("low") == F.col("high")
-    ends = ends.select(*over, F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
-                       F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
-    placed = long.join(ends, over)
-    spot = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
-    counts = placed.groupBy(*by, "feature", "low", "high", F.least(spot, F.lit(bins - 1)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(*by, "feature").agg(F.sum("n").alias("size"))
+    by, names = list(by), [f"c{i}" for i in range(len(columns))]
+    over = [] if shared_range else by
+    wide = df.select(*by, *[number(c).alias(n) for c, n in zip(columns, names)])
+    ends = wide.groupBy(*over).agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names])
+    same = lambda n: F.col(f"facts.lo_{n}") == F.col(f"facts.hi_{n}")
+    low = lambda n: F.when(same(n), F.col(f"facts.lo_{n}") - 0.5).otherwise(F.col(f"facts.lo_{n}"))
+    high = lambda n: F.when(same(n), F.col(f"facts.hi_{n}") + 0.5).otherwise(F.col(f"facts.hi_{n}"))
+    placed = wide.withColumn("facts", by_group(ends, over, ends.columns[len(over):])).select(
+        *by, *names, *[low(n).alias(f"lo_{n}") for n in names], *[high(n).alias(f"hi_{n}") for n in names])
+
+    def cell(k: int, name: str) -> Column:
+        lo, hi = F.col(f"lo_{name}"), F.col(f"hi_{name}")
+        spot = F.floor((F.col(name) - lo) / (hi - lo) * bins)
+        return F.when(F.col(name).isNotNull(), F.struct(
+            F.lit(columns[k]).alias("feature"), lo.alias("low"), hi.alias("high"), F.least(spot, F.lit(bins - 1)).alias("bin")))
+
+    cells = placed.select(*by, F.inline(F.array_compact(F.array(*[cell(k, n) for k, n in enumerate(names)]))))
+    counts = cells.groupBy(*by, "feature", "low", "high", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # At most ``bins`` rows for each group and feature.
+    size = F.sum("n").over(Window.partitionBy(*by, "feature"))
     width = (F.col("high") - F.col("low")) / bins
-    return counts.join(sizes, [*by, "feature"]).select(
+    return counts.select(
         *by, "feature", "bin", (F.col("low") + width * F.col("bin")).alias("bin_start"),
-        (F.col("low") + width * (F.col("bin") + 1)).alias("bin_end"), "n",
-        (F.col("n") / (F.col("size") * width)).alias("density"))
+        (F.col("low") + width * (F.col("bin") + 1)).alias("bin_end"), "n", (F.col("n") / (size * width)).alias("density"))
 
 
 def box_stats(df: DataFrame, columns: Sequence[str] = tuple(BOX_FEATURES), label: str = LABEL) -> DataFrame:
-    """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per feature and class."""
-    long = long_numbers(df.filter(F.col(label).isNotNull()), columns, [label])
-    quartiles = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75])
+    """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per feature and class.
+
+    Fences are a scalar, so whiskers and outliers are one aggregate of the wide rows.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    labelled = df.filter(F.col(label).isNotNull())
     spread = F.col("q2") - F.col("q0")
-    fences = quartiles.select(
-        "feature", label, "q0", "q1", "q2", (F.col("q0") - 1.5 * spread).alias("fence_low"),
-        (F.col("q2") + 1.5 * spread).alias("fence_high"))
-    inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
-    joined = long.join(fences, ["feature", label])
-    return joined.groupBy("feature", label).agg(
-        F.count(F.lit(1)).alias("n"), F.max("q0").alias("q1"), F.max("q1").alias("median"),
-        F.max("q2").alias("q3"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"), count_where(~inside).alias("n_outliers"))
+    fences = quantiles(labelled, columns, [0.25, 0.5, 0.75], [label]).select(
+        label, "feature", "q0", "q1", "q2", (F.col("q0") - 1.5 * spread).alias("lo"), (F.col("q2") + 1.5 * spread).alias("hi"))
+    # A few numbers for each class and feature.
+    facts = ["q0", "q1", "q2", "lo", "hi"]
+    row = fences.groupBy(label).agg(*[
+        F.max(F.when(F.col("feature") == c, F.struct(*facts))).alias(f"f_{n}") for c, n in zip(columns, names)])
+    fenced = labelled.select(label, *[number(c).alias(n) for c, n in zip(columns, names)]).withColumn(
+        "facts", by_group(row, [label], row.columns[1:]))
+    flat = fenced.select(label, *names, *[F.col(f"facts.f_{n}.{f}").alias(f"{f}_{n}") for n in names for f in facts])
+    inside = lambda n: F.col(n).between(F.col(f"lo_{n}"), F.col(f"hi_{n}"))
+    totals = flat.groupBy(label).agg(*[col for n in names for col in (
+        F.count(n).alias(f"n_{n}"), *[F.max(f"{q}_{n}").alias(f"{q}_{n}") for q in ("q0", "q1", "q2")],
+        F.min(F.when(inside(n), F.col(n))).alias(f"low_{n}"), F.max(F.when(inside(n), F.col(n))).alias(f"high_{n}"),
+        count_where(~inside(n)).alias(f"out_{n}"))])
+    return one_row_to_long(totals, [
+        {"feature": F.lit(c), "n": F.col(f"n_{n}"), "q1": F.col(f"q0_{n}"), "median": F.col(f"q1_{n}"), "q3": F.col(f"q2_{n}"),
+         "whisker_low": F.col(f"low_{n}"), "whisker_high": F.col(f"high_{n}"), "n_outliers": F.col(f"out_{n}")}
+        for c, n in zip(columns, names)], [label]).filter("n > 0")
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return exact_quantiles(long_numbers(df, columns), ["feature"], "value", [0.5]).select(
-        "feature", F.col("q0").alias("median"))
+    return quantiles(df, columns, [0.5]).select("feature", F.col("q0").alias("median"))
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -81,8 +81,7 @@ def q_ks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("drift_ks_pvalue", SIDES + KS + f" SELECT feature, nr AS size_ref, nc AS size_cur, {sql_r6('p')} AS p_value FROM ksp")
 def q_ks_p(spark: SparkSession, sf: str) -> DataFrame:
-    long = drift.long_numbers(drift_sides(spark, sf), NUMBERS, ["side"])
-    stats = drift.ks_from_counts(drift.side_counts(long))
+    stats = drift.ks_statistics(drift_sides(spark, sf), NUMBERS)
     p = ks_asymptotic(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur"))
     return stats.select("feature", "size_ref", "size_cur", r6(p).alias("p_value"))
 
@@ -90,8 +89,7 @@ def q_ks_p(spark: SparkSession, sf: str) -> DataFrame:
 @query("drift_ks_auto", SIDES + KS + f" SELECT feature, nr AS size_ref, nc AS size_cur, {sql_r6('d')} AS ks_statistic, {sql_r6('p')} AS p_value FROM ksp")
 def q_ks_auto(spark: SparkSession, sf: str) -> DataFrame:
     """The default method: asymptotic at every size."""
-    long = drift.long_numbers(drift_sides(spark, sf), NUMBERS, ["side"])
-    stats = drift.ks_from_counts(drift.side_counts(long))
+    stats = drift.ks_statistics(drift_sides(spark, sf), NUMBERS)
     p = ks_p(F.col("ks_statistic"), F.col("size_ref"), F.col("size_cur"))
     return stats.select("feature", "size_ref", "size_cur", r6("ks_statistic").alias("ks_statistic"), r6(p).alias("p_value"))
 

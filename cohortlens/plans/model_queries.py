@@ -79,7 +79,7 @@ def q_nb_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_tuned")
 def q_tuned(spark: SparkSession, sf: str) -> DataFrame:
-    return holdout_metrics(spark, sf, models.tuned_booster(models.draw_params(1)[0]))
+    return holdout_metrics(spark, sf, models.tuned_booster(models.TUNED_DEFAULTS))
 
 
 @query("cv_scores")
@@ -100,7 +100,7 @@ def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out learners with the calibrated score of a model that did not see them."""
     table = materialize(with_holdout(prepared(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
-    model = calibrate.fit_calibrated(table.filter("NOT is_test").drop("is_test"), "k", models.logistic)
+    model = calibrate.fit_calibrated(table.filter("NOT is_test").drop("is_test"), "k", models.tuned_booster(models.TUNED_DEFAULTS))
     return model.transform(table.filter("is_test").drop("is_test")).select("k", LABEL, "probability")
 
 

@@ -59,6 +59,26 @@ def test_exact_quantiles(spark, values):
     assert [row.q0, row.q1, row.q2] == pytest.approx(list(want), rel=1e-9, abs=1e-9)
 
 
+def test_quantiles_of_large_groups_come_from_brackets(spark, monkeypatch):
+    """With a coarse sketch, most rows lie outside the brackets; hot values and nulls included."""
+    monkeypatch.setattr(ordered, "SKETCH", 100)
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.lognormal(size=3000), np.full(900, 1.0)])
+    b = rng.integers(0, 3, len(a)).astype(float)
+    group = rng.integers(0, 2, len(a))
+    df = spark.createDataFrame([(int(g), float(x), float(y)) for g, x, y in zip(group, a, b)] + [(0, None, float("nan")), (1, None, None)],
+                               "g int, a double, b double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for by, own in ((["g"], lambda g, v: v[group == g]), ([], lambda g, v: v)):
+        got = {(r["g"] if by else None, r["feature"]): [r[f"q{i}"] for i in range(len(probs))]
+               for r in ordered.quantiles(df, ["a", "b"], probs, by).collect()}
+        assert len(got) == 4 if by else 2
+        for (g, name), found in got.items():
+            assert found == pytest.approx(list(np.quantile(own(g, {"a": a, "b": b}[name]), probs)), rel=1e-12)
+    plan = ordered.quantiles(df, ["a"], [0.5], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_buckets_hold_about_equal_shares(spark):
     df = spark.range(20000).select((F.exp(F.col("id") / 2000.0)).alias("v"))
     counts = ordered.distinct_counts(df, [], "v", n=F.count(F.lit(1)))
@@ -81,6 +101,25 @@ def test_ks_statistic(spark):
     assert got == pytest.approx({f: brute_ks(a, b) for f, (a, b) in sides.items()}, abs=1e-12)
 
 
+@pytest.mark.parametrize("ranges", [4, 64])
+def test_ks_by_bounds_equals_brute_force(spark, ranges):
+    rng = np.random.default_rng(8)
+    sides = {"u": (rng.normal(0, 1, 900), rng.normal(0.05, 1.0, 700)), "v": (np.full(900, 2.0), rng.integers(0, 4, 700).astype(float)),
+             "w": (rng.lognormal(size=900), rng.lognormal(size=700) + 3)}
+    rows = [("reference", *map(float, r)) for r in zip(*(sides[c][0] for c in "uvw"))] + [
+        ("current", *map(float, r)) for r in zip(*(sides[c][1] for c in "uvw"))]
+    df = spark.createDataFrame(rows, "side string, u double, v double, w double").withColumn(
+        "x", F.when(F.col("side") == "current", F.lit(1.0))).repartition(3)
+    got = {r["feature"]: r for r in drift.ks_statistics(df, ["u", "v", "w", "x"], ranges).collect()}
+    assert set(got) == {"u", "v", "w"}
+    for name, (a, b) in sides.items():
+        r = got[name]
+        assert r["ks_statistic"] == pytest.approx(brute_ks(a, b), abs=1e-12)
+        assert (r["size_ref"], r["size_cur"]) == (900, 700)
+        assert [r["ref_mean"], r["cur_mean"]] == pytest.approx([a.mean(), b.mean()])
+        assert [r["ref_std"], r["cur_std"]] == pytest.approx([a.std(ddof=1), b.std(ddof=1)], abs=1e-12)
+
+
 def test_ks_skips_a_feature_with_one_side(spark):
     long = spark.createDataFrame([("u", "reference", 1.0), ("v", "reference", 1.0), ("v", "current", 2.0)],
                                  "feature string, side string, value double")
