@@ -21,7 +21,6 @@ has a phrase counted in vain, and every phrase counted is counted everywhere.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,8 @@ COVERED = 50
 #: Bits of a set of phrases (4 MB, whatever the input).
 SET_BITS = 1 << 25
 BUCKET = 1 << 15
-#: Distinct words that a task remembers; words it looks at together, and distinct phrases it holds back.
-KNOWN_WORDS, HELD = 1 << 18, 1 << 18
+#: Words that a task looks at together, distinct words among them, and phrases it sends on at a time.
+TOGETHER, KNOWN_WORDS, SENT = 1 << 21, 1 << 18, 1 << 16
 UNKNOWN = "und"
 BREAK = b"\n"
 #: A-Z to a-z, marks that end a piece to line feeds, tabs to spaces.
@@ -47,14 +46,19 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdef
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-class Hashes(dict):
-    """Hashes of words, remembered up to a bound."""
+class Words(dict):
+    """Numbers of words in the order they come up, with their spellings and hashes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.spelled, self.hashes = [], []
+        self[BREAK]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+        self[word] = number = len(self.spelled)
+        self.spelled.append(word.decode("utf-8", "replace"))
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,9 +81,8 @@ def phrase_set(phrases: DataFrame, width: int):
     """Broadcast bitmap of a table (lang, phrase) of phrases of ``width`` words."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
-            out = [places(np.array([known[w] for w in phrase.encode().split(b" ")], np.uint64), lang, width)[0]
+            out = [places(np.array([xxhash.xxh3_64_intdigest(w) for w in phrase.encode().split(b" ")], np.uint64), lang, width)[0]
                    for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["p"])
 
@@ -101,58 +104,61 @@ def counted(docs: DataFrame, width: int, frequent=None, grown=None, contended=No
     row a language whose phrase is null: all its word occurrences.
     """
 
-    def positions(words: list[bytes], lang: str, known: Hashes) -> np.ndarray:
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        ends = np.fromiter(map(BREAK.__eq__, words), bool, len(words))
-        count = len(words) - width + 1
+    def positions(ids: np.ndarray, hashes: np.ndarray, lang: str) -> np.ndarray:
+        count = len(ids) - width + 1
         keep = np.ones(max(count, 0), bool)
         for i in range(width):
-            keep &= ~ends[i : i + count]
+            keep &= ids[i : i + count] != 0
         if frequent is not None and count > 0:
-            at = places(hashes, lang, width - 1)
+            at = places(hashes[ids], lang, width - 1)
             first, last = at[:-1], at[1:]
             keep &= has(frequent.value, first) & has(frequent.value, last)
             if grown is not None:
                 keep &= has(grown.value, first) | has(contended.value, first) | has(contended.value, last)
         return np.flatnonzero(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, waiting = Hashes(), {}, {}
+    def folded(ids: np.ndarray, table: Words, lang: str) -> tuple[list[str], np.ndarray]:
+        """Phrases and how often they occur; equal numbers are equal words, so nothing is mixed up."""
+        at = positions(ids, np.array(table.hashes, np.uint64), lang)
+        key, room = ids[at].astype(np.int64), len(table)
+        for i in range(1, width):
+            if room * len(table) >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+                room = len(at)
+            key = key * len(table) + ids[at + i]
+            room *= len(table)
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        spelled = np.array(table.spelled, object)
+        return [" ".join(w) for w in zip(*(spelled[ids[at[first] + i]] for i in range(width)))], counts
 
-        def look(lang: str) -> None:
-            words, mine = waiting.pop(lang), held.setdefault(lang, Counter())
-            if width == 1:
-                mine.update(words)
-                del mine[BREAK]
-            else:
-                mine.update(b" ".join(words[i : i + width]) for i in positions(words, lang, known).tolist())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, read = Words(), {}, 0
 
         def let_go() -> Iterator[pa.RecordBatch]:
-            for lang, mine in held.items():
-                phrases, numbers = list(mine), list(mine.values())
-                if width == 1 and numbers:
-                    phrases.append(None)
-                    numbers.append(sum(numbers))
-                texts = [p if p is None else p.decode("utf-8", "replace") for p in phrases]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())],
-                    schema=COUNTS)
-            held.clear()
-
-        read = 0
+            for lang, parts in held.items():
+                ids = np.concatenate(parts)
+                if width == 1:
+                    counts = np.bincount(ids, minlength=len(table))
+                    counts[0] = 0
+                    chosen = np.flatnonzero(counts)
+                    phrases, numbers = [table.spelled[i] for i in chosen.tolist()], counts[chosen]
+                    if len(chosen):
+                        phrases, numbers = [*phrases, None], np.append(numbers, numbers.sum())
+                else:
+                    phrases, numbers = folded(ids, table, lang)
+                for start in range(0, len(phrases), SENT):
+                    part = phrases[start : start + SENT]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()),
+                                                      pa.array(numbers[start : start + SENT].astype(np.int64))], schema=COUNTS)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = tokens(text.as_py())
-                waiting.setdefault(lang, []).extend(found)
-                read += len(found)
-                if read >= HELD:
-                    for name in list(waiting):
-                        look(name)
-                    read = 0
-                    if sum(map(len, held.values())) >= HELD:
-                        yield from let_go()
-        for name in list(waiting):
-            look(name)
+                words = tokens(text.as_py())
+                held.setdefault(lang, []).append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+                read += len(words)
+                if read >= TOGETHER or len(table) >= KNOWN_WORDS:
+                    yield from let_go()
+                    table, held, read = Words(), {}, 0
         yield from let_go()
 
     rows = docs.mapInArrow(run, "lang string, phrase string, n long")

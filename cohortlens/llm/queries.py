@@ -77,6 +77,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+@query("url_rules_joined", ORACLES["op3_url_rules"])
+def urls_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from a table of rules."""
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return urls.judge_joined(table(spark, sf_dir, "pages"), rules)
+
+
 @query("op4_hamming_top_k", f"""
 WITH bits AS (
   SELECT vec_id, [x > 0 for x in embedding[1:{search.BITS}]] AS bits FROM embeddings),

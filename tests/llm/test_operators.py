@@ -259,13 +259,86 @@ def test_sharding(rows, nothing, spark):
         for shard in range(shards):
             slots = sorted(r.slot for r in all_rows if r.shard == shard)
             assert slots == list(range(len(slots))) and abs(len(slots) - 20000 / shards) < 500
-    heavier = [s._replace(weight=2.0) if s.number == 3 else s for s in sharding.even_tree(8)]
-    moved = many.select(sharding.place(F.col("doc_id"), sharding.even_tree(8)).alias("a"), sharding.place(F.col("doc_id"), heavier).alias(
-        "b")).filter("a <> b").select("b").distinct().collect()
-    assert [r.b for r in moved] == [3]
+    # A heavier shard: keys move only into the region on its path, in that into its rack, in that into it.
+    tree = sharding.even_tree(8)
+    heavier = [s._replace(weight=2.0) if s.number == 3 else s for s in tree]
+    moved = many.select(sharding.place(F.col("doc_id"), tree).alias("a"), sharding.place(F.col("doc_id"), heavier).alias("b")).filter("a <> b")
+    for a, b in moved.distinct().collect():
+        if tree[a].region != tree[b].region:
+            assert tree[b].region == tree[3].region
+        elif tree[a].rack != tree[b].rack:
+            assert tree[b].rack == tree[3].rack
+        else:
+            assert b == 3
+    assert moved.filter("b = 3").count() > moved.count() / 2
     assert sharding.assign(nothing, 8).count() == 0
 
 
+def plain_place(key, tree):
+    """Level by level, with numbers of Python."""
+    import math
+    import struct
+    import xxhash
+
+    def draw(name, weight):
+        seed = xxhash.xxh64_intdigest(name.encode(), 42)
+        bits = xxhash.xxh64_intdigest(struct.pack("<q", key), seed) >> 11
+        return -math.log((bits + 0.5) * 2.0**-53) / weight
+
+    path = ""
+    for level in ("region", "rack", "number"):
+        nodes = {}
+        for shard in tree:
+            nodes.setdefault(getattr(shard, level), []).append(shard)
+        if len(nodes) > 1:
+            best = min(nodes, key=lambda n: draw(f"{path}/{n}", sum(s.weight for s in nodes[n])))
+        else:
+            (best,) = nodes
+        path, tree = f"{path}/{best}", nodes[best]
+    return tree[0].number
+
+
+def test_placement_descends_and_grows(spark):
+    many = spark.range(3000).select(F.col("id").alias("k"))
+    for shards in (1, 3, 8, 9, 12):
+        tree = sharding.tree_for(shards)
+        got = many.select("k", sharding.place(F.col("k"), tree).alias("s")).collect()
+        assert all(r.s == plain_place(r.k, tree) for r in got)
+    names = {s: sharding.place(F.col("k"), sharding.tree_for(s)).alias(f"s{s}") for s in range(8, 41)}
+    row = many.select(*names.values()).agg(*[F.count_if((F.col(f"s{s}") != F.col(f"s{s + 1}")) & (F.col(f"s{s + 1}") != s)).alias(f"w{s}")
+                                            for s in range(8, 40)]).first()
+    assert sum(row) == 0
+
+
+def test_slots_of_a_hot_id(spark):
+    """A third of the rows without an id, all alike: no bucket of numbers is large."""
+    df = spark.range(30000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("Shard"))
+    out = sharding.assign(df, 8)
+    rows = out.collect()
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert len({(r.shard, r.grown_shard) for r in rows if r.doc_id is None}) == 1
+
+
+def test_rules_by_the_thousand(spark):
+    """Tails in one node and rules beyond what is sent to tasks give what the plain search gives."""
+    rules = [urls.Rule("block" if i % 3 else "allow", "h.org", f"/p{i}") for i in range(2000)] + [urls.Rule("block", "", "/p7/x")]
+    pages = [(i, f"http://{'a.' * (i % 3)}h.org/p{i}{'/x' if i % 2 else 'y'}") for i in range(0, 2100, 7)] + [(1, None), (1, None)]
+    df = spark.createDataFrame(pages, "page_id int, url string")
+
+    def plain(url):
+        host, path = urls.split_url(url)
+        fit = [r for r in rules if (not r.host or host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fit, key=lambda r: r.rank, default=None)
+
+    want = sorted((i, r.text if (r := plain(u)) else "", r.verdict if r else "allow") for i, u in pages)
+    table_ = spark.createDataFrame([*rules, (None, "h.org", "/")], "verdict string, host string, path string").filter("verdict is not null")
+    for got in (urls.judge(df, rules), urls.judge_joined(df, table_)):
+        assert sorted((r.page_id, r.rule or "", r.verdict) for r in got.collect()) == want
+    assert urls.judge_joined(df, table_.limit(0)).filter("rule is null and verdict = 'allow'").count() == len(pages)
+
+
 def test_language(rows, nothing, spark, sf):
     docs = table(spark, sf, "documents")
     held = id_fold("doc_id", 5) == 0
