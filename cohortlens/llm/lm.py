@@ -7,8 +7,10 @@ classes, the product of two vectors plus a bias, normalised exactly; the score i
 the two. Within a class of many words, a word has its add-one share, one count standing for
 all unseen words; so probabilities over known words and one unknown word per form sum to 1.
 
-All training text is learned from, in a bounded number of tasks that start alike and whose
-vectors are averaged by how often each class was seen. Normalisers are sums over all classes
+All training text is learned from, ``PASSES`` times whatever its size. Trainers start alike and take a
+share of the text each, in ``ROUNDS`` rounds after each of which their vectors are averaged by how often each
+class was seen; each has at least ``SPAN`` tokens for every class, so their number grows with the text, not
+with its files. Normalisers are sums over all classes
 for each context word; as the vocabulary grows with the root of the corpus, their cost grows
 with the corpus.
 """
@@ -17,14 +19,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import arrow_rows, raw, scramble, word_hashes
+from cohortlens.llm.common import raw, scramble, word_hashes
 from cohortlens.session import materialize
 
 FORMS = 128
@@ -32,23 +36,19 @@ FORMS = 128
 LEAST, RISE = 8, 64
 #: Words whose counts every task holds, besides those with a class; counts of the others are joined.
 HEAD = 1 << 17
-VECTOR, NOISE, STEPS, RATE = 32, 25.0, 300, 0.05
-#: Sampled training: tasks, tokens of a step and of a group that shares its noise words, and those words.
-TRAINERS, BATCH, GROUP, DRAWN, PACE = 24, 8192, 64, 16, 0.5
+VECTOR = 32
+#: Sampled training: tokens of a step and of a group that shares its noise words, those words, and the pace of a step.
+BATCH, GROUP, DRAWN, PACE = 2048, 64, 16, 0.5
 MANY = np.float32(math.log(DRAWN))
 BUFFER = 1 << 16
-FEW_STEPS, PASSES = 200, 20
-#: Classes whose vectors travel as one row, and contexts that are normalised at a time.
-SLICE = 2048
-#: Stands for the end of a text; class 0 belongs to it.
-END = np.uint64(0x5EED_0E4D_5EED_0E4D)
-COUNT_ROWS = 1 << 21
-
-
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and forms of the lower-cased words of a text, the end last."""
-    words = raw(text).lower().split()
-    return np.append(word_hashes(words), END), np.append(form_of(words), 0)
+#: How often all text is gone over, in how many averaged rounds, and the tokens a trainer has for each class, at least.
+PASSES, ROUNDS, SPAN = 1, 2, 64
+#: Classes whose vectors travel as one row; contexts and classes that are multiplied at a time, within a cache.
+SLICE, TILE = 2048, 256
+#: Stands for the end of a text, as does a word with a space; class 0 belongs to it.
+END, END_WORD = np.uint64(0x5EED_0E4D_5EED_0E4D), b" "
+#: Tokens in a row, distinct words that a task remembers, and counts that it adds up before it sends them.
+CHUNK, KNOWN_WORDS, COUNT_ROWS = 1 << 16, 1 << 18, 1 << 22
 
 
 def form_of(words: list[bytes]) -> np.ndarray:
@@ -96,30 +96,119 @@ class Counts(NamedTuple):
         return classes, np.where(known, self.head_count[at], 0), known
 
 
-def count_words(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
-    """(word, form, n) over all training tokens; each task adds up its own before the shuffle."""
+class Lexicon:
+    """Words of a task by number, with their hashes and forms; a word is hashed when it first comes up."""
+
+    def __init__(self) -> None:
+        self.numbers = {END_WORD: 0}
+        self.hashes, self.forms = np.array([END]), np.zeros(1, np.int64)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            missing = [words[i] for i in at.tolist()]
+            fresh = list(dict.fromkeys(missing))
+            self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh))))
+            found[at] = np.fromiter(map(self.numbers.__getitem__, missing), np.int32, len(missing))
+            self.hashes, self.forms = np.append(self.hashes, word_hashes(fresh)), np.append(self.forms, form_of(fresh))
+        return found
+
+
+#: A row of tokens: whole texts of about ``CHUNK`` tokens, as numbers of the words in the row's own list.
+TOKENS = {"docs": "array<long>", "held": "array<boolean>", "turns": "binary", "sizes": "binary", "ids": "binary", "hashes": "binary",
+          "forms": "binary", "counts": "binary"}
+
+
+class Chunk(NamedTuple):
+    """Texts of one row of tokens."""
+
+    sizes: np.ndarray
+    turns: np.ndarray
+    held: np.ndarray
+    ids: np.ndarray
+    hashes: np.ndarray
+    forms: np.ndarray
+
+    @staticmethod
+    def of(row: dict) -> Chunk:
+        hashes = np.frombuffer(row["hashes"], np.uint64)
+        return Chunk(np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["turns"], np.uint8), np.array(row["held"], bool),
+                     np.frombuffer(row["ids"], number_type(len(hashes))), hashes, np.frombuffer(row["forms"], np.uint8).astype(np.int64))
+
+
+def number_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def tokenised(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
+    """The texts as rows of ``TOKENS``, written once: nothing later splits or hashes a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(hashes: list[np.ndarray], forms: list[np.ndarray]) -> pa.RecordBatch:
-            words, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(
-                np.concatenate(forms)[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "form", "n"])
+        lexicon = Lexicon()
+        words: list[bytes] = []
+        docs, held, turns, sizes = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            ids = lexicon.ids(words)
+            own, local = np.unique(ids, return_inverse=True)
+            learned = np.repeat(~np.array(held), sizes)
+            counts = np.bincount(local[learned], minlength=len(own))
+            cells = [turns, np.array(sizes, np.int32), local.astype(number_type(len(own))), lexicon.hashes[own],
+                     lexicon.forms[own].astype(np.uint8), counts.astype(np.int64)]
+            packed = [pa.array([np.asarray(c, np.uint8 if c is turns else None).tobytes()], pa.binary()) for c in cells]
+            return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), *packed],
+                                              names=list(TOKENS))
 
-        hashes, forms, held = [], [], 0
         for batch in batches:
-            for value in batch.column(0):
-                one, two = tokens(value.as_py())
-                hashes.append(one)
-                forms.append(two)
-                held += len(one)
-                if held >= COUNT_ROWS:
-                    yield out(hashes, forms)
-                    hashes, forms, held = [], [], 0
-        if held:
-            yield out(hashes, forms)
+            for doc, apart, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text_ = raw(value.as_py())
+                own = text_.lower().split()
+                words += own
+                words.append(END_WORD)
+                docs.append(doc)
+                held.append(apart)
+                # The round that learns from a text does not depend on the file it lies in.
+                turns.append(xxhash.xxh3_64_intdigest(text_) & 0xFF)
+                sizes.append(len(own) + 1)
+                if len(words) >= CHUNK:
+                    yield out()
+                    words, docs, held, turns, sizes = [], [], [], [], []
+                    if len(lexicon.numbers) > KNOWN_WORDS:
+                        lexicon = Lexicon()
+        if words:
+            yield out()
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), (~training).alias("h"), F.col(text).alias("t"))
+    return materialize(rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in TOKENS.items())), "tokens")
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, form, n) over all training tokens; each task adds up its own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            words, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            n = np.bincount(place, np.concatenate(counts)).astype(np.int64)
+            seen = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array(words[seen].view(np.int64)), pa.array(
+                np.concatenate(forms)[first[seen]].astype(np.int32)), pa.array(n[seen])], ["word", "form", "n"])
+
+        hashes, forms, counts, waiting = [], [], [], 0
+        for batch in batches:
+            for one, two, three in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                hashes.append(np.frombuffer(one, np.uint64))
+                forms.append(np.frombuffer(two, np.uint8))
+                counts.append(np.frombuffer(three, np.int64))
+                waiting += len(hashes[-1])
+                if waiting >= COUNT_ROWS:
+                    yield out()
+                    hashes, forms, counts, waiting = [], [], [], 0
+        if waiting:
+            yield out()
 
-    return docs.filter(training).select(F.col(text).alias("t")).mapInArrow(run, "word long, form int, n long").groupBy(
-        "word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
+    return rows.select("hashes", "forms", "counts").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(
+        F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
 def least_count(total: int) -> int:
@@ -162,33 +251,37 @@ def gather(counts: DataFrame) -> Counts:
 
 
 def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that; a text starts after ends."""
+    """The class before each token and the one before that; a text starts after ends, and so do texts in a row."""
     first = np.concatenate([[0], classes[:-1]])
-    return first, np.concatenate([[0], first[:-1]])
+    return first, np.where(first == 0, 0, np.concatenate([[0], first[:-1]]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class Trainer:
     """Noise-contrastive estimation on tokens, by steps scaled for each vector (AdaGrad).
 
     Each class has a vector as the word before, one as the word before that and one as the word
-    itself, and a bias against the noise. All trainers start with the same vectors.
+    itself, and a bias against the noise. All trainers start with the same vectors, or where the round before ended.
     """
 
-    def __init__(self, noise: np.ndarray):
+    def __init__(self, noise: np.ndarray, start: State | None = None):
         self.random = np.random.default_rng(7)
         size = len(noise)
-        vectors = self.random.normal(0, 0.3, (size, 2 * VECTOR)).astype(np.float32)
-        self.first, self.second = vectors[:, :VECTOR].copy(), vectors[:, VECTOR:].copy()
-        self.target = np.zeros((size, VECTOR + 1), np.float32)  # the bias last
-        self.square = np.full((3, size), 1e-2, np.float32)
+        if start is None:
+            vectors = self.random.normal(0, 0.3, (size, 2 * VECTOR)).astype(np.float32)
+            # Vectors of the word before, then those of the word before that; the bias is the last column.
+            start = State(np.concatenate([vectors[:, :VECTOR], vectors[:, VECTOR:]]), np.zeros((size, VECTOR + 1), np.float32),
+                          np.full(2 * size, 1e-2, np.float32), np.full(size, 1e-2, np.float32), 0.3)
+        self.context, self.target = start.context.copy(), start.target.copy()
+        self.context_square, self.target_square, self.share = start.context_square.copy(), start.target_square.copy(), start.share
         self.below, self.seen = np.cumsum(noise), np.zeros(size, np.int64)
         self.held, self.waiting = [], 0
-        self.kept, self.steps = [], 0
-        self.share = 0.3
 
     def add(self, classes: np.ndarray) -> None:
         self.held.append(np.stack([classes, *contexts(classes)]))
@@ -202,68 +295,84 @@ class Trainer:
         rows = np.concatenate(self.held, axis=1)
         self.seen += np.bincount(rows[0], minlength=len(self.seen))
         self.held, self.waiting = [], 0
-        self.steps += self.go_over(rows)
-        self.kept = [*self.kept, rows] if self.steps < FEW_STEPS else []
-
-    def go_over(self, rows: np.ndarray) -> int:
         rows = rows[:, self.random.permutation(rows.shape[1])]
         for at in range(0, rows.shape[1], BATCH):
             part = rows[:, at : at + BATCH]
             live = part.shape[1]
             self.step(*np.pad(part, ((0, 0), (0, -live % GROUP))), live)
-        return math.ceil(rows.shape[1] / BATCH)
-
-    def finish(self) -> None:
-        """A few tokens are gone over again, up to ``PASSES`` times, until there were ``FEW_STEPS``."""
-        self.flush()
-        rows = np.concatenate(self.kept, axis=1) if self.kept else None
-        for _ in range(PASSES - 1):
-            if rows is not None and self.steps < FEW_STEPS:
-                self.steps += self.go_over(rows)
 
     def step(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray, live: int) -> None:
         """One step over a batch; rows from ``live`` on only fill the last group."""
-        groups = len(word) // GROUP
-        drawn = np.minimum(np.searchsorted(self.below, self.random.random(groups * DRAWN)), len(self.below) - 1)
-        real = (np.arange(len(word)) < live).astype(np.float32)
-        grouped = lambda x: x.reshape(groups, -1, VECTOR)
-        y, noise = self.target[word], self.target[drawn]
-        y, bias = np.ascontiguousarray(y[:, :VECTOR]), y[:, VECTOR]
-        noise, noise_bias = grouped(np.ascontiguousarray(noise[:, :VECTOR])), noise[:, VECTOR].reshape(groups, 1, DRAWN) - MANY
-        grad = np.zeros((len(word) + len(drawn), VECTOR + 1), np.float32)
-        fits = []
-        for table, square, at in ((self.first, self.square[0], before), (self.second, self.square[1], earlier)):
-            x = table[at]
-            fit = np.einsum("ij,ij->i", x, y) + bias
-            pull = (sigmoid(fit - MANY) - 1) * real
-            push = np.matmul(grouped(x), noise.transpose(0, 2, 1))
-            push += noise_bias
-            push = sigmoid(push) * real.reshape(groups, GROUP, 1)
-            grad[: len(word), :VECTOR] += pull[:, None] * x
-            grad[: len(word), VECTOR] += pull
-            grad[len(word) :, :VECTOR] += np.matmul(push.transpose(0, 2, 1), grouped(x)).reshape(-1, VECTOR)
-            grad[len(word) :, VECTOR] += push.sum(axis=1).ravel()
-            own = np.matmul(push, noise).reshape(-1, VECTOR)
-            own += pull[:, None] * y
-            move(table, square, at, own)
-            fits.append(fit[:live])
-        move(self.target, self.square[2], np.concatenate([word, drawn]), grad)
+        size, groups = len(self.target), len(word) // GROUP
+        drawn = np.minimum(np.searchsorted(self.below, self.random.random(groups * DRAWN)), size - 1)
+        real = (np.arange(len(word)) < live).astype(np.float32).reshape(groups, 1, GROUP)
+        # Both contexts of a group side by side, against the same words and noise.
+        at = np.stack([before.reshape(groups, GROUP), earlier.reshape(groups, GROUP) + size], axis=1).ravel()
+        x = np.take(self.context, at, axis=0).reshape(groups, 2 * GROUP, VECTOR)
+        pairs = x.reshape(groups, 2, GROUP, VECTOR)
+        y = np.take(self.target, word, axis=0).reshape(groups, GROUP, VECTOR + 1)
+        noise = np.take(self.target, drawn, axis=0).reshape(groups, DRAWN, VECTOR + 1)
+        words, others = np.ascontiguousarray(y[..., :VECTOR]), np.ascontiguousarray(noise[..., :VECTOR])
+        fit = np.einsum("gcnd,gnd->gcn", pairs, words)
+        fit += y[:, None, :, VECTOR]
+        pull = (sigmoid(fit - MANY) - 1) * real
+        push = np.matmul(x, others.transpose(0, 2, 1))
+        push += noise[:, None, :, VECTOR] - MANY
+        push = sigmoid(push)
+        if live < len(word):
+            push *= np.broadcast_to(real, (groups, 2, GROUP)).reshape(groups, 2 * GROUP, 1)
+        grad = np.empty((len(word) + len(drawn), VECTOR + 1), np.float32)
+        grad[: len(word), :VECTOR] = np.einsum("gcn,gcnd->gnd", pull, pairs).reshape(-1, VECTOR)
+        grad[: len(word), VECTOR] = pull.sum(axis=1).ravel()
+        grad[len(word) :, :VECTOR] = np.matmul(push.transpose(0, 2, 1), x).reshape(-1, VECTOR)
+        grad[len(word) :, VECTOR] = push.sum(axis=1).ravel()
+        own = np.matmul(push, others).reshape(groups, 2, GROUP, VECTOR)
+        own += pull[..., None] * words[:, None]
+        move(self.context, self.context_square, at, own.reshape(-1, VECTOR))
+        move(self.target, self.target_square, np.concatenate([word, drawn]), grad)
         odds = math.log(self.share / (1 - self.share))
-        self.share += 0.02 * (float(sigmoid(fits[1] - fits[0] + odds).mean()) - self.share)
+        closer = sigmoid(fit[:, 1] - fit[:, 0] + odds).ravel()[:live]
+        self.share += 0.02 * live / 8192 * (float(closer.mean()) - self.share)
+
+    def rows(self) -> np.ndarray:
+        """All of a class in one row: three vectors, bias, and the squares of its steps."""
+        size = len(self.target)
+        return np.column_stack([self.context[:size], self.context[size:], self.target, np.log(self.context_square[:size]),
+                                np.log(self.context_square[size:]), np.log(self.target_square)])
+
+
+class State(NamedTuple):
+    """Where a round ends and the next one starts."""
 
-    def all(self) -> np.ndarray:
-        return np.concatenate([self.first, self.second, self.target], axis=1)
+    context: np.ndarray
+    target: np.ndarray
+    context_square: np.ndarray
+    target_square: np.ndarray
+    share: float
+
+    @staticmethod
+    def of(rows: np.ndarray, share: float) -> State:
+        first, second, target, squares = np.split(rows.astype(np.float32), [VECTOR, 2 * VECTOR, 3 * VECTOR + 1], axis=1)
+        squares = np.exp(squares)
+        return State(np.concatenate([first, second]), np.ascontiguousarray(target), np.concatenate([squares[:, 0], squares[:, 1]]),
+                     np.ascontiguousarray(squares[:, 2]), share)
 
 
 def move(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """Add up the gradients of each row, and step."""
-    order = np.argsort(rows)
-    rows = rows[order]
-    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    at, total = rows[start], np.add.reduceat(grad[order], start, axis=0)
+    order = np.argsort(rows.astype(np.int32))
+    rows, grad = np.take(rows, order), np.take(grad, order, axis=0)
+    edge = np.concatenate([[True], rows[1:] != rows[:-1], [True]])
+    start = np.flatnonzero(edge[:-1])
+    # Most rows come once and need no sum.
+    many = np.flatnonzero(~edge[start + 1])
+    at, total = np.take(rows, start), np.take(grad, start, axis=0)
+    if len(many):
+        inside = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        total[many] = np.add.reduceat(np.take(grad, inside, axis=0), np.searchsorted(inside, start[many]), axis=0)
     square[at] += np.einsum("ij,ij->i", total, total)
-    total *= (PACE / np.sqrt(square[at]))[:, None]
-    table[at] -= total
+    total *= (PACE / np.sqrt(np.take(square, at)))[:, None]
+    table[at] = np.take(table, at, axis=0) - total
 
 
 class Model(NamedTuple):
@@ -279,42 +388,37 @@ class Model(NamedTuple):
     def logs(self, classes: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability after the two before it."""
         before, earlier = contexts(classes)
-        y, bias = self.target[classes], self.bias[classes]
-        one = np.einsum("ij,ij->i", self.first[before], y) + bias - self.norm[0, before]
-        two = np.einsum("ij,ij->i", self.second[earlier], y) + bias - self.norm[1, earlier]
+        y, bias = np.take(self.target, classes, axis=0), np.take(self.bias, classes)
+        one = np.einsum("ij,ij->i", np.take(self.first, before, axis=0), y) + bias - np.take(self.norm[0], before)
+        two = np.einsum("ij,ij->i", np.take(self.second, earlier, axis=0), y) + bias - np.take(self.norm[1], earlier)
         return np.logaddexp(one + math.log(1 - self.share), two + math.log(self.share))
 
     def norms(self, start: int) -> np.ndarray:
         """``norm`` of the ``SLICE`` contexts from ``start`` on."""
-        vectors = np.stack([self.first[start : start + SLICE], self.second[start : start + SLICE]])
-        total = np.zeros(vectors.shape[:2])
-        for at in range(0, len(self.target), SLICE):
-            scores = vectors @ self.target[at : at + SLICE].T
-            scores += self.bias[at : at + SLICE]
-            total += np.exp(np.minimum(scores, 80, out=scores), out=scores).sum(axis=2)
-        return np.log(total)
+        vectors = np.concatenate([self.first[start : start + SLICE], self.second[start : start + SLICE]])
+        total = np.zeros(len(vectors))
+        for row in range(0, len(vectors), TILE):
+            part = vectors[row : row + TILE]
+            for at in range(0, len(self.target), SLICE):
+                scores = part @ self.target[at : at + SLICE].T
+                scores += self.bias[at : at + SLICE]
+                np.minimum(scores, 80, out=scores)
+                total[row : row + TILE] += np.exp(scores, out=scores).sum(axis=1)
+        return np.log(total).reshape(2, -1)
+
+
+def trainers(own: Counts) -> int:
+    """How many share the text, each with ``SPAN`` tokens for every class."""
+    return max(1, own.total // (SPAN * own.size))
 
 
-def learn(docs: DataFrame, text: str, training: Column, shared: Broadcast) -> Model:
+def learn(rows: DataFrame, shared: Broadcast, passes: int = PASSES, rounds: int = ROUNDS) -> Model:
     """Train on all tokens of the training rows; ``norm`` is still empty."""
-    own = shared.value
-    width = 3 * VECTOR + 1
+    own, spark = shared.value, rows.sparkSession
+    width = 3 * VECTOR + 4
     schema = "start int, tokens long, share double, seen binary, tables binary"
     names = ["start", "tokens", "share", "seen", "tables"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shared.value.noise())
-        for batch in batches:
-            for value in batch.column(0):
-                trainer.add(shared.value.classes(*tokens(value.as_py()))[0])
-        trainer.finish()
-        n = int(trainer.seen.sum())
-        if not n:
-            return
-        tables = trainer.all().astype("<f2")
-        for at in range(0, len(tables), SLICE):
-            row = [[at], [n], [trainer.share], [trainer.seen[at : at + SLICE].astype("<i8").tobytes()], [tables[at : at + SLICE].tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names)
+    state = None
 
     def mean(parts: pa.Table) -> pa.Table:
         """Each class by how often a task saw it."""
@@ -326,15 +430,44 @@ def learn(docs: DataFrame, text: str, training: Column, shared: Broadcast) -> Mo
                          pa.array([float((n * parts["share"].to_numpy()).sum() / n.sum())]), pa.array([b""]),
                          pa.array([tables.astype("<f2").tobytes()])], names=names)
 
-    rows = docs.filter(training).select(F.col(text).alias("t")).coalesce(TRAINERS).mapInArrow(run, schema).groupBy(
-        "start").applyInArrow(mean, schema).collect()  # vectors of all classes, which grow with the root of the corpus
-    rows.sort(key=lambda r: r["start"])
-    noise = own.noise()
-    tables = np.frombuffer(b"".join(bytes(r["tables"]) for r in rows), "<f2").reshape(-1, width).astype(
-        np.float32) if rows else Trainer(noise).all()
-    cut = lambda i: np.ascontiguousarray(tables[:, i * VECTOR : (i + 1) * VECTOR])
-    return Model(cut(0), cut(1), cut(2), (tables[:, -1] + np.log(noise)).astype(np.float32), np.zeros((2, len(tables))),
-                 rows[0]["share"] if rows else 0.3)
+    names_read = ["sizes", "turns", "held", "ids", "hashes", "forms"]
+    for turn in range(passes * rounds):
+        begun = spark.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch], begun: Broadcast = begun, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(shared.value.noise(), begun.value)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    chunk = Chunk.of(row)
+                    # Every round learns from texts of its own.
+                    use = np.repeat(~chunk.held & (chunk.turns % rounds == turn % rounds), chunk.sizes)
+                    if use.any():
+                        trainer.add(np.take(shared.value.classes(chunk.hashes, chunk.forms)[0], chunk.ids[use]))
+            trainer.flush()
+            n = int(trainer.seen.sum())
+            if not n:
+                return
+            tables = trainer.rows().astype("<f2")
+            for at in range(0, len(tables), SLICE):
+                row = [[at], [n], [trainer.share], [trainer.seen[at : at + SLICE].astype("<i8").tobytes()], [tables[at : at + SLICE].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names)
+
+        parts = rows.select(*names_read).coalesce(trainers(own)).mapInArrow(run, schema).groupBy("start").applyInArrow(
+            mean, schema).collect()  # vectors of all classes, which grow with the root of the corpus
+        if parts:
+            parts.sort(key=lambda r: r["start"])
+            state = State.of(np.frombuffer(b"".join(bytes(r["tables"]) for r in parts), "<f2").reshape(-1, width), parts[0]["share"])
+    if state is None:
+        trainer = Trainer(own.noise())
+        state = State(trainer.context, trainer.target, trainer.context_square, trainer.target_square, trainer.share)
+    return model_of(state, own.noise())
+
+
+def model_of(state: State, noise: np.ndarray) -> Model:
+    """The model of a state; ``norm`` is still empty."""
+    size = len(noise)
+    return Model(np.ascontiguousarray(state.context[:size]), np.ascontiguousarray(state.context[size:]), np.ascontiguousarray(
+        state.target[:, :VECTOR]), (state.target[:, VECTOR] + np.log(noise)).astype(np.float32), np.zeros((2, size)), state.share)
 
 
 def normalised(spark: SparkSession, model: Model) -> Model:
@@ -352,42 +485,7 @@ def normalised(spark: SparkSession, model: Model) -> Model:
     return model._replace(norm=np.concatenate([np.frombuffer(r["norm"]).reshape(2, -1) for r in rows], axis=1))
 
 
-def estimate(pairs: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """log P(class | class before) from a small table of all pair counts, with the noise in expectation.
-
-    The estimation that ``Trainer`` samples, as tests compare them: tell the pairs seen from pairs whose second class is drawn
-    from the smoothed class frequencies, ``NOISE`` of them for each pair seen. Adam on all
-    pairs at once; the result is normalised over the classes.
-    """
-    total = max(pairs.sum(), 1.0)
-    noise = pairs.sum(axis=0) + 1.0
-    noise /= noise.sum()
-    log_noise = np.log(noise * NOISE)
-    seen = (pairs / total).astype(np.float32)
-    drawn = (pairs.sum(axis=1, keepdims=True) / total * NOISE * noise).astype(np.float32)
-    random = np.random.default_rng(7)
-    size = len(pairs)
-    params = [random.normal(0, 0.1, (size, VECTOR)).astype(np.float32), random.normal(0, 0.1, (size, VECTOR)).astype(np.float32),
-              np.log(noise).astype(np.float32)]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    for step in range(1, steps + 1):
-        context, target, bias = params
-        margin = context @ target.T + bias - log_noise.astype(np.float32)
-        grad = (seen + drawn) / (1 + np.exp(-margin)) - seen
-        rate = RATE * (1 - step / (steps + 1))
-        # Rare contexts have small gradients; Adam's scaling evens them out.
-        for i, g in enumerate((grad @ target, grad.T @ context, grad.sum(axis=0))):
-            m, v = state[i]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            params[i] = params[i] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    context, target, bias = (p.astype(np.float64) for p in params)
-    scores = context @ target.T + bias
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
-
-
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
     Learns from all rows where ``training`` holds and scores every row, in log10. A null or
@@ -397,33 +495,42 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     """
     training = F.coalesce(training, F.lit(True))
     spark = docs.sparkSession
-    counts = materialize(count_words(docs, key, text, training), "word-counts")
+    rows = tokenised(docs, key, text, training)
+    counts = materialize(count_words(rows), "word-counts")
     own = gather(counts)
     shared = spark.sparkContext.broadcast(own)  # HEAD words, those with classes, and sums of forms
-    model = spark.sparkContext.broadcast(normalised(spark, learn(docs, text, training, shared)))
+    model = spark.sparkContext.broadcast(normalised(spark, learn(rows, shared, passes)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()),
                         ("head_base", pa.float64()), ("head_score", pa.float64()), ("words", pa.list_(pa.int64())),
                         ("times", pa.list_(pa.int32()))])
 
-    def build(columns: dict) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, net = shared.value, model.value
-        out: dict[str, list] = {n: [] for n in schema.names}
         shares = np.log10(own.form_total + own.form_distinct + 1.0)
-        for doc, held, value in zip(columns["k"].to_pylist(), columns["h"].to_pylist(), columns["t"]):
-            hashes, forms = tokens(value.as_py())
-            classes, n, known = own.classes(hashes, forms)
-            logs = np.log10(n + 1.0)
-            many = classes >= own.own
-            words, times = np.unique(hashes[~known], return_counts=True)
-            total = net.logs(classes).sum() / math.log(10) + (logs[many] - shares[classes[many] - own.own]).sum()
-            for name, cell in zip(schema.names, (doc, held, len(hashes), int(known.sum()), float(logs.sum()), float(total),
-                                                 words.view(np.int64), times.astype(np.int32))):
-                out[name].append(cell)
-        return out
-
-    parts = docs.select(F.col(key).cast("long").alias("k"), (~training).alias("h"), F.col(text).alias("t")).mapInArrow(
-        arrow_rows(build, schema), "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, "
-        "head_score double, words array<long>, times array<int>")
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.of(row)
+                sizes = chunk.sizes.astype(np.int64)
+                first = np.cumsum(sizes) - sizes
+                # Of each word of the row, then of each token.
+                class_of, count, in_head = own.classes(chunk.hashes, chunk.forms)
+                base_of, many = np.log10(count + 1.0), class_of >= own.own
+                inside = np.where(many, base_of - shares[np.where(many, class_of - own.own, 0)], 0.0)
+                known = np.take(in_head, chunk.ids)
+                logs = net.logs(np.take(class_of, chunk.ids)) / math.log(10) + np.take(inside, chunk.ids)
+                # Words outside the head, and how often each text has them.
+                text_of = np.repeat(np.arange(len(sizes)), sizes)[~known]
+                pair, times = np.unique(text_of * len(chunk.hashes) + chunk.ids[~known], return_counts=True)
+                ends = pa.array(np.searchsorted(pair // len(chunk.hashes), np.arange(len(sizes) + 1)).astype(np.int32))
+                words = chunk.hashes[pair % len(chunk.hashes)].view(np.int64)
+                add = lambda values: pa.array(np.add.reduceat(values, first))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), add(known.astype(np.int64)),
+                     add(np.take(base_of, chunk.ids)), add(logs), pa.ListArray.from_arrays(ends, pa.array(words)),
+                     pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))], schema=schema)
+
+    parts = rows.select("docs", *[c for c in TOKENS if c not in ("docs", "counts")]).mapInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, words array<long>, times array<int>")
     parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

@@ -24,7 +24,7 @@ def scores(spark):
     asked = ["left mabcz", "left madez", "right madez", "right mabcz", "north filler300 pabcz", "north filler300 padez"]
     data = [(i, line) for i, line in enumerate(lines)] + [(1000 + i, line) for i, line in enumerate(asked)]
     frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in lm.score(frame, F.col("doc_id") < 1000).collect()}
+    got = {r.doc_id: r for r in lm.score(frame, F.col("doc_id") < 1000, passes=20).collect()}
     return {line: got[1000 + i] for i, line in enumerate(asked)}
 
 
@@ -46,9 +46,8 @@ def test_normalised():
     random_ = np.random.default_rng(2)
     for _ in range(50):
         trainer.add(random_.integers(0, 3, 200))
-    trainer.finish()
-    model = lm.Model(trainer.first, trainer.second, np.ascontiguousarray(trainer.target[:, :-1]), trainer.target[:, -1] + np.log(noise),
-                     np.zeros((2, 3)), trainer.share)
+    trainer.flush()
+    model = lm.model_of(lm.State.of(trainer.rows(), trainer.share), noise)
     model = model._replace(norm=model.norms(0))
     ends = [model.logs(np.array([1, 2, last]))[2] for last in range(3)]
     assert np.exp(ends).sum() == pytest.approx(1, abs=1e-5)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -378,12 +379,65 @@ def test_toxicity(rows, nothing, spark):
     assert toxicity.train(nothing, frame.limit(0)).weights.size == 0
 
 
-def test_language_model_sums_to_one():
+def test_training_finds_what_follows_what():
+    """Trained on a chain of known steps, the normalised distribution comes near to it."""
     random_ = np.random.default_rng(3)
-    table_ = lm.estimate(random_.integers(0, 50, (20, 20)).astype(float), steps=50)
-    assert np.allclose(np.exp(table_).sum(axis=1), 1)
-    pairs = np.array([[0.0, 900, 100], [500, 0, 500], [100, 800, 100]])
-    assert np.abs(np.exp(lm.estimate(pairs)) - pairs / pairs.sum(axis=1, keepdims=True)).max() < 0.05
+    chain = np.array([[0.02, 0.9, 0.08], [0.5, 0.02, 0.48], [0.1, 0.8, 0.1]])
+    walk = [0]
+    for u in random_.random(60000):
+        walk.append(int(np.searchsorted(chain[walk[-1]].cumsum(), u * 0.999999)))
+    # Class 0 ends texts: words are classes 1 to 3.
+    words = np.array(walk) + 1
+    noise = (np.bincount(words, minlength=4) + 1) / (len(words) + 4)
+    trainer = lm.Trainer(noise)
+    for _ in range(4):
+        trainer.add(words)
+    trainer.flush()
+    model = lm.model_of(lm.State.of(trainer.rows(), 1e-9), noise)
+    model = model._replace(norm=model.norms(0))
+    found = np.exp([[model.logs(np.array([a, b]))[1] for b in range(1, 4)] for a in range(1, 4)])
+    assert np.abs(found - chain).max() < 0.08
+
+
+def test_score_is_a_plain_normalised_sum(rows, spark, monkeypatch):
+    """The score of each text, recomputed word by word from the model and counts that the job learned."""
+    kept = {}
+    real = lm.normalised
+    monkeypatch.setattr(lm, "normalised", lambda s, m: kept.setdefault("model", real(s, m)))
+    gathered = lm.gather
+    monkeypatch.setattr(lm, "gather", lambda c: kept.setdefault("own", gathered(c)))
+    training = id_fold("doc_id", 7) != 2
+    got = lm.score(rows, training).collect()
+    model, own = kept["model"], kept["own"]
+    scores = [x.astype(float) @ model.target.T.astype(float) + model.bias for x in (model.first, model.second)]
+    chance = [np.exp(s) / np.exp(s).sum(axis=1, keepdims=True) for s in scores]
+    assert all(np.allclose(c.sum(axis=1), 1) for c in chance)
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    held = {r.doc_id for r in got if r.held_out}
+    seen = Counter(w for r in rows.collect() if r.doc_id not in held for w in [*(r.text or "").encode().lower().split(), lm.END_WORD])
+    for r in got:
+        words = texts[r.doc_id].encode().lower().split()
+        hashes, forms = np.append(lm.word_hashes(words), lm.END), np.append(lm.form_of(words), 0)
+        classes = own.classes(hashes, forms)[0]
+        total, one, two = 0.0, 0, 0
+        for i, c in enumerate(classes):
+            p = (1 - model.share) * chance[0][one, c] + model.share * chance[1][two, c]
+            if c >= own.own:  # the add-one share inside the class of a form
+                word = words[i] if i < len(words) else lm.END_WORD
+                p *= (seen[word] + 1) / (own.form_total[c - own.own] + own.form_distinct[c - own.own] + 1)
+            total += np.log10(p)
+            one, two = c, one
+        assert r.score == pytest.approx(total, rel=1e-4)
+
+
+def test_rounds_and_layout(spark, rows, monkeypatch):
+    """Several trainers, rounds and files score every text once."""
+    monkeypatch.setattr(lm, "SPAN", 1)
+    monkeypatch.setattr(lm, "CHUNK", 64)
+    monkeypatch.setattr(lm, "ROUNDS", 3)
+    got = lm.score(rows.repartition(5), F.lit(True)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted(
+        (r.doc_id is None, r.doc_id or 0, len((r.text or "").encode().lower().split()) + 1) for r in rows.collect())
 
 
 @pytest.mark.parametrize("head", [1 << 17, 8])
