@@ -42,7 +42,7 @@ BATCH, GROUP, DRAWN, PACE = 2048, 64, 16, 0.5
 MANY = np.float32(math.log(DRAWN))
 BUFFER = 1 << 16
 #: How often all text is gone over, in how many averaged rounds, and the tokens a trainer has for each class, at least.
-PASSES, ROUNDS, SPAN = 1, 2, 64
+PASSES, ROUNDS, SPAN = 1, 2, 256
 #: Classes whose vectors travel as one row; contexts and classes that are multiplied at a time, within a cache.
 SLICE, TILE = 2048, 256
 #: Stands for the end of a text, as does a word with a space; class 0 belongs to it.
@@ -418,24 +418,15 @@ def learn(rows: DataFrame, shared: Broadcast, passes: int = PASSES, rounds: int
     width = 3 * VECTOR + 4
     schema = "start int, tokens long, share double, seen binary, tables binary"
     names = ["start", "tokens", "share", "seen", "tables"]
-    state = None
-
-    def mean(parts: pa.Table) -> pa.Table:
-        """Each class by how often a task saw it."""
-        weights = [np.frombuffer(x.as_py(), "<i8") + 1e-3 for x in parts["seen"]]
-        tables = sum(w[:, None] * np.frombuffer(x.as_py(), "<f2").reshape(-1, width).astype(np.float32)
-                     for w, x in zip(weights, parts["tables"])) / sum(weights)[:, None]
-        n = parts["tokens"].to_numpy()
-        return pa.table([pa.array([parts["start"][0].as_py()], pa.int32()), pa.array([int(n.sum())]),
-                         pa.array([float((n * parts["share"].to_numpy()).sum() / n.sum())]), pa.array([b""]),
-                         pa.array([tables.astype("<f2").tobytes()])], names=names)
+    state = Trainer(own.noise()).rows().astype("<f2")
+    share = 0.3
 
     names_read = ["sizes", "turns", "held", "ids", "hashes", "forms"]
     for turn in range(passes * rounds):
-        begun = spark.sparkContext.broadcast(state)
+        here = spark.sparkContext.broadcast((state, share))
 
-        def run(batches: Iterator[pa.RecordBatch], begun: Broadcast = begun, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value.noise(), begun.value)
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(shared.value.noise(), State.of(*here.value))
             for batch in batches:
                 for row in batch.to_pylist():
                     chunk = Chunk.of(row)
@@ -452,15 +443,23 @@ def learn(rows: DataFrame, shared: Broadcast, passes: int = PASSES, rounds: int
                 row = [[at], [n], [trainer.share], [trainer.seen[at : at + SLICE].astype("<i8").tobytes()], [tables[at : at + SLICE].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], names)
 
+        def joined(parts: pa.Table) -> pa.Table:
+            """Each class by how often a trainer saw it."""
+            start = parts["start"][0].as_py()
+            weights = [np.frombuffer(x.as_py(), "<i8") + 1e-3 for x in parts["seen"]]
+            tables = sum(w[:, None] * np.frombuffer(x.as_py(), "<f2").reshape(-1, width).astype(np.float32)
+                         for w, x in zip(weights, parts["tables"])) / sum(weights)[:, None]
+            n = parts["tokens"].to_numpy()
+            return pa.table([pa.array([start], pa.int32()), pa.array([int(n.sum())]),
+                             pa.array([float((n * parts["share"].to_numpy()).sum() / n.sum())]), pa.array([b""]),
+                             pa.array([tables.astype("<f2").tobytes()])], names=names)
+
         parts = rows.select(*names_read).coalesce(trainers(own)).mapInArrow(run, schema).groupBy("start").applyInArrow(
-            mean, schema).collect()  # vectors of all classes, which grow with the root of the corpus
+            joined, schema).collect()  # vectors of all classes, which grow with the root of the corpus
         if parts:
             parts.sort(key=lambda r: r["start"])
-            state = State.of(np.frombuffer(b"".join(bytes(r["tables"]) for r in parts), "<f2").reshape(-1, width), parts[0]["share"])
-    if state is None:
-        trainer = Trainer(own.noise())
-        state = State(trainer.context, trainer.target, trainer.context_square, trainer.target_square, trainer.share)
-    return model_of(state, own.noise())
+            state, share = np.frombuffer(b"".join(bytes(r["tables"]) for r in parts), "<f2").reshape(-1, width), parts[0]["share"]
+    return model_of(State.of(state, share), own.noise())
 
 
 def model_of(state: State, noise: np.ndarray) -> Model:
