@@ -116,68 +116,67 @@ class Lexicon:
 
 
 #: A row of tokens: whole texts of about ``CHUNK`` tokens, as numbers of the words in the row's own list.
-TOKENS = {"docs": "array<long>", "held": "array<boolean>", "turns": "binary", "sizes": "binary", "ids": "binary", "hashes": "binary",
-          "forms": "binary", "counts": "binary"}
+TOKENS = {"turn": "int", "docs": "array<long>", "sizes": "binary", "ids": "binary", "hashes": "binary", "forms": "binary", "counts": "binary"}
+#: The turn of texts that are held out; the others have the number of the round that learns from them.
+HELD = -1
 
 
 class Chunk(NamedTuple):
     """Texts of one row of tokens."""
 
     sizes: np.ndarray
-    turns: np.ndarray
-    held: np.ndarray
     ids: np.ndarray
     hashes: np.ndarray
     forms: np.ndarray
 
     @staticmethod
-    def of(row: dict) -> Chunk:
-        hashes = np.frombuffer(row["hashes"], np.uint64)
-        return Chunk(np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["turns"], np.uint8), np.array(row["held"], bool),
-                     np.frombuffer(row["ids"], number_type(len(hashes))), hashes, np.frombuffer(row["forms"], np.uint8).astype(np.int64))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Chunk]]:
+        """Row after row, so that one at a time is unpacked."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                yield row, Chunk(np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["ids"], number_type(len(hashes))), hashes,
+                                 np.frombuffer(row["forms"], np.uint8).astype(np.int64))
 
 
 def number_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def tokenised(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
-    """The texts as rows of ``TOKENS``, written once: nothing later splits or hashes a word."""
+def tokenised(docs: DataFrame, key: str, text: str, training: Column, rounds: int = ROUNDS) -> DataFrame:
+    """The texts as rows of ``TOKENS``, written once: nothing later splits or hashes a word. A row holds texts of one turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
-        words: list[bytes] = []
-        docs, held, turns, sizes = [], [], [], []
+        waiting: dict[int, tuple[list, list, list]] = {}
 
-        def out() -> pa.RecordBatch:
-            ids = lexicon.ids(words)
-            own, local = np.unique(ids, return_inverse=True)
-            learned = np.repeat(~np.array(held), sizes)
-            counts = np.bincount(local[learned], minlength=len(own))
-            cells = [turns, np.array(sizes, np.int32), local.astype(number_type(len(own))), lexicon.hashes[own],
-                     lexicon.forms[own].astype(np.uint8), counts.astype(np.int64)]
-            packed = [pa.array([np.asarray(c, np.uint8 if c is turns else None).tobytes()], pa.binary()) for c in cells]
-            return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), *packed],
-                                              names=list(TOKENS))
+        def out(turn: int) -> pa.RecordBatch:
+            words, docs, sizes = waiting.pop(turn)
+            own, local, counts = np.unique(lexicon.ids(words), return_inverse=True, return_counts=True)
+            cells = [np.array(sizes, np.int32), local.astype(number_type(len(own))), lexicon.hashes[own],
+                     lexicon.forms[own].astype(np.uint8), counts.astype(np.int64) * (turn != HELD)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([turn], pa.int32()), pa.array([docs], pa.list_(pa.int64())), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
+                names=list(TOKENS))
 
         for batch in batches:
             for doc, apart, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text_ = raw(value.as_py())
-                own = text_.lower().split()
+                data = raw(value.as_py())
+                # The round that learns from a text does not depend on the file it lies in.
+                turn = HELD if apart else xxhash.xxh3_64_intdigest(data) % rounds
+                words, docs, sizes = waiting.setdefault(turn, ([], [], []))
+                own = data.lower().split()
                 words += own
                 words.append(END_WORD)
                 docs.append(doc)
-                held.append(apart)
-                # The round that learns from a text does not depend on the file it lies in.
-                turns.append(xxhash.xxh3_64_intdigest(text_) & 0xFF)
                 sizes.append(len(own) + 1)
                 if len(words) >= CHUNK:
-                    yield out()
-                    words, docs, held, turns, sizes = [], [], [], [], []
+                    yield out(turn)
                     if len(lexicon.numbers) > KNOWN_WORDS:
                         lexicon = Lexicon()
-        if words:
-            yield out()
+        for turn in list(waiting):
+            yield out(turn)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), (~training).alias("h"), F.col(text).alias("t"))
     return materialize(rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in TOKENS.items())), "tokens")
@@ -196,7 +195,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
         hashes, forms, counts, waiting = [], [], [], 0
         for batch in batches:
-            for one, two, three in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for one, two, three in (tuple(batch.column(c)[i].as_py() for c in range(3)) for i in range(batch.num_rows)):
                 hashes.append(np.frombuffer(one, np.uint64))
                 forms.append(np.frombuffer(two, np.uint8))
                 counts.append(np.frombuffer(three, np.int64))
@@ -207,7 +206,8 @@ def count_words(rows: DataFrame) -> DataFrame:
         if waiting:
             yield out()
 
-    return rows.select("hashes", "forms", "counts").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(
+    learned = rows.filter(F.col("turn") != HELD).select("hashes", "forms", "counts")
+    return learned.mapInArrow(run, "word long, form int, n long").groupBy("word").agg(
         F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
@@ -421,19 +421,13 @@ def learn(rows: DataFrame, shared: Broadcast, passes: int = PASSES, rounds: int
     state = Trainer(own.noise()).rows().astype("<f2")
     share = 0.3
 
-    names_read = ["sizes", "turns", "held", "ids", "hashes", "forms"]
     for turn in range(passes * rounds):
         here = spark.sparkContext.broadcast((state, share))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value.noise(), State.of(*here.value))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    chunk = Chunk.of(row)
-                    # Every round learns from texts of its own.
-                    use = np.repeat(~chunk.held & (chunk.turns % rounds == turn % rounds), chunk.sizes)
-                    if use.any():
-                        trainer.add(np.take(shared.value.classes(chunk.hashes, chunk.forms)[0], chunk.ids[use]))
+            for _, chunk in Chunk.rows(batches):
+                trainer.add(np.take(shared.value.classes(chunk.hashes, chunk.forms)[0], chunk.ids))
             trainer.flush()
             n = int(trainer.seen.sum())
             if not n:
@@ -454,7 +448,8 @@ def learn(rows: DataFrame, shared: Broadcast, passes: int = PASSES, rounds: int
                              pa.array([float((n * parts["share"].to_numpy()).sum() / n.sum())]), pa.array([b""]),
                              pa.array([tables.astype("<f2").tobytes()])], names=names)
 
-        parts = rows.select(*names_read).coalesce(trainers(own)).mapInArrow(run, schema).groupBy("start").applyInArrow(
+        texts = rows.filter(F.col("turn") == turn % rounds).select("sizes", "ids", "hashes", "forms")
+        parts = texts.coalesce(trainers(own)).mapInArrow(run, schema).groupBy("start").applyInArrow(
             joined, schema).collect()  # vectors of all classes, which grow with the root of the corpus
         if parts:
             parts.sort(key=lambda r: r["start"])
@@ -506,29 +501,27 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, net = shared.value, model.value
         shares = np.log10(own.form_total + own.form_distinct + 1.0)
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk.of(row)
-                sizes = chunk.sizes.astype(np.int64)
-                first = np.cumsum(sizes) - sizes
-                # Of each word of the row, then of each token.
-                class_of, count, in_head = own.classes(chunk.hashes, chunk.forms)
-                base_of, many = np.log10(count + 1.0), class_of >= own.own
-                inside = np.where(many, base_of - shares[np.where(many, class_of - own.own, 0)], 0.0)
-                known = np.take(in_head, chunk.ids)
-                logs = net.logs(np.take(class_of, chunk.ids)) / math.log(10) + np.take(inside, chunk.ids)
-                # Words outside the head, and how often each text has them.
-                text_of = np.repeat(np.arange(len(sizes)), sizes)[~known]
-                pair, times = np.unique(text_of * len(chunk.hashes) + chunk.ids[~known], return_counts=True)
-                ends = pa.array(np.searchsorted(pair // len(chunk.hashes), np.arange(len(sizes) + 1)).astype(np.int32))
-                words = chunk.hashes[pair % len(chunk.hashes)].view(np.int64)
-                add = lambda values: pa.array(np.add.reduceat(values, first))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), add(known.astype(np.int64)),
-                     add(np.take(base_of, chunk.ids)), add(logs), pa.ListArray.from_arrays(ends, pa.array(words)),
-                     pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))], schema=schema)
-
-    parts = rows.select("docs", *[c for c in TOKENS if c not in ("docs", "counts")]).mapInArrow(
+        for row, chunk in Chunk.rows(batches):
+            sizes = chunk.sizes.astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            # Of each word of the row, then of each token.
+            class_of, count, in_head = own.classes(chunk.hashes, chunk.forms)
+            base_of, many = np.log10(count + 1.0), class_of >= own.own
+            inside = np.where(many, base_of - shares[np.where(many, class_of - own.own, 0)], 0.0)
+            known = np.take(in_head, chunk.ids)
+            logs = net.logs(np.take(class_of, chunk.ids)) / math.log(10) + np.take(inside, chunk.ids)
+            # Words outside the head, and how often each text has them.
+            text_of = np.repeat(np.arange(len(sizes)), sizes)[~known]
+            pair, times = np.unique(text_of * len(chunk.hashes) + chunk.ids[~known], return_counts=True)
+            ends = pa.array(np.searchsorted(pair // len(chunk.hashes), np.arange(len(sizes) + 1)).astype(np.int32))
+            words = chunk.hashes[pair % len(chunk.hashes)].view(np.int64)
+            add = lambda values: pa.array(np.add.reduceat(values, first))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["docs"], pa.int64()), pa.array(np.full(len(sizes), row["turn"] == HELD)), pa.array(sizes), add(known.astype(np.int64)),
+                 add(np.take(base_of, chunk.ids)), add(logs), pa.ListArray.from_arrays(ends, pa.array(words)),
+                 pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))], schema=schema)
+
+    parts = rows.select(*[c for c in TOKENS if c != "counts"]).mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, words array<long>, times array<int>")
     parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
