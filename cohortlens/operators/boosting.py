@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.session import materialize, share_package
 
 MAX_BINS = 64
-UNIT = float(1 << 24)
+UNIT = float(1 << 26)
 LOCAL_ROWS = 1 << 15
 STORE_ROUNDS = 20
 #: Sums that one task holds at a time; nodes beyond them wait for the next pass.

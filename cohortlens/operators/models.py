@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.operators import boosting as grow
 from cohortlens.operators import metrics
+from cohortlens.operators.fold_fits import NewtonLogistic, fit_logistic
 from cohortlens.operators.features import FeatureEngineer, Preprocessor, ENGINEERED
 from cohortlens.operators.split import with_folds, with_holdout
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
@@ -82,13 +83,8 @@ def preprocessing(engineered: bool = False) -> list:
 
 
 def logistic(n_rows: int, label: str = LABEL) -> list:
-    """L2 logistic regression on balanced classes.
-
-    The penalty constant C weighs a summed loss. Spark's ``regParam`` weighs against the
-    mean loss; balanced weights sum to the row count, hence 1 / (C * n).
-    """
-    return [LogisticRegression(labelCol=label, weightCol=WEIGHT, maxIter=LOGISTIC_ITERATIONS, standardization=False,
-                               regParam=1.0 / (LOGISTIC_C * max(n_rows, 1)))]
+    """L2 logistic regression on balanced classes; the penalty constant C weighs the summed loss."""
+    return [NewtonLogistic(LOGISTIC_C, LOGISTIC_ITERATIONS, label, WEIGHT)]
 
 
 def forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, label: str = LABEL) -> list:
@@ -216,7 +212,8 @@ def score_table(predictions: DataFrame, by: Sequence[str], label: str = LABEL) -
 def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int = 4) -> dict[tuple, PipelineModel]:
     """(name, key) -> model of every builder on every prepared table; a fit that fails is left out.
 
-    All boosters grow together, whatever their table and settings; the other fits run ``parallelism`` at a time.
+    All boosters grow together, whatever their table and settings, and logistic regressions of one name take their steps
+    together; the other fits run ``parallelism`` at a time.
     """
     stages = {}
     for key, table in prepared.items():
@@ -225,17 +222,25 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
                 stages[name, key] = build(table.n)
             except Exception as err:
                 log.warning("%s on %s failed: %s", name, key, err)
-    boosted = [job for job, own in stages.items() if len(own) == 1 and isinstance(own[0], grow.Booster)]
+    kind = lambda job: type(stages[job][0]) if len(stages[job]) == 1 else None
+    boosted = [job for job in stages if kind(job) is grow.Booster]
+    linear = [job for job in stages if kind(job) is NewtonLogistic]
     out = {}
-    if boosted:
-        keys = list(dict.fromkeys(key for _, key in boosted))
+
+    def take(jobs: list[tuple], models: Callable[[], list]) -> None:
         try:
-            fitted = grow.fit_all([prepared[key].rows for key in keys],
-                                    [grow.Job(keys.index(key), stages[name, key][0].settings) for name, key in boosted],
-                                    stages[boosted[0]][0].getLabelCol())
-            out = {job: PipelineModel([*prepared[job[1]].stages, model]) for job, model in zip(boosted, fitted)}
+            out.update({job: PipelineModel([*prepared[job[1]].stages, model]) for job, model in zip(jobs, models())})
         except Exception as err:
-            log.error("boosters failed: %s", err)
+            log.error("%s failed: %s", jobs, err)
+
+    if boosted:
+        keys = list(dict.fromkeys(key for _, key in boosted))
+        take(boosted, lambda: grow.fit_all([prepared[key].rows for key in keys],
+                                           [grow.Job(keys.index(key), stages[name, key][0].settings) for name, key in boosted],
+                                           stages[boosted[0]][0].getLabelCol()))
+    for name in dict.fromkeys(name for name, _ in linear):
+        own = [job for job in linear if job[0] == name]
+        take(own, lambda: fit_logistic([prepared[key].rows for _, key in own], stages[own[0]][0]))
 
     def run(job: tuple) -> PipelineModel | None:
         try:
@@ -244,7 +249,7 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
             log.warning("%s on %s failed: %s", *job, err)
             return None
 
-    others = [job for job in stages if job not in boosted]
+    others = [job for job in stages if job not in boosted and job not in linear]
     with ThreadPoolExecutor(parallelism) as pool:
         out |= {job: model for job, model in zip(others, pool.map(run, others)) if model is not None}
     return out

@@ -172,14 +172,32 @@ def q_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(drift.drift_histograms(drift_sides(spark, sf), NUMBERS), "bin_start", "bin_end", "density")
 
 
-@query("drift_category_bars", SIDES + f""",
+_bars = f"""
 texts AS ({number_rows(CATEGORIES)}),
 levels AS (SELECT DISTINCT feature, value FROM texts),
 sizes AS (SELECT feature, side, count(*) AS size FROM texts GROUP BY feature, side),
 found AS (SELECT feature, side, value, count(*) AS n FROM texts GROUP BY feature, side, value)
 SELECT s.side AS side, l.feature AS feature, l.value AS value, coalesce(n, 0) AS n, {sql_r6('coalesce(n, 0) / CAST(size AS DOUBLE)')} AS share
 FROM levels l JOIN sizes s ON s.feature = l.feature
-LEFT JOIN found f ON f.feature = l.feature AND f.value = l.value AND f.side = s.side""")
+LEFT JOIN found f ON f.feature = l.feature AND f.value = l.value AND f.side = s.side"""
+
+
+@query("drift_visuals", SIDES + TABLE + f""",
+top AS (SELECT feature FROM drift WHERE p_value < 0.9 ORDER BY p_value, statistic DESC, feature LIMIT 10),
+shapes AS (WITH one AS (SELECT 1) {histogram_sql(number_rows(NUMBERS), 'side, ')}),
+bars AS (WITH {_bars})
+SELECT side, feature, CAST(bin AS VARCHAR) AS slot, n, density AS height FROM shapes WHERE feature IN (SELECT feature FROM top)
+UNION ALL SELECT side, feature, value, n, share FROM bars WHERE feature IN (SELECT feature FROM top)""")
+def q_visuals(spark: SparkSession, sf: str) -> DataFrame:
+    """What a plot of the ten most drifted features shows; a wide significance level, since these populations hardly differ."""
+    sides = drift_sides(spark, sf).select("side", *NUMBERS, *CATEGORIES)
+    shapes, bars = drift.drift_visuals(sides, drift.drift_table(sides, NUMBERS, CATEGORIES, alpha=0.9))
+    shapes = shapes.select("side", "feature", F.col("bin").cast("string").alias("slot"), "n", F.col("density").alias("height"))
+    bars = bars.select("side", "feature", F.col("value").alias("slot"), "n", F.col("share").alias("height"))
+    return round_columns(shapes.unionByName(bars), "height")
+
+
+@query("drift_category_bars", SIDES + ", " + _bars)
 def q_bars(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(drift.category_bars(drift_sides(spark, sf), CATEGORIES), "share")
 
