@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 from typing import NamedTuple
 
@@ -48,7 +49,7 @@ SLICE, TILE = 2048, 256
 #: Stands for the end of a text, as does a word with a space; class 0 belongs to it.
 END, END_WORD = np.uint64(0x5EED_0E4D_5EED_0E4D), b" "
 #: Tokens in a row, distinct words that a task remembers, and counts that it adds up before it sends them.
-CHUNK, KNOWN_WORDS, COUNT_ROWS = 1 << 16, 1 << 18, 1 << 22
+CHUNK, KNOWN_WORDS, COUNT_ROWS = 1 << 16, 1 << 17, 1 << 21
 
 
 def form_of(words: list[bytes]) -> np.ndarray:
@@ -119,6 +120,8 @@ class Lexicon:
 TOKENS = {"turn": "int", "docs": "array<long>", "sizes": "binary", "ids": "binary", "hashes": "binary", "forms": "binary", "counts": "binary"}
 #: The turn of texts that are held out; the others have the number of the round that learns from them.
 HELD = -1
+#: Rows of tokens that a task is given at a time, as each holds many texts.
+ROWS_AT_ONCE = 16
 
 
 class Chunk(NamedTuple):
@@ -140,6 +143,18 @@ class Chunk(NamedTuple):
                                  np.frombuffer(row["forms"], np.uint8).astype(np.int64))
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows for the queries that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def number_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
@@ -490,10 +505,11 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     training = F.coalesce(training, F.lit(True))
     spark = docs.sparkSession
     rows = tokenised(docs, key, text, training)
-    counts = materialize(count_words(rows), "word-counts")
-    own = gather(counts)
-    shared = spark.sparkContext.broadcast(own)  # HEAD words, those with classes, and sums of forms
-    model = spark.sparkContext.broadcast(normalised(spark, learn(rows, shared, passes)))
+    with few_rows_at_once(spark):
+        counts = materialize(count_words(rows), "word-counts")
+        own = gather(counts)
+        shared = spark.sparkContext.broadcast(own)  # HEAD words, those with classes, and sums of forms
+        model = spark.sparkContext.broadcast(normalised(spark, learn(rows, shared, passes)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()),
                         ("head_base", pa.float64()), ("head_score", pa.float64()), ("words", pa.list_(pa.int64())),
                         ("times", pa.list_(pa.int32()))])
@@ -523,7 +539,8 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
     parts = rows.select(*[c for c in TOKENS if c != "counts"]).mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, words array<long>, times array<int>")
-    parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
+    with few_rows_at_once(spark):
+        parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(
