@@ -156,7 +156,12 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text"):
 
 
 def keep_identified(docs: DataFrame, lang: str = "lang", text: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """Documents whose language is plain, with their own columns; the profiles come from the same documents."""
+    """Documents whose language is plain, with their own columns, whatever these are called.
+
+    The profiles come from the same documents. Null, empty and letterless texts are ``und`` and go; so does a text less alike
+    to every language than ``least``. Repeated rows are judged alike; rows without a language are judged, not learned from.
+    Without any language all go, and an empty table gives no rows. Ties go to the first language by name, which keeps the row either way.
+    """
     result = identify(docs, train(docs, lang, text), text)
     at = F.col(f"`{result.column}`")
     good = (at["lang_pred"] != UNKNOWN) & (at["score"] >= least)

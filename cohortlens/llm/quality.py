@@ -156,7 +156,11 @@ def label_sample(labels: DataFrame, key: str, label: str, rows: int) -> DataFram
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fit on at most ``sample_rows`` labelled documents; only those reach Python and the driver."""
+    """Fit on at most ``sample_rows`` labelled documents; only their counts reach the driver, once for each id.
+
+    Of rows that repeat a labelled id, the one with the least counts is learned from. Null texts count as empty; without
+    labelled documents the trees are a constant.
+    """
 
     @F.pandas_udf(", ".join(f"{c} long" for c in BASE))
     def measured(texts: pd.Series) -> pd.DataFrame:
@@ -165,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = label_sample(labels, key, label, sample_rows)
     rows = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")).join(
         F.broadcast(sample), F.col("doc_key") == F.col("label_key"))  # at most sample_rows small rows
-    data = fields(with_result(rows, measured, "m", "doc_text"), ["doc_key", "label_value"], BASE).toPandas()
-    data = data.sort_values(["doc_key", *BASE]).drop_duplicates("doc_key")
+    counts = fields(with_result(rows, measured, "m", "doc_text"), ["doc_key", "label_value"], BASE)
+    least = counts.groupBy("doc_key", "label_value").agg(F.min(F.struct(*BASE)).alias("least"))
+    data = least.select("doc_key", "label_value", "least.*").toPandas().sort_values("doc_key")
     signs = [DECREASING.get(f, 0) for f in FEATURES]
     return grow(features(data[BASE].to_numpy()), data["label_value"].to_numpy(float), signs)
 
@@ -199,6 +204,10 @@ def judge(docs: DataFrame, trees: Trees, text: str = "text", threshold: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns, whatever these are called.
+
+    Null, empty and blank texts fail the base rules and go; repeated rows are judged alike and all stay or
+    go. An empty table gives no rows, and without labels every document has the score of a constant, at the threshold.
+    """
     result = judge(docs, train(docs, labels, key, text), text)
     return result.frame.filter(F.col(f"`{result.column}`.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,18 +9,23 @@ The sentences that carry a document's score are its offending ones.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.llm.common import fields, raw, with_result
 from cohortlens.llm.quality import label_sample
+from cohortlens.session import materialize
 
 #: The classifier reads at most this many labelled rows, those with the smallest hash of their id.
 SAMPLE_ROWS = 10_000
+#: And of these as many as have so many distinct words of sentences together.
+SAMPLE_WORDS = 1 << 23
 SLOTS = 1 << 20
 MIN_DOCUMENTS = 4
 STEPS, RATE, PENALTY, START = 200, 1.0, 1e-4, -6.0
@@ -102,8 +107,13 @@ def fit(bags: Bags, labels: np.ndarray, steps: int = STEPS) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled documents; the driver gets hashed words, not texts."""
+          sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Model:
+    """Fit on at most ``sample_rows`` labelled documents of at most ``sample_words`` words; the driver gets hashed words, not texts.
+
+    Of rows that repeat a labelled id, the one with the least text is learned from. Words found in fewer than
+    ``MIN_DOCUMENTS`` documents have no weight and stay where they are. Null texts have no sentence and teach nothing.
+    """
+    spark = docs.sparkSession
 
     @F.pandas_udf("words binary, sizes binary")
     def hashed(texts: pd.Series) -> pd.DataFrame:
@@ -117,9 +127,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = label_sample(labels, key, label, sample_rows)
     rows = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")).join(
         F.broadcast(sample), F.col("doc_key") == F.col("label_key"))  # at most sample_rows small rows
-    data = fields(with_result(rows, hashed, "m", "doc_text"), ["doc_key", "label_value"], ["words", "sizes"]).toPandas()
-    data = data.sort_values(["doc_key", "words", "sizes"]).drop_duplicates("doc_key")
-    data = data[data["sizes"].map(len) > 0]
+    once = rows.groupBy("doc_key", "label_value").agg(F.min("doc_text").alias("doc_text"))
+    found = materialize(fields(with_result(once, hashed, "m", "doc_text"), ["doc_key", "label_value"], ["words", "sizes"]).filter(
+        F.octet_length("sizes") > 0), "toxic-words")
+    # At most sample_rows rows.
+    upto = F.sum(F.octet_length("words") / 4).over(Window.orderBy(F.xxhash64("doc_key"), "doc_key"))
+    learned = found.withColumn("upto", upto).filter(F.col("upto") <= sample_words).drop("upto")
+    often = spark.sparkContext.broadcast(frequent_slots(learned))
+
+    @F.pandas_udf("words binary, sizes binary")
+    def kept(words: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for w, n in zip(words, sizes):
+            places, counts = np.frombuffer(w, "<u4"), np.frombuffer(n, "<u4")
+            stay = often.value[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0
+            of = np.repeat(np.arange(len(counts)), counts)
+            out.append((places[stay].tobytes(), np.bincount(of[stay], minlength=len(counts)).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["words", "sizes"])
+
+    data = fields(with_result(learned, kept, "m", "words", "sizes"), ["doc_key", "label_value"], ["words", "sizes"]).toPandas()
+    data = data.sort_values("doc_key")
     sizes = [np.frombuffer(s, "<u4") for s in data["sizes"]]
     words = np.frombuffer(b"".join(data["words"]), "<u4")
     flat = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, np.int64)
@@ -127,6 +154,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(Bags(words, np.cumsum(flat) - flat, np.cumsum(many) - many), data["label_value"].to_numpy(float))
 
 
+def frequent_slots(rows: DataFrame) -> np.ndarray:
+    """Bitmap of the word places found in ``MIN_DOCUMENTS`` documents or more, of whatever size the sample is."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(np.frombuffer(w.as_py(), "<u4")) for w in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype(np.int64) if own else np.empty(0, np.int64))], names=["place"])
+
+    counts = rows.select("words").mapInArrow(distinct, "place long").groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.filter(F.col("n") >= MIN_DOCUMENTS).select((F.col("place") + 1).alias("p"))
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for row in often.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # at most SLOTS / 32768 rows of 4 KB
+        at = (row["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.bias, self.weights, self.memo = model.bias, model.lookup(), {}
