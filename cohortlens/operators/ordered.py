@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.columns import count_below, key_hash
 
-MIN_BUCKETS, MAX_BUCKETS = 64, 16384
-STRATA_BUCKETS = 1 << 16
+#: Ranges that are cut at least, of values and of hashes.
+MIN_BUCKETS, STRATA_BUCKETS = 64, 1 << 16
 #: Ranks of a sketch are right to one part in so many; groups of no more rows are kept whole.
 SKETCH = 10_000
 
@@ -65,7 +65,7 @@ def with_buckets(counts: DataFrame, value: str, measures: Sequence[str], feature
 def bucket_count(df: DataFrame) -> int:
     """Value ranges to cut: four per shuffle partition, so that it grows with the cluster."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * partitions))
+    return max(MIN_BUCKETS, 4 * partitions)
 
 
 def _limits(value: str, buckets: int) -> Column:
@@ -175,7 +175,7 @@ def rank_cutoffs(df: DataFrame, stratum: str, key: str, seed: int, wanted: Seque
     wanted rank, and only those ranges are looked into. The result is a scalar, so that
     assigning rows is a plain projection. Rows that share a key share a side.
     """
-    width = (1 << 31) // STRATA_BUCKETS
+    width = max(1, (1 << 31) // max(STRATA_BUCKETS, 16 * bucket_count(df)))
     hashed = df.select(F.col(stratum).alias("stratum"), F.col(key).alias("key"),
                        key_hash(df, key, seed).alias("hash"))
     hashed = hashed.withColumn("bucket", F.expr(f"hash div {width}"))

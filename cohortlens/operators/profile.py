@@ -8,9 +8,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.columns import add_all, count_where, one_row_to_long, to_long
+from cohortlens.operators.gram import correlations
 from cohortlens.operators.ordered import by_group, number, quantiles
 from cohortlens.schema import (BOX_FEATURES, HIGH_CORRELATION, HISTOGRAM_BINS, LABEL, LEAKAGE_CORRELATION)
 
+#: Columns from which pairs are no longer written out.
+WIDE = 24
+
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., feature, value) of the numeric cells that hold a number; NaN counts as missing."""
@@ -66,7 +70,12 @@ def leakage_flags(df: DataFrame, columns: Sequence[str], target: str, limit: flo
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Upper triangle in long form; each pair uses the rows where both are present."""
+    """Upper triangle in long form; each pair uses the rows where both are present.
+
+    Few columns are one expression for each pair, in one aggregate; more than ``WIDE`` go through blocks of a Gram matrix.
+    """
+    if len(columns) > WIDE:
+        return correlations(df, columns)
     pairs = list(combinations(columns, 2))
     row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return one_row_to_long(row, [

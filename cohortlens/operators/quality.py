@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlens.functions.columns import add_all, count_where, one_row_to_long
+from cohortlens.sources.files import read_bodies
 from cohortlens.schema import (CATEGORICAL_FEATURES, CLIP_RANGES, ENTITY_SCHEMA, KEY, MAX_MISSING_RATE,
                                NON_NEGATIVE_RULES, NUMERIC_FEATURES, RANGE_RULES)
 
@@ -24,12 +25,17 @@ def _converted(field: T.StructField) -> Column:
     return F.col(field.name).try_cast(field.dataType)
 
 
+def cast_checks(df: DataFrame, schema: T.StructType = ENTITY_SCHEMA) -> list[Column]:
+    """Aggregates: non-null values of each column and how many of them do not convert."""
+    fields = [f for f in schema.fields if f.name in df.columns]
+    return [*[F.count(f.name).alias(f"n_{f.name}") for f in fields],
+            *[count_where(F.col(f.name).isNotNull() & _converted(f).isNull()).alias(f"bad_{f.name}") for f in fields]]
+
+
 def cast_failures(df: DataFrame, schema: T.StructType = ENTITY_SCHEMA) -> DataFrame:
     """Per column: target type, non-null values and how many of them do not convert."""
     fields = [f for f in schema.fields if f.name in df.columns]
-    row = df.agg(
-        *[F.count(f.name).alias(f"n_{f.name}") for f in fields],
-        *[count_where(F.col(f.name).isNotNull() & _converted(f).isNull()).alias(f"bad_{f.name}") for f in fields])
+    row = df.agg(*cast_checks(df, schema))
     return one_row_to_long(row, [
         {"column_name": F.lit(f.name), "target_type": F.lit(f.dataType.simpleString()),
          "n_values": F.col(f"n_{f.name}"), "n_failed": F.col(f"bad_{f.name}")} for f in fields])
@@ -38,9 +44,13 @@ def cast_failures(df: DataFrame, schema: T.StructType = ENTITY_SCHEMA) -> DataFr
 def best_effort_cast(df: DataFrame, schema: T.StructType = ENTITY_SCHEMA) -> tuple[DataFrame, list[str]]:
     """Convert each column that converts as a whole; keep the others and name them."""
     failed = [r.column_name for r in cast_failures(df, schema).filter("n_failed > 0").collect()]
-    wanted = {f.name: f for f in schema.fields if f.name not in failed}
-    out = df.select(*[_converted(wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
-    return out, failed
+    return cast_all(df, failed, schema), failed
+
+
+def cast_all(df: DataFrame, kept: Sequence[str], schema: T.StructType = ENTITY_SCHEMA) -> DataFrame:
+    """Columns of the schema converted, but for those ``kept`` as they are."""
+    wanted = {f.name: f for f in schema.fields if f.name not in kept}
+    return df.select(*[_converted(wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 def duplicate_key_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,8 +74,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Share of nulls per column, largest first, in one pass."""
     columns = columns or df.columns
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    long = one_row_to_long(row, [{"column_name": F.lit(c), "missing_rate": F.col(c)} for c in columns])
+    return missing_rates(df.agg(*missing_checks(columns)), columns)
+
+
+def missing_checks(columns: Sequence[str]) -> list[Column]:
+    """Aggregates: the share of nulls of each column."""
+    return [F.avg(F.col(c).isNull().cast("double")).alias(f"missing_{c}") for c in columns]
+
+
+def missing_rates(row: DataFrame, columns: Sequence[str]) -> DataFrame:
+    long = one_row_to_long(row, [{"column_name": F.lit(c), "missing_rate": F.col(f"missing_{c}")} for c in columns])
     return long.orderBy(F.desc("missing_rate"), "column_name")
 
 
@@ -86,7 +104,15 @@ def _breaks(rule: Rule) -> Column:
 
 def rule_violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows breaking each rule, all rules in one aggregate."""
-    row = df.agg(*[count_where(_breaks(r)).alias(f"r{i}") for i, r in enumerate(rules)])
+    return rule_counts(df.agg(*rule_checks(rules)), rules)
+
+
+def rule_checks(rules: Sequence[Rule]) -> list[Column]:
+    """Aggregates: rows that break each rule."""
+    return [count_where(_breaks(r)).alias(f"r{i}") for i, r in enumerate(rules)]
+
+
+def rule_counts(row: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return one_row_to_long(row, [
         {"column_name": F.lit(r[0]), "issue": F.lit(r[3]), "n_bad": F.col(f"r{i}")} for i, r in enumerate(rules)])
 
@@ -120,6 +146,18 @@ def validate_records(df: DataFrame, bounds: dict[str, tuple[float, float]] = CLI
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
+def validate_bodies(df: DataFrame, body: str, bounds: dict[str, tuple[float, float]] = CLIP_RANGES,
+                    required: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """Request bodies as JSON text: their fields and ``errors``, the only one being ``body: not a JSON object`` where it is none.
+
+    Numbers written as text count as numbers if they convert; other text, lists and objects are "not a number".
+    """
+    fields = [*bounds, *[c for c in required if c not in bounds]]
+    checked = validate_records(read_bodies(df, body, fields), bounds, required)
+    broken = F.array(F.lit("body: not a JSON object"))
+    return checked.withColumn("errors", F.when(F.col("is_json"), F.col("errors")).otherwise(broken)).drop("is_json")
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and quarantined rows (the latter with their errors)."""
     accepted = F.size("errors") == 0
@@ -132,13 +170,17 @@ def quarantine_reasons(checked: DataFrame) -> DataFrame:
 
 def ingest_summary(df: DataFrame) -> DataFrame:
     """Rows, pass rate, missing cells and one count per grade band, in one pass."""
-    missing = add_all(F.col(c).isNull().cast("bigint") for c in df.columns)
+    return df.agg(*summary_checks(df.columns))
+
+
+def summary_checks(columns: Sequence[str]) -> list[Column]:
+    """The aggregates of ``ingest_summary``."""
+    missing = add_all(F.col(c).isNull().cast("bigint") for c in columns)
     bands = ["A", "B", "C", "D", "F"]
-    row = df.agg(
+    return [
         F.count(F.lit(1)).alias("total_students"), F.avg(F.col("passed").cast("double")).alias("pass_rate"),
         *[count_where(F.col("final_grade_band") == b).alias(f"grade_{b.lower()}") for b in bands],
-        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values"))
-    return row
+        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_values")]
 
 
 def vector_sanity(df: DataFrame, vector: str = "features") -> DataFrame:

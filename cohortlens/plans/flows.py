@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from cohortlens.operators import attribution, calibrate, drift, metrics, models, profile, project, quality, risk
 from cohortlens.operators.split import sample_n
-from cohortlens.schema import (CATEGORICAL_FEATURES, ENTITY_SCHEMA, HIGH_CORRELATION, KEY, LABEL, NON_NEGATIVE_RULES,
-                               NUMERIC_FEATURES, RANGE_RULES, TARGETS)
+from cohortlens.schema import (CATEGORICAL_FEATURES, ENTITY_SCHEMA, HIGH_CORRELATION, KEY, LABEL, MAX_MISSING_RATE,
+                               NON_NEGATIVE_RULES, NUMERIC_FEATURES, RANGE_RULES, TARGETS)
 from cohortlens.session import materialize
 from cohortlens.sources import artifacts, files
 
@@ -29,18 +29,29 @@ class Ingested:
 
 
 def ingest(spark: SparkSession, csv_path: str, out_path: str) -> Ingested:
-    """Read a CSV, check it, drop repeated keys and store it as Parquet. Issues are reported, not fatal."""
-    text = files.read_csv(spark, csv_path, _header_schema(spark, csv_path))
-    raw, unconverted = quality.best_effort_cast(quality.require_columns(text))
-    raw = files.nan_to_null(raw)
+    """Read a CSV, check it, drop repeated keys and store it as Parquet. Issues are reported, not fatal.
+
+    The CSV's rows are read once: what does not convert is counted while they are staged as text, and issues, missing
+    shares and the summary while the table is written.
+    """
+    text = quality.require_columns(files.read_csv(spark, csv_path, _header_schema(spark, csv_path)))
+    staging, writing = Observation("staging"), Observation("writing")
+    staged = materialize(text.observe(staging, *quality.cast_checks(text)), "staged")
+    unconverted = [f.name for f in ENTITY_SCHEMA.fields if staging.get.get(f"bad_{f.name}", 0) > 0]
+    raw = files.nan_to_null(quality.cast_all(staged, unconverted))
     duplicates = quality.duplicate_key_count(raw, [KEY]).first()["n_duplicates"]
     order = [c for c in ENTITY_SCHEMA.names if c != KEY]
-    files.write_parquet(quality.keep_first(raw, [KEY], order) if duplicates else raw, out_path)
-    table = files.read_parquet(spark, out_path)
+    unique = quality.keep_first(raw, [KEY], order) if duplicates else raw
     # A column kept as text cannot be compared with bounds.
     rules = [r for r in (*RANGE_RULES, *NON_NEGATIVE_RULES) if r[0] not in unconverted]
-    return Ingested(table, duplicates, unconverted, quality.high_missing(table),
-                    quality.issue_messages(table, rules), quality.ingest_summary(table))
+    checks = [*quality.missing_checks(unique.columns), *quality.rule_checks(rules), *quality.summary_checks(unique.columns)]
+    files.write_parquet(unique.observe(writing, *checks), out_path)
+    table = files.read_parquet(spark, out_path)
+    seen = spark.createDataFrame([tuple(writing.get.values())], table.limit(0).agg(*checks).schema)
+    summary = seen.select(*quality.ingest_summary(table.limit(0)).columns)
+    high = quality.missing_rates(seen, unique.columns).filter(F.col("missing_rate") > MAX_MISSING_RATE)
+    issues = quality.rule_counts(seen, rules).filter("n_bad > 0").select("issue", "n_bad")
+    return Ingested(table, duplicates, unconverted, high, issues, summary)
 
 
 def _header_schema(spark: SparkSession, path: str):

@@ -187,6 +187,24 @@ def q_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quarantine_reasons(quality.validate_records(learners(spark, sf)))
 
 
+# Every eleventh body is cut off, every seventh of the others has a word for a number.
+@query("request_errors", LEARNERS + f""", errors AS ({ERROR_ROWS}),
+mended AS (
+  SELECT k, reason FROM errors WHERE k % 11 <> 0 AND NOT (k % 7 = 0 AND starts_with(reason, 'prior_gpa:'))
+  UNION ALL SELECT k, 'prior_gpa: not a number' FROM learners WHERE k % 11 <> 0 AND k % 7 = 0
+  UNION ALL SELECT k, 'body: not a JSON object' FROM learners WHERE k % 11 = 0)
+SELECT learners.k AS k, count(reason) AS n_errors, min(reason) AS first_reason
+FROM learners LEFT JOIN mended ON mended.k = learners.k GROUP BY learners.k""")
+def q_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = learners(spark, sf)
+    fields = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
+    typed = F.to_json(F.struct(*fields))
+    worded = F.to_json(F.struct(F.lit("high").alias("prior_gpa"), *[c for c in fields if c != "prior_gpa"]))
+    body = F.when(F.col("k") % 11 == 0, F.substring(typed, 1, 30)).when(F.col("k") % 7 == 0, worded).otherwise(typed)
+    checked = quality.validate_bodies(rows.select("k", body.alias("body")), "body")
+    return checked.select("k", F.size("errors").cast("bigint").alias("n_errors"), F.array_min("errors").alias("first_reason"))
+
+
 _null_sum = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in ENTITY_SCHEMA.names)
 
 

@@ -10,13 +10,14 @@ from cohortlens.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cohortlens.session import shared_dir
 from cohortlens.sources.bindings import drift_sides, learners, scored_events
 from cohortlens.streaming import jobs
+from cohortlens.streaming.state import NewestLog
 
 
-def as_stream(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
-    """A table stored as files, read back as a stream."""
+def as_stream(spark: SparkSession, df: DataFrame, purpose: str, files: int | None = None) -> DataFrame:
+    """A table stored as files, read back as a stream; with ``files``, in as many batches."""
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return jobs.file_stream(spark, path, df.schema)
+    (df if files is None else df.repartition(files)).write.parquet(path)
+    return jobs.file_stream(spark, path, df.schema, 1 if files else None)
 
 
 @query("stream_hourly_stats", HOURLY)
@@ -56,3 +57,26 @@ def q_log(spark: SparkSession, sf: str) -> DataFrame:
     stream = as_stream(spark, events.unionByName(events.filter("event_id % 10 = 0")), "predictions")
     out = jobs.run_scored_log(stream, *jobs.new_run(spark, "log"))
     return round_columns(out.select("event_id", "risk_probability", "risk_level", "prediction"), "risk_probability")
+
+
+def newest_log(spark: SparkSession, sf: str) -> NewestLog:
+    """Scored events, folded in by four batches."""
+    events = scored_events(spark, sf)
+    stream = as_stream(spark, events, "predictions", files=4)
+    path, checkpoint = jobs.new_run(spark, "newest")
+    log = NewestLog(path, "ts", "event_id")
+    log.run(stream, checkpoint)
+    return log
+
+
+@query("stream_retained", EVENTS + "SELECT event_id, user_id, event_type FROM scored ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def q_retained(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest records that a stream keeps, whatever order its batches come in."""
+    return newest_log(spark, sf).retained(spark).select("event_id", "user_id", "event_type")
+
+
+@query("stream_recent_stats", EVENTS + f"""SELECT (SELECT count(*) FROM scored) AS total_predictions, count(*) AS recent_predictions,
+  {sql_r6('avg(probability)')} AS avg_probability, {sql_r6('avg(CASE WHEN probability >= 0.6 THEN 0e0 ELSE 1e0 END) * 100.0')} AS high_risk_percentage,
+  CAST(NULL AS VARCHAR) AS message FROM (SELECT * FROM scored ORDER BY ts DESC, event_id DESC LIMIT 100)""")
+def q_recent(spark: SparkSession, sf: str) -> DataFrame:
+    return round_columns(newest_log(spark, sf).recent_stats(spark), "avg_probability", "high_risk_percentage")

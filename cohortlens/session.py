@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that each application has made.
+_MADE: dict[str, list[str]] = {}
+
 
 def build_session(app: str = "cohortlens", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with adaptive execution and UTC timestamps."""
@@ -42,7 +47,34 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession, paths: Sequence[str] | None = None) -> int:
+    """Delete tables that this application wrote to the shared folder: those given, or all. Returns how many folders went.
+
+    For the end of a flow, when no DataFrame over them is needed any more.
+    """
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = 0
+    for path in [p for p in made if paths is None or p in paths]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+        made.remove(path)
+    return gone
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; results that outlive it must be collected or stored elsewhere."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    try:
+        yield
+    finally:
+        drop_written(spark, [p for p in made if p not in before])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -41,6 +41,18 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType = REQ
     return spark.read.schema(schema).json(path)
 
 
+def read_bodies(df: DataFrame, body: str, fields: list[str]) -> DataFrame:
+    """Request bodies held as JSON text: their fields as text, and whether the body is a JSON object at all.
+
+    A field that a body lacks, or holds as null, is null; a body that is null, cut off or no object has ``is_json`` false.
+    """
+    parsed = F.from_json(F.col(body), "map<string,string>")
+    keep = [c for c in df.columns if c != body]
+    opened = df.select(*keep, parsed.alias("parsed"), F.trim(F.col(body)).startswith("{").alias("object"))
+    good = F.coalesce(F.col("object") & F.col("parsed").isNotNull(), F.lit(False))
+    return opened.select(*keep, good.alias("is_json"), *[F.try_element_at("parsed", F.lit(f)).alias(f) for f in fields])
+
+
 def explode_batches(df: DataFrame, body: str, schema: T.StructType = REQUEST_SCHEMA) -> DataFrame:
     """Requests ``{"students": [...]}`` held as text: one row per student, numbered from 1."""
     request = T.StructType([T.StructField("students", T.ArrayType(schema))])

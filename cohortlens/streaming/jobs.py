@@ -17,6 +17,8 @@ from cohortlens.operators import drift, quality, risk
 from cohortlens.operators.profile import long_numbers, long_texts
 from cohortlens.schema import DRIFT_ALPHA
 from cohortlens.session import shared_dir
+from cohortlens.streaming import state
+from cohortlens.streaming.state import Reference
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -57,12 +59,31 @@ def hourly_stats(stream: DataFrame, time: str = "ts", probability: str = "probab
 
 def run_hourly_stats(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run the statistics in update mode and return the last state of each hour."""
-    hours = hourly_stats(stream)
-    write_batches(hours, path, checkpoint, mode="update").awaitTermination()
-    batches = read_batches(stream.sparkSession, path, hours.schema)
-    values = [c for c in hours.columns if c != "hour_start"]
-    last = batches.groupBy("hour_start").agg(F.max_by(F.struct(*values), "batch_id").alias("last"))
-    return last.select("hour_start", "last.*")
+    return run_hourly_counted(stream, path, checkpoint)[0]
+
+
+def run_hourly_counted(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """The last state of each hour, and how many rows of this run came too late to be counted.
+
+    A batch's folder holds all hours so far, a row each: the changed ones and those of the batch before. So only
+    the last folder is read, and a repeated batch gives the same one.
+    """
+    spark, hours = stream.sparkSession, hourly_stats(stream)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        changed = batch
+        if batch_id > 0:
+            before = spark.read.schema(hours.schema).parquet(f"{path}/batch_id={batch_id - 1}")
+            changed = before.join(batch.select("hour_start"), "hour_start", "left_anti").select(*hours.columns).unionByName(batch)
+        changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    query = (hours.writeStream.outputMode("update").foreachBatch(fold)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    late = sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+    last = read_batches(spark, path, hours.schema)
+    newest = last.agg(F.max("batch_id")).scalar()
+    return last.filter(F.col("batch_id") == newest).drop("batch_id"), late
 
 
 def run_validation(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -75,16 +96,14 @@ def run_validation(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def reference_counts(reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                      path: str) -> tuple[str, str]:
-    """Store how often each value occurs in the reference; batches are compared with these."""
-    numbers, texts = f"{path}/numbers", f"{path}/texts"
-    for rows, folder in ((long_numbers(reference, numeric), numbers), (long_texts(reference, categorical), texts)):
-        rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref")).write.mode("overwrite").parquet(folder)
-    return numbers, texts
+    """Store a reference by value range for ``run_drift``; returns the folders of its numbers and its texts."""
+    stored = Reference.store(reference, numeric, categorical, path)
+    return stored.numbers, stored.texts
 
 
 def batch_drift(batch: DataFrame, numbers: DataFrame, texts: DataFrame, numeric: Sequence[str],
                 categorical: Sequence[str], alpha: float = DRIFT_ALPHA) -> DataFrame:
-    """Drift of one micro-batch against stored reference counts."""
+    """Drift of a table against whole tables of reference counts; ``run_drift`` reads less of them."""
     def both(reference: DataFrame, long: DataFrame) -> DataFrame:
         current = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_cur"))
         rows = reference.select("feature", "value", "n_ref", F.lit(0).cast("bigint").alias("n_cur")).unionByName(
@@ -109,13 +128,13 @@ DRIFT_SCHEMA = T.StructType([
 
 def run_drift(stream: DataFrame, folders: tuple[str, str], numeric: Sequence[str], categorical: Sequence[str],
               path: str, checkpoint: str) -> DataFrame:
-    """Check every micro-batch against the reference; one row per batch and feature."""
-    def check(batch: DataFrame) -> DataFrame:
-        session = batch.sparkSession
-        numbers, texts = (session.read.parquet(f) for f in folders)
-        return batch_drift(batch, numbers, texts, numeric, categorical)
+    """Check every micro-batch against the stored reference; one row per batch and feature.
 
-    write_batches(stream, path, checkpoint, prepare=check).awaitTermination()
+    A batch shuffles its counts by range, and the values of the few ranges that can hold the largest gap.
+    """
+    reference = Reference.load(stream.sparkSession, folders[0].removesuffix("/numbers"))
+    write_batches(stream, path, checkpoint, prepare=lambda batch: state.batch_drift(
+        batch, reference, numeric, categorical)).awaitTermination()
     return read_batches(stream.sparkSession, path, DRIFT_SCHEMA)
 
 

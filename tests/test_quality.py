@@ -1,9 +1,10 @@
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from cohortlens.operators import project, quality
 from cohortlens.plans import flows
-from cohortlens.schema import ENTITY_SCHEMA, NUMERIC_FEATURES, RANGE_RULES
+from cohortlens.schema import ENTITY_SCHEMA, NON_NEGATIVE_RULES, NUMERIC_FEATURES, RANGE_RULES
 from cohortlens.sources import files
 
 GOOD = dict(prior_gpa=3.5, attendance_pct=85.0, study_hours_wk=15.0, commute_min=30.0, quiz_avg=78.0, assign_avg=82.0,
@@ -92,6 +93,49 @@ def test_ingest_round_trip(spark, students, tmp_path):
     assert out.summary.first().total_students == students.count()
 
 
+def test_ingest_reads_the_csv_once(spark, students, tmp_path):
+    """After the call nothing reads the CSV any more, and what was observed equals the queries over the table."""
+    import shutil
+
+    odd = students.withColumns({"prior_gpa": F.when(F.col("gender") == "F", F.lit(9.0)).otherwise(F.col("prior_gpa")),
+                                "midterm": F.when(F.col("gender") == "M", F.lit("late")).otherwise(F.col("midterm").cast("string"))})
+    files.write_csv(odd, f"{tmp_path}/csv")
+    out = flows.ingest(spark, f"{tmp_path}/csv", f"{tmp_path}/table")
+    shutil.rmtree(f"{tmp_path}/csv")
+    assert out.unconverted == ["midterm"]
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    rules = [r for r in (*RANGE_RULES, *NON_NEGATIVE_RULES) if r[0] != "midterm"]
+    assert same(out.issues, quality.issue_messages(out.table, rules)) and out.issues.count() > 0
+    assert same(out.high_missing, quality.high_missing(out.table))
+    assert out.summary.columns == quality.ingest_summary(out.table).columns
+    assert out.summary.first() == pytest.approx(quality.ingest_summary(out.table).first())
+
+
+def test_bodies_that_are_no_requests(spark):
+    bodies = ['{"x": 1.5, "c": "a"}', '{"x": "2", "c": "a"}', '{"x": "two", "c": "a"}', '{"x": [1], "c": null}', '{"x": 9', '[1]', '"text"', "", None,
+              '{}', '{"x": 99, "c": "a", "more": {"y": 1}}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    got = {r.i: r.errors for r in quality.validate_bodies(df, "body", {"x": (0.0, 4.0)}, ["c"]).collect()}
+    none = ["body: not a JSON object"]
+    assert got == {0: [], 1: [], 2: ["x: not a number"], 3: ["x: not a number", "c: missing"], 4: none, 5: none, 6: none, 7: none, 8: none,
+                   9: ["x: missing", "c: missing"], 10: ["x: outside 0-4"]}
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from cohortlens.session import drop_written, materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        inside = materialize(spark.range(4), "inside")
+        path = inside.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+    own = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert drop_written(spark, [own]) in (0, 1)
+
+
 def test_missing_source_surfaces(spark):
     with pytest.raises(AnalysisException):
         files.read_csv(spark, "/nowhere/at-all.csv").count()
