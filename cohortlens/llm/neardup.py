@@ -35,6 +35,8 @@ ERRORS = 4.5
 BLOCK = 1024
 #: A pair of blocks is one number: the smaller above so many bits of the larger.
 SIDE_BITS = 24
+#: Parts of a band key whose members are joined with its count apart from each other.
+DEALS = 16
 #: Bits of the filter that lets only candidates' texts be read a second time (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
 CHUNK = 1024
@@ -140,7 +142,10 @@ def crowded_bands(classes: DataFrame) -> DataFrame:
     """
     member = classes.select(F.explode("bands").alias("band"), "id")
     counts = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = member.join(counts, "band").withColumn("side", block_of(F.ceil(F.col("n") / BLOCK)))
+    # Members of a large key meet its count in many tasks.
+    counts = counts.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    dealt = member.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)))
+    rows = dealt.join(counts, ["band", "deal"]).withColumn("side", block_of(F.ceil(F.col("n") / BLOCK)))
     rows = rows.select("band", part_of(F.col("side"), F.col("side")).alias("part"), "side", "id")
     return rows.join(classes.select("id", "bits"), "id")
 
