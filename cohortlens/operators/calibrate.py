@@ -18,7 +18,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.operators.models import Builder, fit, pass_probability, score
+from cohortlens.operators.models import Builder, fit_together, pass_probability, prepare, score
 from cohortlens.operators.ordered import bucket_count, with_buckets
 from cohortlens.operators.split import with_folds
 from cohortlens.schema import LABEL
@@ -131,11 +131,16 @@ def fit_curve(scored: DataFrame, label: str = LABEL, probability: str = "probabi
 
 
 def fit_calibrated(df: DataFrame, key: str, build: Builder, label: str = LABEL, folds: int = 3) -> CalibratedModel:
-    """Per fold: the base model learns from the other folds, its curve from this one."""
+    """Per fold: the base model learns from the other folds, its curve from this one. The base models of all folds are fitted together."""
     table = materialize(with_folds(df, label, key, folds, name="__fold"), "folds", partition_by="__fold")
+    prepared = {fold: prepare(table.filter(F.col("__fold") != fold).drop("__fold"), label, store=True) for fold in range(folds)}
+    fitted = fit_together(prepared, {"base": build})
     parts = []
     for fold in range(folds):
-        base = fit(table.filter(F.col("__fold") != fold).drop("__fold"), build, label)
-        held_out = score(base, table.filter(F.col("__fold") == fold), [label])
+        if ("base", fold) not in fitted:
+            raise ValueError(f"the base model could not be fitted without fold {fold}")
+        base = fitted["base", fold]
+        # Stored, as limits and pools both read it.
+        held_out = materialize(score(base, table.filter(F.col("__fold") == fold), [label]), "held-out")
         parts.append((base, fit_curve(held_out, label)))
     return CalibratedModel(parts)

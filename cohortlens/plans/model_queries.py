@@ -46,11 +46,6 @@ def q_svc(spark: SparkSession, sf: str) -> DataFrame:
     return holdout_metrics(spark, sf, models.linear_svm)
 
 
-@query("model_nb")
-def q_nb(spark: SparkSession, sf: str) -> DataFrame:
-    return holdout_metrics(spark, sf, lambda n: models.naive_bayes())
-
-
 # Gaussian naive Bayes in closed form: preprocessing, means, variances and shares of the training rows, scores of the others.
 _inputs = ", ".join(f"""(coalesce(CASE WHEN split.{c} IS NULL THEN NULL ELSE least(greatest(split.{c}, {lo}), {hi}) END, med.{c}) - m_{c})
   / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END""" for c, (lo, hi) in CLIP_RANGES.items() if c in NUMERIC_FEATURES)
@@ -65,20 +60,47 @@ inputs AS (SELECT split.k AS k, passed, is_test, [{_inputs}, {_flag_inputs}] AS
 cells AS (SELECT k, passed, is_test, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM inputs)"""
 
 
-@query("naive_bayes_scores", PREPARED + f""",
+BAYES = PREPARED + f""",
 floor AS (SELECT 1e-9 * max(v) AS least FROM (SELECT var_pop(x) AS v FROM cells WHERE NOT is_test GROUP BY i)),
 shape AS (SELECT passed AS class, i, avg(x) AS mean, var_pop(x) + any_value(least) AS var FROM cells, floor
   WHERE NOT is_test GROUP BY passed, i),
 share AS (SELECT passed AS class, ln(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS share FROM train GROUP BY passed),
-logs AS (SELECT k, class, any_value(share) - sum((x - mean) * (x - mean) / var + ln(var)) / 2 AS l
+logs AS (SELECT k, any_value(passed) AS label, class, any_value(share) - sum((x - mean) * (x - mean) / var + ln(var)) / 2 AS l
   FROM cells JOIN shape USING (i) JOIN share USING (class) WHERE is_test GROUP BY k, class),
-apart AS (SELECT k, sum(CASE class WHEN 1 THEN l ELSE -l END) AS d FROM logs GROUP BY k)
-SELECT k, {sql_r6('1 / (1 + exp(-greatest(least(d, 700.0), -700.0)))')} AS probability FROM apart""")
-def q_nb_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the held-out learners."""
+apart AS (SELECT k, any_value(label) AS label, sum(CASE class WHEN 1 THEN l ELSE -l END) AS d FROM logs GROUP BY k),
+scored AS (SELECT k, label, {sql_r6('1 / (1 + exp(-greatest(least(d, 700.0), -700.0)))')} AS probability FROM apart)
+"""
+
+
+def bayes_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, passed, probability) of the held-out learners, by naive Bayes."""
     table = materialize(with_holdout(prepared(spark, sf), LABEL, "k"), "holdout", partition_by="is_test")
     model = models.fit(table.filter("NOT is_test").drop("is_test"), lambda n: models.naive_bayes())
-    return round_columns(models.score(model, table.filter("is_test"), ["k"]), "probability")
+    return materialize(round_columns(models.score(model, table.filter("is_test"), ["k", LABEL]), "probability"), "scored")
+
+
+@query("naive_bayes_scores", BAYES + "SELECT k, probability FROM scored")
+def q_nb_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the held-out learners."""
+    return bayes_scores(spark, sf).select("k", "probability")
+
+
+@query("model_nb", BAYES + f"SELECT m.*, {sql_r6('roc_auc')} AS roc_auc FROM ({metrics_sql('scored')}) m, ({auc_sql('scored')}) a")
+def q_nb(spark: SparkSession, sf: str) -> DataFrame:
+    scored = bayes_scores(spark, sf)
+    area = metrics.roc_auc(scored, label=LABEL).select("roc_auc").scalar()
+    out = metrics.binary_metrics(scored, label=LABEL).withColumn("roc_auc", area)
+    return round_columns(out, "accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+@query("score_records", BAYES + f"""SELECT k, probability AS risk_probability, CASE WHEN probability >= 0.8 THEN 'Low Risk'
+  WHEN probability >= 0.6 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_level, probability >= 0.5 AS prediction,
+  {sql_r6('abs(probability - 0.5) * 2')} AS confidence, TIMESTAMP '2024-01-31 00:00:00' AS timestamp FROM scored""")
+def q_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction records of the held-out learners."""
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    out = risk.with_risk(bayes_scores(spark, sf).select("k", "probability"), at=at).drop("probability")
+    return round_columns(out, "confidence")
 
 
 # The same by folds: medians, levels, moments and classes of the rows outside each fold.
