@@ -34,19 +34,35 @@ def sign_code(vector: Column) -> Column:
     return F.when(F.size(vector) > BITS, F.raise_error(said).cast("long")).otherwise(code)
 
 
+def sign_words(vector: Column, bits: int) -> Column:
+    """``sign_code`` of vectors of up to ``bits`` numbers: the codes of 64 numbers after another, as bytes. A longer vector raises."""
+    parts = [F.lpad(F.hex(F.coalesce(sign_code(F.slice(vector, at + 1, BITS)), F.lit(0).cast("long"))), BITS // 4, "0")
+             for at in range(0, bits, BITS)]
+    said = F.concat(F.lit(f"a vector is longer than the {bits} numbers of a code: "), F.size(vector).cast("string"))
+    return F.when(F.size(vector) > bits, F.raise_error(said).cast("binary")).otherwise(F.unhex(F.concat(*parts)))
+
+
+def unpacked(codes: pd.Series) -> np.ndarray:
+    """Codes as rows of 64-bit words, the first numbers of a vector in the lowest bits of the first word."""
+    if codes.dtype == object:
+        return np.frombuffer(b"".join(codes), ">u8").reshape(len(codes), -1).astype(np.uint64)
+    return codes.to_numpy().view(np.uint64)[:, None]
+
+
 class MultiIndex:
-    """Segment tables over distinct codes."""
+    """Segment tables over distinct codes, which are rows of 64-bit words."""
 
     def __init__(self, codes: np.ndarray, ids: np.ndarray, k: int):
         self.k = k
-        order = np.lexsort((ids, codes))
+        order = np.lexsort((ids, *codes.T))
         codes, ids = codes[order], ids[order]
-        new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)]))
         self.codes, self.ids = codes[new], ids
         self.first, self.many = new, np.diff(np.append(new, len(codes)))
+        bits = BITS * codes.shape[1]
         # About one code for each value of a segment.
-        self.parts = max(1, min(16, round(BITS / max(1.0, math.log2(len(new) + 1)))))
-        edges = np.linspace(0, BITS, self.parts + 1).astype(int)
+        self.parts = max(1, min(bits // 4, round(bits / max(1.0, math.log2(len(new) + 1)))))
+        edges = np.linspace(0, bits, self.parts + 1).astype(int)
         self.segments = [(int(lo), int(hi - lo)) for lo, hi in zip(edges, edges[1:])]
         self.tables = []
         for lo, width in self.segments:
@@ -57,8 +73,12 @@ class MultiIndex:
 
     @staticmethod
     def values(codes: np.ndarray, lo: int, width: int) -> np.ndarray:
-        mask = np.uint64((1 << width) - 1) if width < BITS else np.uint64(0xFFFFFFFFFFFFFFFF)
-        return codes >> np.uint64(lo) & mask
+        """``width`` bits of each code from bit ``lo`` on; a segment may cross from one word into the next."""
+        word, at = divmod(lo, BITS)
+        out = codes[:, word] >> np.uint64(at)
+        if at + width > BITS:
+            out = out | codes[:, word + 1] << np.uint64(BITS - at)
+        return out & np.uint64((1 << width) - 1) if width < BITS else out
 
     def near_values(self, value: np.uint64, width: int, radius: int) -> np.ndarray:
         """All values that differ in exactly ``radius`` bits."""
@@ -67,20 +87,20 @@ class MultiIndex:
             self.masks[key] = np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.uint64)
         return self.masks[key] ^ value
 
-    def search(self, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances and ids of the k nearest rows, by distance and id."""
         seen, far = np.empty(0, np.int64), np.empty(0, np.int64)
         for radius in range(max(w for _, w in self.segments) + 1):
             found = []
             for (lo, width), (values, at) in zip(self.segments, self.tables):
                 if radius <= width:
-                    probes = self.near_values(self.values(code, lo, width), width, radius)
+                    probes = self.near_values(self.values(code[None, :], lo, width)[0], width, radius)
                     start, stop = np.searchsorted(values, probes), np.searchsorted(values, probes, side="right")
                     hit = np.flatnonzero(stop > start)
                     found += [at[a:b] for a, b in zip(start[hit], stop[hit])]
             fresh = np.setdiff1d(np.concatenate(found), seen) if found else np.empty(0, np.int64)
             seen = np.concatenate([seen, fresh])
-            far = np.concatenate([far, np.bitwise_count(self.codes[fresh] ^ code).astype(np.int64)])
+            far = np.concatenate([far, np.bitwise_count(self.codes[fresh] ^ code).sum(axis=1).astype(np.int64)])
             covered = self.parts * (radius + 1) - 1
             if self.many[seen[far <= covered]].sum() >= self.k or len(seen) == len(self.codes):
                 break
@@ -91,16 +111,20 @@ class MultiIndex:
         return far[each][order], ids[order]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, bits: int = BITS) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k rows nearest to each query, itself included.
 
     Ties go to the smaller id. Rows and queries without an id or a vector are left out; with
-    fewer than k rows all are returned. Rows that repeat an id are separate neighbours; of
+    fewer than k rows all are returned. Codes have ``bits`` places, a multiple of 64; shorter vectors
+    have zeros at the end and longer ones raise an error. Empty tables give no rows, and other columns are not read. Rows that repeat an id are separate neighbours; of
     queries that repeat an id, one is searched, the one with the smallest code.
     """
-    has = F.col(vector).isNotNull() & F.col(key).isNotNull()
-    codes = rows.filter(has).select(F.col(key).cast("long").alias("id"), sign_code(F.col(vector)).alias("code"))
-    asked = queries.filter(has).select(F.col(key).cast("long").alias("id"), sign_code(F.col(vector)).alias("code"))
+    if bits % BITS:
+        raise ValueError(f"codes have whole words of {BITS} bits, not {bits}")
+    has = F.col(f"`{vector}`").isNotNull() & F.col(f"`{key}`").isNotNull()
+    code = sign_code(F.col(f"`{vector}`")) if bits == BITS else sign_words(F.col(f"`{vector}`"), bits)
+    pick = lambda df: df.filter(has).select(F.col(f"`{key}`").cast("long").alias("id"), code.alias("code"))
+    codes, asked = pick(rows), pick(queries)
     asked = asked.groupBy("id").agg(F.min("code").alias("code"))
     blocks = max(1, math.ceil(codes.count() / BLOCK))
     query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
@@ -112,10 +136,10 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     def nearest(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "neighbour_id": [], "distance": []}
         if len(one) and len(two):
-            index = MultiIndex(one["code"].to_numpy().view(np.uint64), one["id"].to_numpy(), k)
-            for code, group in two.groupby("code")["id"]:
-                far, ids = index.search(np.int64(code).view(np.uint64))
-                for query in group:
+            index = MultiIndex(unpacked(one["code"]), one["id"].to_numpy(), k)
+            for _, group in two.groupby("code"):
+                far, ids = index.search(unpacked(group["code"].iloc[:1])[0])
+                for query in group["id"]:
                     out["query_id"].append(np.full(len(ids), query))
                     out["neighbour_id"].append(ids)
                     out["distance"].append(far)
