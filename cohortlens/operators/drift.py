@@ -6,16 +6,20 @@ Both populations live in one table with a ``side`` column holding "reference" or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cohortlens.functions.columns import count_below, count_where
+from cohortlens.functions.columns import count_where
 from cohortlens.functions.distributions import chi_square_p, ks_p
 from cohortlens.operators.metrics import binary_metrics, predicted, roc_auc
-from cohortlens.operators.ordered import by_group, number, with_buckets
+from cohortlens.operators.ordered import number, with_buckets
 from cohortlens.operators.profile import histogram, long_numbers, long_texts
 from cohortlens.schema import DRIFT_ALPHA, DRIFT_SHARE, F1_DEGRADATION, KEY, TARGETS
+from cohortlens.session import share_package
 
 REF, CUR = "reference", "current"
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -73,79 +77,107 @@ def ks_from_counts(counts: DataFrame) -> DataFrame:
     return out.filter("size_ref > 0 AND size_cur > 0")
 
 
-def range_counts(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
-    """(feature, range, value, side) of all cells, and per (feature, range) both sides' counts and moments.
+COUNTS = ("feature int, range int, n_ref long, n_cur long, low double, high double, "
+          "s1_ref double, s2_ref double, s1_cur double, s2_cur double")
+CELLS = "feature int, range int, value double, n_ref long, n_cur long"
 
-    Ranges are cut at quantiles of a sketch of both sides together. The cells are only projected; the
-    exchange carries one row per range and task.
-    """
-    names = [f"c{i}" for i in range(len(columns))]
-    wide = df.select("side", *[number(c).alias(n) for c, n in zip(columns, names)])
-    probs = [i / ranges for i in range(1, ranges)]
-    edges = wide.agg(*[F.array_distinct(F.percentile_approx(n, probs, 10 * ranges)).alias(n) for n in names])
-    facts = by_group(edges, [], names)
-    placed = wide.withColumn("facts", facts).select("side", *names, *[F.col(f"facts.{n}").alias(f"e_{n}") for n in names])
-    cells = placed.select("side", F.inline(F.array_compact(F.array(*[
-        F.when(F.col(n).isNotNull(), F.struct(F.lit(c).alias("feature"), F.col(n).alias("value"),
-                                              count_below(F.col(n), F.col(f"e_{n}"), ranges).alias("range")))
-        for c, n in zip(columns, names)]))))
-    own = lambda side: F.when(F.col("side") == side, F.col("value"))
-    counts = cells.groupBy("feature", "range").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"),
-        *[fn(own(side)).alias(f"{name}_{tag}") for side, tag in ((REF, "ref"), (CUR, "cur"))
-          for name, fn in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))])
-    return cells, counts
+
+def placed_batches(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(column, values, their ranges, whether they are the reference's) of the numbers in each column of each batch; the side comes first."""
+    for batch in batches:
+        reference, known = (np.array([s == side for s in batch.column(0).to_pylist()], bool) for side in (REF, CUR))
+        known |= reference
+        for k, limits in enumerate(edges):
+            values = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)
+            use = np.flatnonzero(known & ~np.isnan(values))
+            if len(use):
+                yield k, values[use], np.searchsorted(limits, values[use], side="left"), reference[use]
 
 
 def ks_statistics(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
     """Two-sample KS statistic, sizes and moments per feature; a feature with an empty side is left out.
 
-    Counts per range make the gap between the two distribution functions exact at the ends of each range
-    and bound it inside, where it cannot pass the share of either side that lies there. Only
-    ranges whose bound exceeds the widest gap at any end are ordered.
+    Ranges are cut at quantiles of a sketch of both sides together. Counts per range make the gap between the two
+    distribution functions exact at the ends of each range and bound it inside, where it cannot pass the share of
+    either side that lies there. Only ranges whose bound exceeds the widest gap at any end are exchanged by value and
+    ordered. Three scans: sketch, counts with moments, open ranges; what comes to the driver are counts per range.
     """
-    cells, counts = range_counts(df, columns, ranges)
-    every = Window.partitionBy("feature")
-    order = every.orderBy("range")
-    total = lambda tag: F.sum(f"n_{tag}").over(every)
-    share = lambda tag: F.try_divide(F.col(f"n_{tag}"), total(tag))
-    upto = lambda tag: F.try_divide(F.sum(f"n_{tag}").over(order), total(tag))
-    # At most ``ranges`` rows for each feature.
-    placed = counts.withColumns({
-        "size_ref": total("ref"), "size_cur": total("cur"), "share_ref": share("ref"), "share_cur": share("cur"),
-        "after": upto("ref") - upto("cur")}).filter("size_ref > 0 AND size_cur > 0")
-    placed = placed.withColumn("before", F.col("after") - F.col("share_ref") + F.col("share_cur"))
-    bound = F.greatest(F.col("before") + F.col("share_ref"), F.col("share_cur") - F.col("before"))
-    placed = placed.withColumn("widest", F.max(F.abs("after")).over(every)).withColumn(
-        "open", (F.col("low") < F.col("high")) & (bound > F.col("widest")))
-    # Of the open ranges: where the gap starts. Inside, only their cells are exchanged by value.
-    opened = placed.filter("open").select(F.struct("feature", "range").alias("key"), F.struct("before", "size_ref", "size_cur").alias("at"))
-    where = opened.agg(F.map_from_entries(F.collect_list(F.struct("key", "at")))).scalar()
-    inner = cells.withColumn("at", F.try_element_at(where, F.struct("feature", "range"))).filter("at IS NOT NULL")
-    inner = inner.groupBy("feature", "range", "at", "value").agg(
-        count_where(F.col("side") == REF).alias("n_ref"), count_where(F.col("side") == CUR).alias("n_cur"))
-    inside = Window.partitionBy("feature", "range").orderBy("value")
-    gap = (F.col("at.before") + F.sum("n_ref").over(inside) / F.col("at.size_ref") - F.sum("n_cur").over(inside) / F.col("at.size_cur"))
-    inner = inner.select("feature", F.abs(gap).alias("gap")).groupBy("feature").agg(F.max("gap").alias("inner_gap"))
-
-    ends = placed.groupBy("feature").agg(
-        F.max("size_ref").alias("size_ref"), F.max("size_cur").alias("size_cur"), F.max("widest").alias("end_gap"),
-        *[F.sum(F.col(f"n_{t}") * F.col(f"mean_{t}")).alias(f"sum_{t}") for t in ("ref", "cur")],
-        *[F.collect_list(F.struct(F.col(f"n_{t}").alias("n"), F.col(f"mean_{t}").alias("mean"), F.col(f"var_{t}").alias("var"))).alias(t)
-          for t in ("ref", "cur")])
-
-    def spread(tag: str) -> Column:
-        """Sample deviation from the moments of the ranges."""
-        mean = F.col(f"sum_{tag}") / F.col(f"size_{tag}")
-        off = lambda r: r["n"] * (r["var"] + (r["mean"] - mean) * (r["mean"] - mean))
-        squares = F.aggregate(F.filter(tag, lambda r: r["n"] > 0), F.lit(0.0), lambda a, r: a + off(r))
-        return F.when(F.col(f"size_{tag}") > 1, F.sqrt(squares / (F.col(f"size_{tag}") - 1)))
-
-    # Both sides hold one row per feature.
-    return ends.join(F.broadcast(inner), "feature", "left").select(
-        "feature", "size_ref", "size_cur", F.greatest("end_gap", F.coalesce("inner_gap", F.lit(0.0))).alias("ks_statistic"),
-        (F.col("sum_ref") / F.col("size_ref")).alias("ref_mean"), (F.col("sum_cur") / F.col("size_cur")).alias("cur_mean"),
-        spread("ref").alias("ref_std"), spread("cur").alias("cur_std"))
+    spark, columns = df.sparkSession, list(columns)
+    share_package(spark)
+    wide = df.select(F.col("side"), *[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    probs = [i / ranges for i in range(1, ranges)]
+    sketch = wide.agg(*[F.percentile_approx(f"c{i}", probs, 10 * ranges) for i in range(len(columns))]).first()
+    edges = [np.unique(np.array(e or [], float)) for e in sketch]
+    # Sums are taken from the middle of each column, so that large values of little spread lose no digits.
+    middle = [float(e[len(e) // 2]) if len(e) else 0.0 for e in edges]
+    sides = ("ref", "cur")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros((2, len(e) + 1), np.int64) for e in edges]
+        low, high = ([np.full(len(e) + 1, start) for e in edges] for start in (np.inf, -np.inf))
+        sums = np.zeros((len(edges), 2, 2))
+        for k, values, place, reference in placed_batches(batches, edges):
+            for side, own in enumerate((reference, ~reference)):
+                n[k][side] += np.bincount(place[own], minlength=len(edges[k]) + 1)
+                off = values[own] - middle[k]
+                sums[k, side] += off.sum(), (off * off).sum()
+            np.minimum.at(low[k], place, values)
+            np.maximum.at(high[k], place, values)
+        for k in range(len(edges)):
+            seen = np.flatnonzero(n[k].sum(axis=0))
+            if len(seen):
+                # The sums of the column stand beside its first range.
+                beside = [np.where(np.arange(len(seen)) == 0, sums[k, side, power], 0.0) for side in range(2) for power in range(2)]
+                columns_ = [np.full(len(seen), k, np.int32), seen.astype(np.int32), n[k][0][seen], n[k][1][seen], low[k][seen], high[k][seen], *beside]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], names=[c.split()[0] for c in COUNTS.split(", ")])
+
+    total = wide.mapInArrow(count, COUNTS).groupBy("feature", "range").agg(
+        *[F.sum(c).alias(c) for c in ("n_ref", "n_cur")], F.min("low").alias("low"), F.max("high").alias("high"),
+        *[F.sum(f"{s}_{t}").alias(f"{s}_{t}") for t in sides for s in ("s1", "s2")]).toPandas()  # ranges rows a feature
+    rows, opened = [], {}
+    for k, own in total.sort_values("range").groupby("feature"):
+        n = {t: own[f"n_{t}"].to_numpy() for t in sides}
+        size = {t: int(n[t].sum()) for t in sides}
+        if not all(size.values()):
+            continue
+        after = n["ref"].cumsum() / size["ref"] - n["cur"].cumsum() / size["cur"]
+        before = np.concatenate([[0.0], after[:-1]])
+        widest = np.abs(after).max()
+        bound = np.maximum(before + n["ref"] / size["ref"], n["cur"] / size["cur"] - before)
+        inside = (own["low"].to_numpy() < own["high"].to_numpy()) & (bound > widest)
+        opened |= {(int(k), int(r)): (float(b), size["ref"], size["cur"]) for r, b in zip(own["range"][inside], before[inside])}
+        moments = []
+        for t in sides:
+            first, second = float(own[f"s1_{t}"].sum()) / size[t], float(own[f"s2_{t}"].sum())
+            spread = max(second - size[t] * first * first, 0.0)
+            moments.append((middle[int(k)] + first, math.sqrt(spread / (size[t] - 1)) if size[t] > 1 else None))
+        rows.append((columns[int(k)], int(k), size["ref"], size["cur"], float(widest), moments[0][0], moments[1][0], moments[0][1], moments[1][1]))
+    out = spark.createDataFrame(rows, "feature string, k int, size_ref long, size_cur long, end_gap double, ref_mean double, "
+                                      "cur_mean double, ref_std double, cur_std double")
+    names = ["ref_mean", "cur_mean", "ref_std", "cur_std"]
+    if not opened:
+        return out.select("feature", "size_ref", "size_cur", F.col("end_gap").alias("ks_statistic"), *names)
+    wanted = [np.isin(np.arange(len(e) + 1), [r for f, r in opened if f == k]) for k, e in enumerate(edges)]
+
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, values, place, reference in placed_batches(batches, edges):
+            use = wanted[k][place]
+            if use.any():
+                found, at = np.unique(values[use], return_inverse=True)
+                n = [np.bincount(at[own[use]], minlength=len(found)) for own in (reference, ~reference)]
+                where = np.searchsorted(edges[k], found, side="left")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(found), k, np.int32), where.astype(np.int32), found, *n)],
+                                                 names=[c.split()[0] for c in CELLS.split(", ")])
+
+    starts = spark.createDataFrame([(f, r, *v) for (f, r), v in opened.items()], "feature int, range int, before double, size_ref long, size_cur long")
+    cells = wide.mapInArrow(open_cells, CELLS).groupBy("feature", "range", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    order = Window.partitionBy("feature", "range").orderBy("value")
+    # ``starts`` has a row for each open range, and the result one for each feature.
+    gap = (F.col("before") + F.sum("n_ref").over(order) / F.col("size_ref") - F.sum("n_cur").over(order) / F.col("size_cur"))
+    inner = cells.join(F.broadcast(starts), ["feature", "range"]).select(F.col("feature").alias("k"), F.abs(gap).alias("gap")).groupBy("k").agg(
+        F.max("gap").alias("gap"))
+    return out.join(F.broadcast(inner), "k", "left").select(
+        "feature", "size_ref", "size_cur", F.greatest("end_gap", F.coalesce("gap", F.lit(0.0))).alias("ks_statistic"), *names)
 
 
 def ks_drift(df: DataFrame, columns: Sequence[str], alpha: float = DRIFT_ALPHA) -> DataFrame:

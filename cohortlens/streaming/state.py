@@ -27,8 +27,8 @@ RANGES = 512
 class Reference:
     """A stored reference population.
 
-    ``numbers`` holds (feature, range, value, n_ref), one folder for each feature and range; ``ranges`` the counts of
-    each range and of all below it; ``texts`` (feature, value, n_ref). ``edges`` are the limits of each feature's ranges.
+    ``numbers`` holds (feature, range, value, n_ref) in this order, so a reader of one range skips the others; ``ranges`` the
+    counts of each range; ``texts`` (feature, value, n_ref). ``edges`` are the limits of each feature's ranges.
     """
 
     numbers: str
@@ -47,12 +47,12 @@ class Reference:
         placed = own.placed(long_numbers(reference, numeric)) if numeric else None
         if placed is not None:
             counts = placed.groupBy("feature", "range", "value").agg(F.count(F.lit(1)).alias("n_ref"))
-            counts.write.mode("overwrite").partitionBy("feature", "range").parquet(own.numbers)
+            # In order, so that files and their parts state which ranges they hold.
+            counts.repartitionByRange("feature", "range").sortWithinPartitions("feature", "range", "value").write.mode("overwrite").parquet(own.numbers)
             stored = own.read_numbers(spark)
-            below = Window.partitionBy("feature").orderBy("range")
             stored.groupBy("feature", "range").agg(
-                F.sum("n_ref").alias("n_ref"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn(
-                "upto_ref", F.sum("n_ref").over(below)).write.mode("overwrite").parquet(own.ranges)
+                F.sum("n_ref").alias("n_ref"), F.min("value").alias("low"), F.max("value").alias("high")).coalesce(1).write.mode(
+                "overwrite").parquet(own.ranges)
         if categorical:
             long_texts(reference, categorical).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref")).write.mode(
                 "overwrite").parquet(own.texts)
@@ -65,7 +65,7 @@ class Reference:
         return Reference(f"{path}/numbers", f"{path}/ranges", f"{path}/texts", edges)
 
     def read_numbers(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("value double, n_ref long, feature string, range int").parquet(self.numbers)
+        return spark.read.schema("feature string, range int, value double, n_ref long").parquet(self.numbers)
 
     def placed(self, long: DataFrame) -> DataFrame:
         """(feature, value) with the range of the value."""
@@ -105,7 +105,7 @@ def batch_ks(batch: DataFrame, reference: Reference, numeric: Sequence[str]) ->
     cells = reference.placed(long_numbers(batch, numeric))
     current = cells.groupBy("feature", "range").agg(F.count(F.lit(1)).alias("n_cur"), F.min("value").alias("low_cur"), F.max("value").alias("high_cur"))
     # At most RANGES rows for each feature, on either side.
-    both = spark.read.parquet(reference.ranges).drop("upto_ref").join(current, ["feature", "range"], "full_outer").na.fill(0, ["n_ref", "n_cur"])
+    both = spark.read.parquet(reference.ranges).join(current, ["feature", "range"], "full_outer").na.fill(0, ["n_ref", "n_cur"])
     every = Window.partitionBy("feature")
     order = every.orderBy("range")
     share = lambda tag: F.try_divide(F.col(f"n_{tag}"), F.col(f"size_{tag}"))
@@ -124,7 +124,7 @@ def batch_ks(batch: DataFrame, reference: Reference, numeric: Sequence[str]) ->
                                    "feature string, size_ref long, size_cur long, widest double")
     if not opened:
         return result.withColumnRenamed("widest", "ks_statistic")
-    # Folders of other ranges are not listed by the scan.
+    # Pushed to the scan, which skips what holds other ranges.
     chosen = None
     for f in dict.fromkeys(r["feature"] for r in opened):
         test = (F.col("feature") == f) & F.col("range").isin([r["range"] for r in opened if r["feature"] == f])
