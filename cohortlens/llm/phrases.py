@@ -96,6 +96,11 @@ def phrase_set(phrases: DataFrame, width: int):
     return phrases.sparkSession.sparkContext.broadcast(bits)
 
 
+def counted_rows(lang: str, phrases: list[str | None], numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()),
+                                       pa.array(numbers.astype(np.int64))], schema=COUNTS)
+
+
 def counted(docs: DataFrame, width: int, frequent=None, grown=None, contended=None) -> DataFrame:
     """(lang, phrase, n) of all runs of ``width`` words inside pieces, counted over all of ``docs``.
 
@@ -117,8 +122,8 @@ def counted(docs: DataFrame, width: int, frequent=None, grown=None, contended=No
                 keep &= has(grown.value, first) | has(contended.value, first) | has(contended.value, last)
         return np.flatnonzero(keep)
 
-    def folded(ids: np.ndarray, table: Words, lang: str) -> tuple[list[str], np.ndarray]:
-        """Phrases and how often they occur; equal numbers are equal words, so nothing is mixed up."""
+    def folded(ids: np.ndarray, table: Words, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct phrase first stands and how often it occurs; equal numbers are equal words, so nothing is mixed up."""
         at = positions(ids, np.array(table.hashes, np.uint64), lang)
         key, room = ids[at].astype(np.int64), len(table)
         for i in range(1, width):
@@ -128,28 +133,30 @@ def counted(docs: DataFrame, width: int, frequent=None, grown=None, contended=No
             key = key * len(table) + ids[at + i]
             room *= len(table)
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        spelled = np.array(table.spelled, object)
-        return [" ".join(w) for w in zip(*(spelled[ids[at[first] + i]] for i in range(width)))], counts
+        return at[first], counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, read = Words(), {}, 0
 
         def let_go() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                ids = np.concatenate(parts)
+            spelled = np.array(table.spelled, object)
+            for lang in list(held):
+                ids = np.concatenate(held.pop(lang))
                 if width == 1:
-                    counts = np.bincount(ids, minlength=len(table))
-                    counts[0] = 0
-                    chosen = np.flatnonzero(counts)
-                    phrases, numbers = [table.spelled[i] for i in chosen.tolist()], counts[chosen]
-                    if len(chosen):
-                        phrases, numbers = [*phrases, None], np.append(numbers, numbers.sum())
+                    numbers = np.bincount(ids, minlength=len(table))
+                    numbers[0] = 0
+                    total = numbers.sum()
+                    at = np.flatnonzero(numbers)
+                    numbers = numbers[at]
+                    spell = lambda part: spelled[part].tolist()
+                    if total:
+                        yield counted_rows(lang, [None], np.array([total]))
                 else:
-                    phrases, numbers = folded(ids, table, lang)
-                for start in range(0, len(phrases), SENT):
-                    part = phrases[start : start + SENT]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()),
-                                                      pa.array(numbers[start : start + SENT].astype(np.int64))], schema=COUNTS)
+                    at, numbers = folded(ids, table, lang)
+                    spell = lambda part: [" ".join(w) for w in zip(*(spelled[ids[part + i]] for i in range(width)))]
+                # Spelled a part at a time.
+                for start in range(0, len(at), SENT):
+                    yield counted_rows(lang, spell(at[start : start + SENT]), numbers[start : start + SENT])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
