@@ -38,7 +38,7 @@ COVERED = 50
 SET_BITS = 1 << 25
 BUCKET = 1 << 15
 #: Words that a task looks at together, distinct words among them, and phrases it sends on at a time.
-TOGETHER, KNOWN_WORDS, SENT = 1 << 21, 1 << 18, 1 << 16
+TOGETHER, KNOWN_WORDS, SENT = 1 << 20, 1 << 18, 1 << 16
 UNKNOWN = "und"
 BREAK = b"\n"
 #: A-Z to a-z, marks that end a piece to line feeds, tabs to spaces.
