@@ -20,6 +20,9 @@ from cohortlens.session import shared_dir
 from cohortlens.streaming import state
 from cohortlens.streaming.state import Reference
 
+#: Files that the hours of a batch are written to.
+HOUR_FILES = 8
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -66,16 +69,19 @@ def run_hourly_counted(stream: DataFrame, path: str, checkpoint: str) -> tuple[D
     """The last state of each hour, and how many rows of this run came too late to be counted.
 
     A batch's folder holds all hours so far, a row each: the changed ones and those of the batch before. So only
-    the last folder is read, and a repeated batch gives the same one.
+    the last folder is read, and a repeated batch gives the same one. Hours are dealt into ``HOUR_FILES`` files by a
+    shuffle of their own, so that each partition of the state stays in a task of its own.
     """
     spark, hours = stream.sparkSession, hourly_stats(stream)
+    values = [c for c in hours.columns if c != "hour_start"]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        changed = batch
+        rows = batch.withColumn("fresh", F.lit(1))
         if batch_id > 0:
             before = spark.read.schema(hours.schema).parquet(f"{path}/batch_id={batch_id - 1}")
-            changed = before.join(batch.select("hour_start"), "hour_start", "left_anti").select(*hours.columns).unionByName(batch)
-        changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            rows = rows.unionByName(before.withColumn("fresh", F.lit(0)))
+        newest = rows.repartition(HOUR_FILES, "hour_start").groupBy("hour_start").agg(F.max(F.struct("fresh", *values)).alias("last"))
+        newest.select("hour_start", *[F.col(f"last.{c}") for c in values]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (hours.writeStream.outputMode("update").foreachBatch(fold)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -116,3 +116,15 @@ def test_log_keeps_each_event_once(spark, sf, tmp_path):
     out = jobs.run_scored_log(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
     assert out.count() == events.count() == out.select("event_id").distinct().count()
     assert out.filter(F.col("risk_level").isNull()).count() == 0
+
+
+def test_hours_are_counted_by_many_tasks(spark, tmp_path):
+    """The folder of a batch has several files: one task would hold the state of all partitions at once."""
+    rows = spark.range(400).selectExpr("timestamp_seconds(1700000000 + id * 1800) AS ts", "id / 400D AS probability")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", rows.schema)
+    out = jobs.run_hourly_stats(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    for folder in (tmp_path / "out").iterdir():
+        assert len(list(folder.glob("part-*.parquet"))) > 1
+    key = lambda df: sorted((str(r.hour_start), r.n, round(r.avg_probability, 9), r.high_risk) for r in df.collect())
+    assert key(out) == key(risk.hourly_counts(rows))
