@@ -6,8 +6,8 @@ bin), which is one aggregate over the rows, and the best split of a node is foun
 Only splits reach the driver. Scores of earlier trees are stored with the rows every ``STORE_ROUNDS``
 rounds, so a task repeats few trees and a lost executor costs one level.
 
-A table of at most ``LOCAL_ROWS`` rows (its count is checked) needs no exchange at all: its rows go to one task
-for each job, which grows all rounds there. Gradients are whole numbers of 1/``UNIT``, so their sums do
+A table of at most ``LOCAL_ROWS`` rows (its count is checked) needs no exchange at all: its rows (a byte a feature)
+go to one task for each job, which grows all rounds there; of two sister nodes only the one with fewer rows is added up. Gradients are whole numbers of 1/``UNIT``, so their sums do
 not depend on their order, and both ways give the same trees.
 """
 
@@ -35,7 +35,7 @@ from cohortlens.session import materialize, share_package
 
 MAX_BINS = 64
 UNIT = float(1 << 26)
-LOCAL_ROWS = 1 << 15
+LOCAL_ROWS = 1 << 18
 STORE_ROUNDS = 20
 #: Sums that one task holds at a time; nodes beyond them wait for the next pass.
 MAX_CELLS = 1 << 22
@@ -175,6 +175,7 @@ class Growth:
 
     def start(self) -> None:
         self.tree, self.level = Tree(), 0
+        self.parents, self.rows = [-1], [math.inf]
         self.features = chosen_features(self.settings, len(self.trees), self.width)
         self.frontier = [] if self.done else [0]
 
@@ -186,6 +187,7 @@ class Growth:
         """Split the frontier; True when that ended the tree, which then waits in ``trees``."""
         gain, feature, cut, left, total = splits
         settings, following = self.settings, []
+        self.parents, self.rows = [], []
         if self.level == 0:
             self.fill(0, total[:, 0])
         for i, node in enumerate(self.frontier):
@@ -195,6 +197,8 @@ class Growth:
                     self.fill(child, sums)
                     if sums[2] > 1:
                         following.append(child)
+                        self.parents.append(i)
+                        self.rows.append(sums[2])
         self.level += 1
         self.frontier = following if self.level < settings.depth else []
         if self.frontier:
@@ -205,6 +209,23 @@ class Growth:
         self.still = whole and len(self.tree.left) == 1 and abs(self.tree.value[0]) < 1 / UNIT
         return True
 
+    def sisters(self) -> tuple[list[int], list[tuple[int, int, int]]]:
+        """Places in the frontier to add up, and (place, place of its sister, place of its parent) of those that follow from them.
+
+        Of two sisters the one with fewer rows is added up; the other is what its parent has left.
+        """
+        ask, follow, at = [], [], 0
+        while at < len(self.frontier):
+            if at + 1 < len(self.frontier) and self.parents[at] == self.parents[at + 1]:
+                few, many = (at, at + 1) if self.rows[at] <= self.rows[at + 1] else (at + 1, at)
+                ask.append(few)
+                follow.append((many, few, self.parents[at]))
+                at += 2
+            else:
+                ask.append(at)
+                at += 1
+        return ask, follow
+
     def fill(self, node: int, sums: np.ndarray) -> None:
         self.tree.value[node] = self.settings.rate * leaf_value(sums[0], sums[1], self.settings)
         self.tree.cover[node] = float(sums[2])
@@ -217,31 +238,40 @@ def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np
 
 
 def sums_by_bin(bins: np.ndarray, slot: np.ndarray, slots: int, width: int, values: Sequence[np.ndarray]) -> np.ndarray:
-    """(values + 1, slots, features, bins): sums of each value and counts, over rows with a slot."""
+    """(values + 1, slots, features, bins): sums of each value and counts, over rows with a slot. Bins are best stored by feature."""
     rows = np.flatnonzero(slot >= 0)
-    features = bins.shape[1]
-    place = ((slot[rows, None] * features + np.arange(features)) * width + bins[rows]).ravel()
-    size = slots * features * width
-    out = [np.bincount(place, np.repeat(v[rows], features), size) for v in values]
-    out.append(np.bincount(place, minlength=size).astype(float))
-    return np.stack(out).reshape(len(out), slots, features, width)
+    first, own = slot[rows] * width, [v[rows] for v in values]
+    out = np.empty((len(values) + 1, slots, bins.shape[1], width))
+    for f in range(bins.shape[1]):
+        place = first + bins[rows, f]
+        for part, v in zip(out, [*own, None]):
+            part[:, f] = np.bincount(place, v, slots * width).reshape(slots, width)
+    return out
 
 
 def grow_here(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, hashes: np.ndarray, settings: Settings, prior: float) -> Growth:
     """All rounds of one job over rows that are all here."""
     growth = Growth(settings, bins.shape[1], prior)
     width = int(bins.max(initial=0)) + 1
+    bins = np.asfortranarray(bins)
     margin = np.full(len(y), prior)
     while not growth.done:
         turn = len(growth.trees)
         use = sampled(hashes, settings, turn)
         g, h = gradients(margin, y, weight)
-        node, own = np.zeros(len(y), np.int64), bins[:, growth.features]
+        node, own = np.zeros(len(y), np.int64), bins.T[growth.features].T
+        above = None
         while True:
+            ask, follow = growth.sisters()
             slot = np.full(len(growth.tree.left), -1)
-            slot[growth.frontier] = np.arange(len(growth.frontier))
-            sums = sums_by_bin(own, np.where(use, slot[node], -1), len(growth.frontier), width, (g, h))
-            tree = growth.tree
+            slot[np.array(growth.frontier)[ask]] = np.arange(len(ask))
+            sums = np.empty((3, len(growth.frontier), len(growth.features), width))
+            sums[:, ask] = sums_by_bin(own, np.where(use, slot[node], -1), len(ask), width, (g, h))
+            if follow:
+                many, few, parent = map(list, zip(*follow))
+                # Whole numbers, so nothing is lost in a difference.
+                sums[:, many] = above[:, parent] - sums[:, few]
+            tree, above = growth.tree, sums
             ended = growth.take(best_splits(sums, settings))
             node = step(bins, node, tree.arrays())
             if ended:

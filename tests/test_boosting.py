@@ -124,3 +124,33 @@ def test_odd_tables(spark, tmp_path):
     again = boosting.BoosterModel.load(f"{tmp_path}/booster")
     assert np.array_equal(chances(again, constant), chances(model, constant))
     assert model.transform(constant.limit(0)).count() == 0
+
+
+def test_a_table_beyond_the_first_bound_needs_no_level_jobs(spark, monkeypatch):
+    """40,000 rows stay in one task for each job: a Spark job for each level of 600 trees took too long."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(40_000).select((F.col("id") % 3 == 0).cast("double").alias("label"),
+                                    array_to_vector(F.array(F.col("id") % 7, F.col("id") % 3).cast("array<double>")).alias("features"))
+    monkeypatch.setattr(boosting, "level_splits", lambda *a: pytest.fail("a job for a level"))
+    model = boosting.fit_all([df], [Job(0, Settings(3, 2, 0.5))])[0]
+    assert len(model.ensemble().parts["first"]) == 4
+
+
+def test_sums_of_a_larger_sister_follow_from_the_parent(monkeypatch):
+    """Below the root at most half the rows are added up, and the trees are those of adding up all."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 16, (3000, 4)).astype(np.uint8)
+    y = (bins[:, 0] * 2 + bins[:, 1] + rng.normal(size=3000) * 6 > 22).astype(float)
+    args = bins, y, np.ones(3000), np.arange(3000).astype(np.uint64), Settings(3, 5, 0.3, newton=True), 0.1
+    used, plain = [], boosting.sums_by_bin
+
+    def counted(bins, slot, slots, *rest):
+        used.append((slots, int((slot >= 0).sum())))
+        return plain(bins, slot, slots, *rest)
+
+    monkeypatch.setattr(boosting, "sums_by_bin", counted)
+    few = boosting.grow_here(*args)
+    assert sum(rows for _, rows in used) <= 3 * 3000 * (1 + 4 / 2)
+    monkeypatch.setattr(boosting.Growth, "sisters", lambda self: (list(range(len(self.frontier))), []))
+    assert [t.value for t in boosting.grow_here(*args).trees] == [t.value for t in few.trees]
