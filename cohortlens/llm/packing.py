@@ -17,7 +17,7 @@ import re
 import struct
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ PIECE = 512
 #: Pieces in a group, on average. Rounding up wastes half a window a group.
 GROUP_PIECES = 2048
 MAX_MEMO = 600_000
+MAX_MARKS = 10_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64())])
 PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -49,10 +50,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memo(dict):
+    """Packed ids by word; a missing one is encoded when it is first looked up."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.encode(word)
+        return found
+
+
 class WordTokenizer:
     """Ids of a vocabulary that drops white space, so that each word can be looked up.
 
-    Simple words go straight to the merges; all others through the whole tokenizer.
+    Simple words go straight to the merges, their letters and what follows looked up apart; all others go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -61,34 +79,35 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[bytes, bytes] = {}
+        self.memo, self.marks = Memo(self.word_ids), {"": b""}
         self.alphabet = byte_alphabet()
 
-    def simple_ids(self, word: str) -> list[int] | None:
-        found = SIMPLE.fullmatch(word)
+    def merged(self, part: str) -> bytes:
+        """Packed ids of letters, or of marks, by the merges alone."""
+        if not part.isascii():
+            part = part.lower().encode().decode("latin-1").translate(self.alphabet)
+        return packed([t.id for t in self.tokenizer.model.tokenize(part)])
+
+    def word_ids(self, word: bytes) -> bytes:
+        """Packed ids of a word whose letters A-Z are lower-cased."""
+        text = word.decode("utf-8", "replace")
+        found = SIMPLE.fullmatch(text)
         if not found:
-            return None
-        merge, ids = self.tokenizer.model.tokenize, []
-        for piece in found.groups():
-            if piece:
-                ids += [t.id for t in merge(piece.lower().encode().decode("latin-1").translate(self.alphabet))]
-        return ids
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        letters, marks = found.groups()
+        if not marks:
+            return self.merged(letters)
+        if marks not in self.marks:
+            if len(self.marks) > MAX_MARKS:
+                self.marks = {"": b""}
+            self.marks[marks] = self.merged(marks)
+        return self.memo[letters.encode()] + self.marks[marks]
 
     def packed_ids(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
-        words = raw(text).lower().split()
-        memo = self.memo
-        missing = [w for w in dict.fromkeys(words) if w not in memo]
-        if missing:
-            if len(memo) > MAX_MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(words))
-            found = {w: self.simple_ids(w.decode("utf-8", "replace")) for w in missing}
-            other = [w for w, ids in found.items() if ids is None]
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-            found.update(zip(other, (e.ids for e in encoded)))
-            memo.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in found.items())
-        return b"".join(map(memo.__getitem__, words))
+        if len(self.memo) > MAX_MEMO:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, raw(text).lower().split()))
 
 
 @functools.lru_cache(maxsize=2)

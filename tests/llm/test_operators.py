@@ -460,3 +460,15 @@ def test_language_model(rows, nothing, monkeypatch, head):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     assert lm.score(nothing, F.lit(True)).count() == 0
+
+
+def test_letters_and_marks_are_encoded_once(spark):
+    """Words that differ in the marks behind them share the merges of their letters; ids are those of the whole tokenizer."""
+    path = P.path("word_bpe_49k.json")
+    own = packing.WordTokenizer(path)
+    asked, merged = [], own.merged
+    own.merged = lambda part: asked.append(part) or merged(part)
+    text = "Straße straße, straße! Évén évén, word word, Word!? 12,5 a_b ,x x, naïve. x,y ÀB, àb,"
+    got = np.frombuffer(own.packed_ids(text), "<u4").tolist()
+    assert got == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and asked.count("word") == 1
