@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlens.operators import boosting as grow
 from cohortlens.operators import metrics
 from cohortlens.operators.fold_fits import NewtonLogistic, fit_logistic
+from cohortlens.operators.forests import Forest
 from cohortlens.operators.features import FeatureEngineer, Preprocessor, ENGINEERED
 from cohortlens.operators.split import with_folds, with_holdout
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
@@ -88,9 +89,8 @@ def logistic(n_rows: int, label: str = LABEL) -> list:
 
 
 def forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, label: str = LABEL) -> list:
-    """Random forest on balanced classes; 30 is the deepest tree Spark grows."""
-    return [RandomForestClassifier(labelCol=label, weightCol=WEIGHT, numTrees=trees, maxDepth=depth, seed=SEED,
-                                   checkpointInterval=10)]
+    """Random forest on balanced classes; 30 is the deepest tree it grows."""
+    return [Forest(trees, depth, label, WEIGHT, SEED)]
 
 
 def boosting(rounds: int = BOOST_ROUNDS, rate: float = BOOST_RATE, depth: int = BOOST_DEPTH, label: str = LABEL) -> list:
