@@ -274,10 +274,15 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
     with ThreadPoolExecutor(parallelism) as pool:
         prepared = {fold: p for fold, p in enumerate(pool.map(ready, range(folds))) if p is not None}
     fitted = fit_together(prepared, builders, parallelism)
-    done = []
-    for (name, fold), model in fitted.items():
-        held_out = score(model, table.filter(F.col("fold") == fold), [label])
-        done.append(held_out.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "probability"))
+
+    def predict(job: tuple) -> DataFrame:
+        name, fold = job
+        held_out = score(fitted[job], table.filter(F.col("fold") == fold), [label])
+        return held_out.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "probability")
+
+    # Forests store what they score.
+    with ThreadPoolExecutor(parallelism) as pool:
+        done = list(pool.map(predict, fitted))
     failed = [(name, fold, m, 0.0) for name in builders for fold in range(folds) if (name, fold) not in fitted for m in SCORES]
     parts = []
     if done:
