@@ -8,7 +8,7 @@ import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
@@ -113,20 +113,22 @@ class MarginClassifier(Estimator):
                                 rawPredictionCol="margins", predictionCol="svm_prediction")
         self.slicer = VectorSlicer(inputCol="margins", outputCol="margin", indices=[1])
 
-    def held_out(self, rows: DataFrame) -> DataFrame:
-        """(label, margin) of every row, by a classifier of the other folds."""
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """The rows with a fold, stored: all four classifiers learn from them."""
         keyed = rows.withColumn("row_key", F.xxhash64(vector_to_array("features")))
-        dealt = materialize(with_folds(keyed, self.label, "row_key", MARGIN_FOLDS, name="margin_fold"), "margin_folds")
-        parts = []
-        for fold in range(MARGIN_FOLDS):
-            classifier = self.margin.fit(dealt.filter(F.col("margin_fold") != fold))
-            scored = self.slicer.transform(classifier.transform(dealt.filter(F.col("margin_fold") == fold)))
-            parts.append(scored.select(self.label, "margin"))
-        return union_all(parts)
+        return materialize(with_folds(keyed, self.label, "row_key", MARGIN_FOLDS, name="margin_fold"), "margin_folds")
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        curve = LogisticRegression(labelCol=self.label, featuresCol="margin", maxIter=100).fit(self.held_out(dataset))
-        return PipelineModel([self.margin.fit(dataset), self.slicer, curve])
+        dealt = self.deal(dataset)
+        # Each fit is a chain of short jobs, so the chains run side by side; the last learns from all rows.
+        subsets = [*(dealt.filter(F.col("margin_fold") != fold) for fold in range(MARGIN_FOLDS)), dealt]
+        with ThreadPoolExecutor(len(subsets)) as pool:
+            *classifiers, final = pool.map(self.margin.fit, subsets)
+        held_out = union_all([
+            self.slicer.transform(classifier.transform(dealt.filter(F.col("margin_fold") == fold))).select(self.label, "margin")
+            for fold, classifier in enumerate(classifiers)])
+        curve = LogisticRegression(labelCol=self.label, featuresCol="margin", maxIter=100).fit(held_out)
+        return PipelineModel([final, self.slicer, curve])
 
 
 def linear_svm(n_rows: int, label: str = LABEL, iterations: int = 100) -> list:
@@ -213,7 +215,7 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
     """(name, key) -> model of every builder on every prepared table; a fit that fails is left out.
 
     All boosters grow together, whatever their table and settings, and logistic regressions of one name take their steps
-    together; the other fits run ``parallelism`` at a time.
+    together. Those and the other fits run ``parallelism`` at a time: boosters keep few tasks busy, linear fits are chains of short jobs.
     """
     stages = {}
     for key, table in prepared.items():
@@ -233,26 +235,30 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
         except Exception as err:
             log.error("%s failed: %s", jobs, err)
 
-    if boosted:
+    def boost() -> None:
         keys = list(dict.fromkeys(key for _, key in boosted))
         take(boosted, lambda: grow.fit_all([prepared[key].rows for key in keys],
                                            [grow.Job(keys.index(key), stages[name, key][0].settings) for name, key in boosted],
                                            stages[boosted[0]][0].getLabelCol()))
-    for name in dict.fromkeys(name for name, _ in linear):
+
+    def step(name: str) -> None:
         own = [job for job in linear if job[0] == name]
         take(own, lambda: fit_logistic([prepared[key].rows for _, key in own], stages[own[0]][0]))
 
-    def run(job: tuple) -> PipelineModel | None:
+    def run(job: tuple) -> None:
         try:
-            return PipelineModel([*prepared[job[1]].stages, *Pipeline(stages=stages[job]).fit(prepared[job[1]].rows).stages])
+            out[job] = PipelineModel([*prepared[job[1]].stages, *Pipeline(stages=stages[job]).fit(prepared[job[1]].rows).stages])
         except Exception as err:
             log.warning("%s on %s failed: %s", *job, err)
-            return None
 
     others = [job for job in stages if job not in boosted and job not in linear]
+    work = [*([boost] if boosted else []), *[partial(step, name) for name in dict.fromkeys(name for name, _ in linear)],
+            *[partial(run, job) for job in others]]
     with ThreadPoolExecutor(parallelism) as pool:
-        out |= {job: model for job, model in zip(others, pool.map(run, others)) if model is not None}
-    return out
+        for done in [pool.submit(part) for part in work]:
+            done.result()
+    # In the order of the jobs, whichever ended first.
+    return {job: out[job] for job in [*boosted, *linear, *others] if job in out}
 
 
 def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL, folds: int = 5,
