@@ -31,7 +31,7 @@ from cohortlens.session import materialize, share_package
 
 MAX_BINS = 32
 LOCAL_ROWS = 1 << 18
-#: Trees that one task grows, and scores if they are no larger than so many bytes together.
+#: Trees that one task grows if nothing else is asked, and scores if they are no larger than so many bytes together.
 TASK_TREES, TASK_BYTES = 8, 1 << 25
 #: Sums that one task holds at a time.
 HERE_CELLS, MAX_CELLS = 1 << 20, 1 << 22
@@ -96,18 +96,31 @@ def best_cuts(one: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def sums_by_cell(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, tried: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """(nodes, features, bins) of each value: sums over ``rows``, whose nodes are ``at``, by the features their node tries."""
-    nodes, count = tried.shape
-    cells = (at[:, None] * count + np.arange(count)) * MAX_BINS + bins[rows[:, None], tried[at]]
-    return [np.bincount(cells.ravel(), np.repeat(v[rows], count), nodes * count * MAX_BINS).reshape(nodes, count, MAX_BINS)
-            for v in values]
+    cells, size = cells_of(bins, rows, at, tried), (*tried.shape, MAX_BINS)
+    return [np.bincount(cells.ravel(), np.repeat(v[rows], size[1]), math.prod(size)).reshape(size) for v in values]
+
+
+def cells_of(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """(rows, features): places in sums (nodes, features, bins)."""
+    count = tried.shape[1]
+    own = np.take(bins.ravel(), rows[:, None] * bins.shape[1] + tried[at])
+    return (at[:, None] * count + np.arange(count)) * MAX_BINS + own
+
+
+def sides_by_cell(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, tried: np.ndarray, label: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, features, bins) of the weights of class 1 and of both, added up in one pass."""
+    size = (*tried.shape, MAX_BINS, 2)
+    cells = 2 * cells_of(bins, rows, at, tried) + label[rows][:, None]
+    sums = np.bincount(cells.ravel(), np.repeat(both[rows], size[1]), math.prod(size)).reshape(size)
+    return np.ascontiguousarray(sums[..., 1]), sums[..., 0] + sums[..., 1]
 
 
 def grow(bins: np.ndarray, one: np.ndarray, both: np.ndarray, path: int, level: int, depth: int, seed: int, tree: int) -> np.ndarray:
     """The nodes from the one at ``path`` down, level by level, over rows that are all here; a leaf's ``left`` is itself.
 
-    ``one`` and ``both`` are the weights of class 1 and of either.
+    ``one`` and ``both`` are the weights of class 1 (all or nothing of a row) and of either.
     """
-    out, base = [], 0
+    out, base, label = [], 0, one > 0
     rows, at = np.arange(len(bins)), np.zeros(len(bins), np.int64)
     paths, ones, boths = np.array([path], np.uint64), np.array([one.sum()]), np.array([both.sum()])
     while len(paths):
@@ -127,7 +140,7 @@ def grow(bins: np.ndarray, one: np.ndarray, both: np.ndarray, path: int, level:
         many, found = max(1, HERE_CELLS // (tried.shape[1] * MAX_BINS)), []
         for first in range(0, len(mixed_up), many):
             low, high = np.searchsorted(at, [first, first + many])
-            found.append(best_cuts(*sums_by_cell(bins, rows[low:high], at[low:high] - first, tried[first : first + many], one, both)))
+            found.append(best_cuts(*sides_by_cell(bins, rows[low:high], at[low:high] - first, tried[first : first + many], label, both)))
         gain, place, cut, left, all_left = map(np.concatenate, zip(*found))
         feature, splits = tried[np.arange(len(place)), place], np.isfinite(gain)
         parents = mixed_up[splits]
@@ -219,6 +232,8 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
         if not 0 <= maxDepth <= 30:
             raise ValueError(f"a tree has 0 to 30 levels, not {maxDepth}")
         self._set(numTrees=numTrees, maxDepth=maxDepth, labelCol=labelCol, weightCol=weightCol, seed=seed, featuresCol=featuresCol)
+        #: Most tasks that grow whole trees; None for one for every few trees.
+        self.tasks: int | None = None
 
     def getNumTrees(self) -> int:
         return self.getOrDefault(self.numTrees)
@@ -253,7 +268,7 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
     def small(self, rows: DataFrame) -> DataFrame:
         """(tree, nodes) from tasks that have all rows."""
         count, depth, seed = self.getNumTrees(), self.getMaxDepth(), self.getSeed()
-        units = math.ceil(count / TASK_TREES)
+        units = min(math.ceil(count / TASK_TREES), self.tasks or count)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -263,7 +278,7 @@ class Forest(Estimator, HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
 
         def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for unit, own in gathered(batches):
-                for tree in range(unit * TASK_TREES, min(count, (unit + 1) * TASK_TREES)):
+                for tree in range(unit, count, units):
                     bins, one, both = seen(own, seed, tree)
                     # A tree that drew no row has no vote.
                     if len(bins):

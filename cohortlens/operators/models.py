@@ -66,6 +66,8 @@ TUNED_DEFAULTS = {
     "gamma": 0.0,
 }
 MARGIN_FOLDS = 3
+#: Quarters of the slots that a forest takes while other fits run beside it.
+FOREST_SHARE = 3
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -252,11 +254,17 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
             log.warning("%s on %s failed: %s", *job, err)
 
     others = [job for job in stages if job not in boosted and job not in linear]
+    forests = [job for job in others if kind(job) is Forest]
     work = [*([boost] if boosted else []), *[partial(step, name) for name in dict.fromkeys(name for name, _ in linear)],
-            *[partial(run, job) for job in others]]
+            *[partial(run, job) for job in others if job not in forests]]
+    if work:
+        # Forests would fill every slot and hold up the short jobs beside them.
+        slots = max(1, FOREST_SHARE * next(iter(prepared.values())).rows.sparkSession.sparkContext.defaultParallelism // 4)
+        for job in forests:
+            stages[job][0].tasks = slots
     with ThreadPoolExecutor(parallelism) as pool:
-        for done in [pool.submit(part) for part in work]:
-            done.result()
+        for part in [pool.submit(part) for part in [*work, *[partial(run, job) for job in forests]]]:
+            part.result()
     # In the order of the jobs, whichever ended first.
     return {job: out[job] for job in [*boosted, *linear, *others] if job in out}
 
@@ -304,8 +312,12 @@ def holdout_predictions(df: DataFrame, key: str, builders: dict[str, Builder], l
     """(label, probability, model) of each model on held-out rows, stored: each model scores once."""
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, test = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
-    fitted = fit_together({"train": prepare(train, label, store=True)}, builders)
-    frames = [score(model, test, [label]).withColumn("model", F.lit(name)) for (name, _), model in fitted.items()]
+    prepared = prepare(train, label, store=True)
+    fitted = fit_together({"train": prepared}, builders)
+    # All models read the same features, so these are made once.
+    ready = materialize(PipelineModel(prepared.stages).transform(test).select(label, "features"), "prepared_test")
+    frames = [score(PipelineModel(model.stages[len(prepared.stages):]), ready, [label]).withColumn("model", F.lit(name))
+              for (name, _), model in fitted.items()]
     return materialize(union_all(frames), "predictions")
 
 
