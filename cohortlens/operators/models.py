@@ -213,19 +213,24 @@ def score_table(predictions: DataFrame, by: Sequence[str], label: str = LABEL) -
     return wide.unpivot(list(by), SCORES, "metric", "score")
 
 
-def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int = 4) -> dict[tuple, PipelineModel]:
-    """(name, key) -> model of every builder on every prepared table; a fit that fails is left out.
+def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int = 4,
+                 failed: dict[tuple, Exception] | None = None) -> dict[tuple, PipelineModel]:
+    """(name, key) -> model of every builder on every prepared table.
+
+    A fit that fails is an error, raised when the others have ended; with ``failed`` it is noted there and left out.
+    A step that several fits share is no single fit's to fail, so it is an error either way.
 
     All boosters grow together, whatever their table and settings, and logistic regressions of one name take their steps
     together. Those and the other fits run ``parallelism`` at a time: boosters keep few tasks busy, linear fits are chains of short jobs.
     """
-    stages = {}
+    stages, own, shared = {}, {}, []
     for key, table in prepared.items():
         for name, build in builders.items():
             try:
                 stages[name, key] = build(table.n)
             except Exception as err:
                 log.warning("%s on %s failed: %s", name, key, err)
+                own[name, key] = err
     kind = lambda job: type(stages[job][0]) if len(stages[job]) == 1 else None
     boosted = [job for job in stages if kind(job) is grow.Booster]
     linear = [job for job in stages if kind(job) is NewtonLogistic]
@@ -236,6 +241,7 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
             out.update({job: PipelineModel([*prepared[job[1]].stages, model]) for job, model in zip(jobs, models())})
         except Exception as err:
             log.error("%s failed: %s", jobs, err)
+            shared.append(err)
 
     def boost() -> None:
         keys = list(dict.fromkeys(key for _, key in boosted))
@@ -244,14 +250,15 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
                                            stages[boosted[0]][0].getLabelCol()))
 
     def step(name: str) -> None:
-        own = [job for job in linear if job[0] == name]
-        take(own, lambda: fit_logistic([prepared[key].rows for _, key in own], stages[own[0]][0]))
+        jobs = [job for job in linear if job[0] == name]
+        take(jobs, lambda: fit_logistic([prepared[key].rows for _, key in jobs], stages[jobs[0]][0]))
 
     def run(job: tuple) -> None:
         try:
             out[job] = PipelineModel([*prepared[job[1]].stages, *Pipeline(stages=stages[job]).fit(prepared[job[1]].rows).stages])
         except Exception as err:
             log.warning("%s on %s failed: %s", *job, err)
+            own[job] = err
 
     others = [job for job in stages if job not in boosted and job not in linear]
     forests = [job for job in others if kind(job) is Forest]
@@ -265,6 +272,13 @@ def fit_together(prepared: dict, builders: dict[str, Builder], parallelism: int
     with ThreadPoolExecutor(parallelism) as pool:
         for part in [pool.submit(part) for part in [*work, *[partial(run, job) for job in forests]]]:
             part.result()
+    if shared:
+        raise shared[0]
+    if own and failed is None:
+        (name, key), err = next(iter(own.items()))
+        raise RuntimeError(f"{name} on {key} could not be fitted") from err
+    if failed is not None:
+        failed.update(own)
     # In the order of the jobs, whichever ended first.
     return {job: out[job] for job in [*boosted, *linear, *others] if job in out}
 
@@ -287,7 +301,7 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
 
     with ThreadPoolExecutor(parallelism) as pool:
         prepared = {fold: p for fold, p in enumerate(pool.map(ready, range(folds))) if p is not None}
-    fitted = fit_together(prepared, builders, parallelism)
+    fitted = fit_together(prepared, builders, parallelism, failed={})
 
     def predict(job: tuple) -> DataFrame:
         name, fold = job
@@ -309,7 +323,7 @@ def cross_validate(df: DataFrame, key: str, builders: dict[str, Builder], label:
 
 def holdout_predictions(df: DataFrame, key: str, builders: dict[str, Builder], label: str = LABEL,
                         test_share: float = 0.2) -> DataFrame:
-    """(label, probability, model) of each model on held-out rows, stored: each model scores once."""
+    """(label, probability, model) of each model on held-out rows, stored: each model scores once. A model that cannot be fitted is an error."""
     table = materialize(with_holdout(df, label, key, test_share), "holdout", partition_by="is_test")
     train, test = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
     prepared = prepare(train, label, store=True)
@@ -379,7 +393,7 @@ def sweep(df: DataFrame, key: str, trials: Sequence[dict], label: str = LABEL, t
     train, valid = table.filter("NOT is_test").drop("is_test"), table.filter("is_test")
     # A builder that fails does so as its trial.
     builders = {trial: (lambda n, params=params: build(params, label)(n)) for trial, params in enumerate(trials)}
-    fitted = fit_together({"train": prepare(train, label, store=True)}, builders, parallelism)
+    fitted = fit_together({"train": prepare(train, label, store=True)}, builders, parallelism, failed={})
     frames = [score(model, valid, [label]).withColumn("trial", F.lit(trial)) for (trial, _), model in fitted.items()]
     # One row per trial: the list of trials is the caller's and short.
     names = list(trials[0])

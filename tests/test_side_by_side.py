@@ -86,3 +86,32 @@ def test_held_out_features_are_made_once(spark, monkeypatch):
     assert len(seen) == 2  # training and held-out rows
     held_out = models.with_holdout(rows, models.LABEL, "k").filter("is_test").count()
     assert {r["model"]: r["count"] for r in out.groupBy("model").count().collect()} == dict.fromkeys("abc", held_out)
+
+
+def test_a_model_that_fails_is_not_left_out_of_a_comparison(spark):
+    rows = spark.range(60).select(
+        F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias(models.LABEL),
+        *[((F.col("id") * (7 + i) % 101) / 3.0).alias(c) for i, c in enumerate(features.NUMERIC_FEATURES)],
+        *[F.concat(F.lit("v"), F.col("id") % (2 + i)).alias(c) for i, c in enumerate(features.CATEGORICAL_FEATURES)])
+
+    def broken(n):
+        raise ArithmeticError("no")
+
+    class Unfit(models.Estimator):
+        def _fit(self, dataset):
+            raise ArithmeticError("no")
+
+    for bad in (broken, lambda n: [Unfit()]):
+        with pytest.raises(RuntimeError, match="bad on train could not be fitted"):
+            models.compare_on_holdout(rows, "k", {"good": lambda n: models.naive_bayes(), "bad": bad})
+
+
+def test_a_shared_step_that_fails_is_an_error(ready, monkeypatch):
+    def lost(*_):
+        raise ArithmeticError("executor lost")
+
+    monkeypatch.setattr(models.grow, "fit_all", lost)
+    prepared, builders = {"t": models.Prepared([], ready, 240)}, {"boosted": lambda n: models.boosting(2, label="y")}
+    for failed in (None, {}):
+        with pytest.raises(ArithmeticError, match="executor lost"):
+            models.fit_together(prepared, builders, failed=failed)
