@@ -7,7 +7,8 @@ Only splits reach the driver. Scores of earlier trees are stored with the rows e
 rounds, so a task repeats few trees and a lost executor costs one level.
 
 A table of at most ``LOCAL_ROWS`` rows (its count is checked) needs no exchange at all: its rows (a byte a feature)
-go to one task for each job, which grows all rounds there; of two sister nodes only the one with fewer rows is added up. Gradients are whole numbers of 1/``UNIT``, so their sums do
+go to one task for each job, which grows all rounds there; of two sister nodes only the one with fewer rows is added up, and features
+whose bins together have few codes are added up in one pass. Gradients are whole numbers of 1/``UNIT``, so their sums do
 not depend on their order, and both ways give the same trees.
 """
 
@@ -35,10 +36,13 @@ from cohortlens.session import materialize, share_package
 
 MAX_BINS = 64
 UNIT = float(1 << 26)
-LOCAL_ROWS = 1 << 18
+LOCAL_ROWS = 1 << 20
 STORE_ROUNDS = 20
 #: Sums that one task holds at a time; nodes beyond them wait for the next pass.
 MAX_CELLS = 1 << 22
+#: Codes of features that are added up together: for nodes of at least ``CODE_ROWS`` rows, and for smaller ones.
+MANY_CODES, FEW_CODES, CODE_ROWS = 1 << 12, 1 << 6, 1 << 14
+BLOCK_ROWS = 1 << 15
 #: Rows scored together with all trees.
 SCORE_ROWS = 512
 LEAF = 255
@@ -233,54 +237,138 @@ class Growth:
 
 def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the logistic loss, as whole numbers of 1/``UNIT``."""
-    p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-    return np.rint((p - y) * weight * UNIT), np.rint(np.maximum(p * (1 - p), 1e-16) * weight * UNIT)
-
-
-def sums_by_bin(bins: np.ndarray, slot: np.ndarray, slots: int, width: int, values: Sequence[np.ndarray]) -> np.ndarray:
-    """(values + 1, slots, features, bins): sums of each value and counts, over rows with a slot. Bins are best stored by feature."""
-    rows = np.flatnonzero(slot >= 0)
-    first, own = slot[rows] * width, [v[rows] for v in values]
-    out = np.empty((len(values) + 1, slots, bins.shape[1], width))
-    for f in range(bins.shape[1]):
-        place = first + bins[rows, f]
-        for part, v in zip(out, [*own, None]):
-            part[:, f] = np.bincount(place, v, slots * width).reshape(slots, width)
+    g, h = np.empty(len(y)), np.empty(len(y))
+    # Blocks that stay in the processor's cache.
+    for at in range(0, len(y), BLOCK_ROWS):
+        own = slice(at, at + BLOCK_ROWS)
+        p = np.clip(margin[own], -700, 700)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.divide(1, p, out=p)
+        unit = weight[own] * UNIT
+        np.rint((p - y[own]) * unit, out=g[own])
+        np.rint(np.maximum(p * (1 - p), 1e-16) * unit, out=h[own])
+    return g, h
+
+
+@dataclass
+class Pack:
+    """Features whose bins a row has together are one code, so one pass adds up all of them. ``bins`` has the bin of each feature by code."""
+
+    codes: np.ndarray
+    features: list[int]
+    bins: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.size = len(self.bins[0])
+
+
+def alone(bins: np.ndarray, width: int) -> list[Pack]:
+    """Every feature by itself. Bins are best stored by feature."""
+    return [Pack(bins[:, f], [f], [np.arange(width)]) for f in range(bins.shape[1])]
+
+
+def together(bins: np.ndarray, width: int, most: int) -> list[Pack]:
+    """Features in packs of at most ``most`` codes that occur; each joins the first pack that has room."""
+    kinds = [np.flatnonzero(np.bincount(bins[:, f], minlength=width)) for f in range(bins.shape[1])]
+    packs: list[Pack] = []
+    for f in sorted(range(bins.shape[1]), key=lambda f: -len(kinds[f])):
+        for i, pack in enumerate(packs):
+            joint = pack.codes.astype(np.int64) * width + bins[:, f]
+            occur = np.flatnonzero(np.bincount(joint, minlength=pack.size * width))
+            if len(occur) <= most:
+                number = np.zeros(pack.size * width, np.uint16)
+                number[occur] = np.arange(len(occur))
+                packs[i] = Pack(number[joint], [*pack.features, f], [*(own[occur // width] for own in pack.bins), occur % width])
+                break
+        else:
+            packs.append(Pack(bins[:, f], [f], [np.arange(width)]))
+    return packs
+
+
+def sums_by_bin(packs: list[Pack], slot: np.ndarray, slots: int, width: int, values: Sequence[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """(values + 1, slots, features, bins): sums of each value and counts over ``rows``, which have a slot each, best in order."""
+    codes = [np.zeros((len(values) + 1, slots, pack.size)) for pack in packs]
+    for at in range(0, len(rows), BLOCK_ROWS):
+        part, own = rows[at : at + BLOCK_ROWS], slot[at : at + BLOCK_ROWS]
+        low, high = own.min(), own.max() + 1
+        weights = [*(v[part] for v in values), None]
+        own = own - low
+        for pack, sums in zip(packs, codes):
+            place = np.take(pack.codes, part).astype(np.int64)
+            if high - low > 1:
+                place += own * pack.size
+            for total, weight in zip(sums, weights):
+                total[low:high] += np.bincount(place, weight, (high - low) * pack.size).reshape(-1, pack.size)
+    out, at, first = np.empty((len(values) + 1, slots, sum(len(p.features) for p in packs), width)), 0, np.arange(slots)[:, None] * width
+    for pack, sums in zip(packs, codes):
+        for bins in pack.bins:
+            for total, part in zip(out, sums):
+                # Whole numbers, so any order of adding up is exact.
+                total[:, at] = part if pack.size == width and len(pack.bins) == 1 else np.bincount(
+                    (first + bins).ravel(), part.ravel(), slots * width).reshape(slots, width)
+            at += 1
     return out
 
 
 def grow_here(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, hashes: np.ndarray, settings: Settings, prior: float) -> Growth:
-    """All rounds of one job over rows that are all here."""
+    """All rounds of one job over rows that are all here. The rows of each node are a list, and split with it."""
     growth = Growth(settings, bins.shape[1], prior)
     width = int(bins.max(initial=0)) + 1
     bins = np.asfortranarray(bins)
-    margin = np.full(len(y), prior)
+    few, many = together(bins, width, max(width, FEW_CODES)), together(bins, width, MANY_CODES) if len(y) >= CODE_ROWS else []
+    margin, every = np.full(len(y), prior), np.arange(len(y))
     while not growth.done:
-        turn = len(growth.trees)
-        use = sampled(hashes, settings, turn)
+        turn, tree = len(growth.trees), growth.tree
+        use = every if settings.subsample >= 1 else np.flatnonzero(sampled(hashes, settings, turn))
         g, h = gradients(margin, y, weight)
-        node, own = np.zeros(len(y), np.int64), bins.T[growth.features].T
-        above = None
+        members, above = {0: use}, None
+        chosen = set(growth.features.tolist())
+        packs = [[p for p in some if chosen.intersection(p.features)] for some in (few, many)]
+        places = [[order.index(f) for f in growth.features.tolist()] for order in ([f for p in some for f in p.features] for some in packs if some)]
         while True:
-            ask, follow = growth.sisters()
-            slot = np.full(len(growth.tree.left), -1)
-            slot[np.array(growth.frontier)[ask]] = np.arange(len(ask))
-            sums = np.empty((3, len(growth.frontier), len(growth.features), width))
-            sums[:, ask] = sums_by_bin(own, np.where(use, slot[node], -1), len(ask), width, (g, h))
+            frontier, (ask, follow) = growth.frontier, growth.sisters()
+            sizes = [len(members[frontier[i]]) for i in ask]
+            wide = int(bool(many) and sum(sizes) >= CODE_ROWS * len(ask))
+            rows = np.concatenate([members[frontier[i]] for i in ask])
+            own = sums_by_bin(packs[wide], np.repeat(np.arange(len(ask)), sizes), len(ask), width, (g, h), rows)[:, :, places[wide]]
             if follow:
-                many, few, parent = map(list, zip(*follow))
+                sums = np.empty((3, len(frontier), len(growth.features), width))
+                sums[:, ask] = own
+                larger, smaller, parent = map(list, zip(*follow))
                 # Whole numbers, so nothing is lost in a difference.
-                sums[:, many] = above[:, parent] - sums[:, few]
-            tree, above = growth.tree, sums
-            ended = growth.take(best_splits(sums, settings))
-            node = step(bins, node, tree.arrays())
+                sums[:, larger] = above[:, parent] - sums[:, smaller]
+            else:
+                sums = own
+            above, ended = sums, growth.take(best_splits(sums, settings))
+            for node in frontier:
+                deal_rows(bins, tree, node, members)
             if ended:
                 break
-        margin += np.array(tree.value)[node]
+        parts = [members]
+        if len(use) < len(y):
+            # Rows that were not drawn follow the splits.
+            rest = np.ones(len(y), bool)
+            rest[use] = False
+            parts.append({0: np.flatnonzero(rest)})
+            for node in range(len(tree.left)):
+                deal_rows(bins, tree, node, parts[1])
+        for part in parts:
+            for node, rows in part.items():
+                margin[rows] += tree.value[node]
         growth.start()
     return growth
 
 
+def deal_rows(bins: np.ndarray, tree: Tree, node: int, members: dict[int, np.ndarray]) -> None:
+    """The rows of a split node go to its children."""
+    if tree.left[node] != node:
+        rows = members.pop(node)
+        right = bins[:, tree.feature[node]][rows] > tree.cut[node]
+        members[tree.left[node]], members[tree.left[node] + 1] = rows[np.flatnonzero(~right)], rows[np.flatnonzero(right)]
+
+
 class Ensemble:
     """Flat trees and the limits of the bins: scores whole batches."""
 
@@ -442,21 +530,36 @@ def fit_in_tasks(rows: DataFrame, jobs: dict[int, Job], priors: dict, edges: dic
     """Jobs on small tables, each in a task of its own."""
     if not jobs:
         return {}
+    # Tasks start in their order, and the longest must not start last.
+    order = sorted(jobs, key=lambda i: -jobs[i].settings.rounds * jobs[i].settings.depth)
     by_table: dict[int, list[int]] = {}
-    for i, job in jobs.items():
-        by_table.setdefault(job.table, []).append(i)
+    for unit, i in enumerate(order):
+        by_table.setdefault(jobs[i].table, []).append(unit)
     who = F.create_map(*[F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for tv in by_table.items() for v in tv])
-    copies = rows.filter(F.col("tag").isin(list(by_table))).withColumn("job", F.explode(F.element_at(who, F.col("tag"))))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        i = int(group["job"].iloc[0])
-        job = jobs[i]
-        bins = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(len(group), -1)
-        growth = grow_here(bins, group["y"].to_numpy(), np.ones(len(group)), group["hash"].to_numpy().view(np.uint64), job.settings,
-                           priors[job.table])
-        return pd.DataFrame({"job": [i], "packed": [Ensemble.of(growth, edges[job.table]).pack()]})
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tag, own, bins in by_tag(batch):
+                blobs = [own.column(c).to_numpy().tobytes() for c in ("y", "hash")]
+                yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int32()), *[pa.array([b], pa.binary()) for b in (*blobs, bins.tobytes())]],
+                                                 names=["tag", "y", "hash", "bins"])
 
-    fitted = copies.repartitionByRange(len(jobs), "job").groupBy("job").applyInPandas(fit, "job int, packed string")
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts.setdefault(row["unit"], []).append((row["y"], row["hash"], row["bins"]))
+        for unit, blobs in parts.items():
+            job = jobs[order[unit]]
+            y, hashes, bins = (np.frombuffer(b"".join(part), kind) for part, kind in zip(zip(*blobs), (np.float64, np.uint64, np.uint8)))
+            blobs.clear()
+            growth = grow_here(bins.reshape(len(y), -1), y, np.ones(len(y)), hashes, job.settings, priors[job.table])
+            yield pa.RecordBatch.from_arrays([pa.array([order[unit]], pa.int32()), pa.array([Ensemble.of(growth, edges[job.table]).pack()])],
+                                             names=["job", "packed"])
+
+    blocks = rows.filter(F.col("tag").isin(list(by_table))).mapInArrow(block, "tag int, y binary, hash binary, bins binary")
+    copies = blocks.select(F.explode(F.element_at(who, F.col("tag"))).alias("unit"), "y", "hash", "bins")
+    fitted = copies.repartitionById(len(jobs), "unit").mapInArrow(fit, "job int, packed string")
     return {r["job"]: Ensemble.unpack(r["packed"]) for r in fitted.collect()}
 
 
@@ -571,7 +674,8 @@ def level_splits(rows: DataFrame, jobs: dict, growing: dict, stored: dict, plan:
                     slot = np.full(len(w["tree"][2]), -1)
                     slot[w["nodes"]] = np.arange(len(w["nodes"]))
                     at = np.where(sampled(hashes, settings[i], w["turn"]), slot[settled(bins, w["tree"])], -1)
-                    part = sums_by_bin(bins[:, w["features"]], at, len(w["nodes"]), MAX_BINS, (g, h))
+                    use = np.flatnonzero(at >= 0)
+                    part = sums_by_bin(alone(bins[:, w["features"]], MAX_BINS), at[use], len(w["nodes"]), MAX_BINS, (g, h), use)
                     sums[i] = part if i not in sums else sums[i] + part
         for i, part in sums.items():
             slot, feature, cell = np.nonzero(part[2])

@@ -154,3 +154,48 @@ def test_sums_of_a_larger_sister_follow_from_the_parent(monkeypatch):
     assert sum(rows for _, rows in used) <= 3 * 3000 * (1 + 4 / 2)
     monkeypatch.setattr(boosting.Growth, "sisters", lambda self: (list(range(len(self.frontier))), []))
     assert [t.value for t in boosting.grow_here(*args).trees] == [t.value for t in few.trees]
+
+
+def test_three_hundred_thousand_rows_need_no_level_jobs(spark, monkeypatch):
+    """Sixty times sf0.1 has 720,000 training rows; beyond 262,144 each level of each tree was a Spark job."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(300_000).select((F.col("id") % 3 == 0).cast("double").alias("label"),
+                                     array_to_vector(F.array(F.col("id") % 7, F.col("id") % 3).cast("array<double>")).alias("features"))
+    monkeypatch.setattr(boosting, "level_splits", lambda *a: pytest.fail("a job for a level"))
+    model = boosting.fit_all([df], [Job(0, Settings(3, 2, 0.5, subsample=0.7))])[0]
+    assert len(model.ensemble().parts["first"]) == 4
+
+
+def test_features_in_packs_add_up_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 3, 5000)
+    bins = np.column_stack([rng.integers(0, 40, 5000), kind == 0, kind == 1, rng.integers(0, 30, 5000), kind == 2, np.full(5000, 7)]).astype(np.uint8)
+    g, h, rows = np.rint(rng.normal(size=5000) * 1e6), np.rint(rng.random(5000) * 1e6), np.flatnonzero(rng.random(5000) < 0.5)
+    slot = np.sort(rng.integers(0, 3, len(rows)))
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 700)
+    plain = np.zeros((3, 3, 6, 40))
+    for f in range(6):
+        for part, v in zip(plain, (g, h, np.ones(5000))):
+            np.add.at(part[:, f], (slot, bins[rows, f]), v[rows])
+    for most in (40, 200, 4096):
+        packs = boosting.together(bins, 40, most)
+        assert sorted(f for p in packs for f in p.features) == list(range(6)) and all(p.size <= most for p in packs)
+        order = [f for p in packs for f in p.features]
+        sums = boosting.sums_by_bin(packs, slot, 3, 40, (g, h), rows)
+        assert (sums[:, :, np.argsort(order)] == plain).all()
+    assert len(boosting.together(bins, 40, 4096)) == 1
+
+
+def test_rows_that_were_not_drawn_follow_the_splits():
+    """Margins after a round are those of the finished trees, drawn rows or not."""
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, 12, (40_000, 3)).astype(np.uint8)
+    y = (bins[:, 0] + rng.normal(size=40_000) * 3 > 6).astype(float)
+    hashes = rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    settings = Settings(2, 3, 0.4, subsample=0.6, colsample=0.5, newton=True)
+    first, second = boosting.grow_here(bins, y, np.ones(40_000), hashes, settings, 0.1).trees
+    margin = 0.1 + np.array(first.value)[boosting.settled(bins, first.arrays())]
+    use, (g, h) = boosting.sampled(hashes, settings, 1), boosting.gradients(margin, y, np.ones(40_000))
+    assert second.value[0] == pytest.approx(-0.4 * g[use].sum() / h[use].sum(), rel=1e-12)
+    assert second.cover[0] == use.sum()
