@@ -89,3 +89,30 @@ def test_fold_bayes_without_a_class(spark):
     assert sorted(got, key=str) == sorted([(0, 1, 0.0), (0, 1, 0.0), (1, 0, 1.0), (1, None, 1.0)], key=str)
     with pytest.raises(ValueError, match="two folds"):
         fold_fits.naive_bayes_folds(df.filter("fold = 0"), "fold", "y", ["x"], {})
+
+
+def test_values_of_many_paths_are_those_of_each(monkeypatch):
+    """Tables of all patterns are made once for many paths; long paths look only at patterns that occur."""
+    rng = np.random.default_rng(4)
+    share = rng.random((5, 3))
+    share[2, 1] = 0.0
+    every = tree_attribution.patterns(3)
+    assert sorted(map(tuple, every)) == sorted(itertools.product((0.0, 1.0), repeat=3))
+    together = tree_attribution.path_values(every, share)
+    for own, values in zip(share, together):
+        assert values == pytest.approx(tree_attribution.path_values(every, own))
+        for passes, found in zip(every, values):
+            worth = lambda known: math.prod(passes[j] if j in known else own[j] for j in range(3))
+            for j in range(3):
+                rest = [k for k in range(3) if k != j]
+                want = sum(math.factorial(r) * math.factorial(2 - r) / 6 * (worth({*s, j}) - worth(set(s)))
+                           for r in range(3) for s in itertools.combinations(rest, r))
+                assert found[j] == pytest.approx(want)
+    x = rng.normal(size=(500, 4))
+    growth = boosting.grow_here(boosting.binned(x, [np.linspace(-1, 1, 9)] * 4), (x[:, 0] * x[:, 1] > x[:, 2]).astype(float), np.ones(500),
+                                np.arange(500, dtype=np.uint64), Settings(3, 4, 0.3), 0.1)
+    ensemble = boosting.Ensemble.of(growth, [np.linspace(-1, 1, 9)] * 4)
+    tables = tree_attribution.contributions(ensemble, x)
+    monkeypatch.setattr(tree_attribution, "PATTERN_BITS", 1)
+    assert tree_attribution.contributions(ensemble, x) == pytest.approx(tables)
+    assert tables.sum(axis=1) == pytest.approx(ensemble.margins(x))
