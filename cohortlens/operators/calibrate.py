@@ -7,6 +7,7 @@ merge in pairs, level by level, each pair in a task of its own; the driver sees
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,12 +134,16 @@ def fit_curve(scored: DataFrame, label: str = LABEL, probability: str = "probabi
 def fit_calibrated(df: DataFrame, key: str, build: Builder, label: str = LABEL, folds: int = 3) -> CalibratedModel:
     """Per fold: the base model learns from the other folds, its curve from this one. The base models of all folds are fitted together."""
     table = materialize(with_folds(df, label, key, folds, name="__fold"), "folds", partition_by="__fold")
-    prepared = {fold: prepare(table.filter(F.col("__fold") != fold).drop("__fold"), label, store=True) for fold in range(folds)}
-    fitted = fit_together(prepared, {"base": build})
-    parts = []
-    for fold in range(folds):
-        base = fitted["base", fold]
-        # Stored, as limits and pools both read it.
-        held_out = materialize(score(base, table.filter(F.col("__fold") == fold), [label]), "held-out")
-        parts.append((base, fit_curve(held_out, label)))
-    return CalibratedModel(parts)
+    # Each step is a chain of short jobs, so the folds run side by side.
+    with ThreadPoolExecutor(min(folds, 4)) as pool:
+        prepared = dict(enumerate(pool.map(
+            lambda fold: prepare(table.filter(F.col("__fold") != fold).drop("__fold"), label, store=True), range(folds))))
+        fitted = fit_together(prepared, {"base": build})
+
+        def calibrated(fold: int) -> tuple[PipelineModel, Curve]:
+            base = fitted["base", fold]
+            # Stored, as limits and pools both read it.
+            held_out = materialize(score(base, table.filter(F.col("__fold") == fold), [label]), "held-out")
+            return base, fit_curve(held_out, label)
+
+        return CalibratedModel(list(pool.map(calibrated, range(folds))))

@@ -1,5 +1,7 @@
 """Isotonic curves from merged pools against plain pooling."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import IsotonicRegression
@@ -60,3 +62,20 @@ def test_curve_of_nothing(spark, tmp_path):
     curve.write().overwrite().save(f"{tmp_path}/curve")
     again = calibrate.Curve.load(f"{tmp_path}/curve").setFeaturesCol("p").setPredictionCol("q")
     assert again.transform(spark.createDataFrame([(0.5,)], "p double")).first().q == pytest.approx(0.5)
+
+
+def test_folds_are_calibrated_side_by_side(spark, monkeypatch):
+    """Preparing, scoring and pooling of a fold wait for no other fold, and the parts come in the order of the folds."""
+    meet, made = threading.Barrier(3), []
+
+    def late(rows, *args, **named):
+        meet.wait(20)
+        return rows
+
+    monkeypatch.setattr(calibrate, "prepare", late)
+    monkeypatch.setattr(calibrate, "fit_together", lambda prepared, _: made.append(prepared) or {("base", f): f for f in prepared})
+    monkeypatch.setattr(calibrate, "score", lambda base, rows, keep: late(rows.select(*keep, F.lit(base / 4.0).alias("probability"))))
+    rows = spark.range(90).select(F.col("id").alias("k"), (F.col("id") % 2).alias("passed"))
+    parts = calibrate.fit_calibrated(rows, "k", None, "passed").parts
+    assert sorted(made[0]) == [base for base, _ in parts] == [0, 1, 2]
+    assert [curve.getOrDefault("scores") for _, curve in parts] == [[0.0], [0.25], [0.5]]
