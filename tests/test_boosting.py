@@ -199,3 +199,18 @@ def test_rows_that_were_not_drawn_follow_the_splits():
     use, (g, h) = boosting.sampled(hashes, settings, 1), boosting.gradients(margin, y, np.ones(40_000))
     assert second.value[0] == pytest.approx(-0.4 * g[use].sum() / h[use].sum(), rel=1e-12)
     assert second.cover[0] == use.sum()
+
+
+def test_margins_are_those_of_each_tree(monkeypatch):
+    """Trees of any shape, one of them a single leaf, over several blocks of rows."""
+    rng = np.random.default_rng(6)
+    x, edges = rng.normal(size=(900, 3)), [np.linspace(-1, 1, 9)] * 3
+    y = (x[:, 0] * x[:, 1] > x[:, 2]).astype(float)
+    growth = boosting.grow_here(boosting.binned(x, edges), y, np.ones(900), np.arange(900, dtype=np.uint64), Settings(4, 5, 0.3), 0.1)
+    growth.trees.insert(1, boosting.Tree(value=[0.25]))
+    want = np.full(900, 0.1)
+    for tree in growth.trees:
+        want += np.array(tree.value)[boosting.settled(boosting.binned(x, edges), tree.arrays())]
+    monkeypatch.setattr(boosting, "SCORE_ROWS", 200)
+    assert (boosting.Ensemble.of(growth, edges).margins(x) == want).all()
+    assert len(boosting.Ensemble.of(growth, edges).margins(x[:0])) == 0
