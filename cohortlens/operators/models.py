@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, NaiveBayes
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +23,7 @@ from cohortlens.operators.forests import Forest
 from cohortlens.operators.features import FeatureEngineer, Preprocessor, ENGINEERED
 from cohortlens.operators.split import with_folds, with_holdout
 from cohortlens.schema import LABEL, NUMERIC_FEATURES
-from cohortlens.session import ensure_checkpoint_dir, materialize
+from cohortlens.session import ensure_checkpoint_dir, materialize, shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -125,12 +125,15 @@ class MarginClassifier(Estimator):
         # Each fit is a chain of short jobs, so the chains run side by side; the last learns from all rows.
         subsets = [*(dealt.filter(F.col("margin_fold") != fold) for fold in range(MARGIN_FOLDS)), dealt]
         with ThreadPoolExecutor(len(subsets)) as pool:
-            *classifiers, final = pool.map(self.margin.fit, subsets)
+            # Training summaries hold the session, which cannot go to tasks once a table was observed; copies have none.
+            *classifiers, final = pool.map(lambda rows: self.margin.fit(rows).copy(), subsets)
         held_out = union_all([
             self.slicer.transform(classifier.transform(dealt.filter(F.col("margin_fold") == fold))).select(self.label, "margin")
             for fold, classifier in enumerate(classifiers)])
-        curve = LogisticRegression(labelCol=self.label, featuresCol="margin", maxIter=100).fit(held_out)
-        return PipelineModel([final, self.slicer, curve])
+        path = shared_dir(dataset.sparkSession, "margin-curve")
+        # A copy of this one keeps its summary, a stored one has none.
+        LogisticRegression(labelCol=self.label, featuresCol="margin", maxIter=100).fit(held_out).save(path)
+        return PipelineModel([final, self.slicer, LogisticRegressionModel.load(path)])
 
 
 def linear_svm(n_rows: int, label: str = LABEL, iterations: int = 100) -> list:

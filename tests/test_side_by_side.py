@@ -5,7 +5,7 @@ import threading
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from cohortlens.operators import features, forests, models
 from cohortlens.session import materialize
@@ -46,6 +46,15 @@ def test_margin_fits_meet(ready, monkeypatch):
     assert model.transform(ready).filter("prediction = y").count() > 180
 
 
+def test_margins_score_after_a_table_was_observed(ready):
+    """An observation makes the session unfit for tasks, and training summaries hold the session."""
+    seen = Observation("rows")
+    assert ready.observe(seen, F.count(F.lit(1)).alias("n")).count() == seen.get["n"] == 240
+    model = models.MarginClassifier(240, "y", 5).fit(ready)
+    assert model.transform(ready).filter("prediction = y").count() > 180
+    assert not any(stage.hasSummary for stage in (model.stages[0], model.stages[2]))
+
+
 def test_forest_leaves_slots_to_others(ready):
     made = []
 
